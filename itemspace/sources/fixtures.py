@@ -154,3 +154,42 @@ def partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # F8: dense per-user event features.
 def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("user_id", "event_type", "value", "ts")
+
+
+# F1 with a per-item time column (seconds = summed extended price), for the
+# total-time rule; and the wide survey table with the F1b side columns.
+def responses_timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return (li.join(o, li.l_orderkey == o.o_orderkey)
+            .groupBy(F.col("o_custkey").alias("subject"), F.col("l_linenumber").alias("item_id"))
+            .agg((F.lit(1) + F.sum("l_quantity").cast("bigint") % 5).cast("int").alias("answer"),
+                 F.sum("l_extendedprice").alias("seconds")))
+
+
+RESPONSES_TIMED_SQL = """
+select o_custkey as subject, l_linenumber as item_id,
+       cast(1 + cast(sum(l_quantity) as bigint) % 5 as integer) as answer,
+       sum(l_extendedprice) as seconds
+from lineitem join orders on l_orderkey = o_orderkey
+group by o_custkey, l_linenumber"""
+
+ITEM_IDS_F1 = list(range(1, N_ITEMS_F1 + 1))
+Q_COLS = [f"q{i}" for i in ITEM_IDS_F1]
+T_COLS = [f"t{i}" for i in ITEM_IDS_F1]
+
+
+def survey_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """subject, q1..q7, t1..t7 joined to the side columns (all customers)."""
+    from itemspace.operators.clean import long_to_wide
+    wide = long_to_wide(responses_timed(spark, sf_dir), ITEM_IDS_F1,
+                        values=("answer", "seconds"), prefixes=("q", "t"))
+    return subject_side(spark, sf_dir).join(wide, "subject", "left")
+
+
+SURVEY_WIDE_SQL = f"""
+select s.*, {", ".join(f"w.q{i}, w.t{i}" for i in ITEM_IDS_F1)}
+from ({SUBJECT_SIDE_SQL}) s left join (
+  select subject, {", ".join(f"max(case when item_id = {i} then answer end) as q{i}, "
+                              f"max(case when item_id = {i} then seconds end) as t{i}" for i in ITEM_IDS_F1)}
+  from ({RESPONSES_TIMED_SQL}) group by subject) w using (subject)"""
