@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     # Importing the modules registers their queries.
-    from itemspace.plans import survey_queries  # noqa: F401
+    from itemspace.plans import cluster_queries, survey_queries  # noqa: F401
