@@ -27,74 +27,100 @@ def nearest(col: str = "v", centres: str = "centres"):
         centres, lambda c, j: F.struct(array_sqdist(col, c).alias("dist"), j.alias("id"))))
 
 
-def _centres_frame(spark: SparkSession, centres: dict[int, list[list[float]]]) -> DataFrame:
-    """One row per configuration; built through Arrow (no Python worker)."""
+Centres = dict  # {(group, config): [[...], ...]} or {config: [[...], ...]}
+
+
+def _norm_keys(centres: Centres) -> dict[tuple[int, int], list[list[float]]]:
+    return {(k if isinstance(k, tuple) else (0, k)): v for k, v in centres.items()}
+
+
+def _centres_frame(spark: SparkSession, centres: Centres) -> DataFrame:
+    """One row per (group, configuration); built through Arrow (no Python
+    worker).  Size is bounded by groups x configurations."""
     import pandas as pd
-    pdf = pd.DataFrame({"k": [int(k) for k in centres],
-                        "centres": [[[float(x) for x in c] for c in cs] for cs in centres.values()]})
-    return F.broadcast(spark.createDataFrame(pdf, "k int, centres array<array<double>>"))
+    c = _norm_keys(centres)
+    pdf = pd.DataFrame({"_g": [int(g) for g, _ in c], "k": [int(k) for _, k in c],
+                        "centres": [[[float(x) for x in row] for row in cs] for cs in c.values()]})
+    return F.broadcast(spark.createDataFrame(pdf, "_g int, k int, centres array<array<double>>"))
 
 
-def assign_clusters(vectors: DataFrame, centres: dict[int, list[list[float]]], col: str = "v") -> DataFrame:
-    """Nearest centre for every (row, k): adds k, prediction, sqdist.  The
-    centres side has one row per K (size bounded by the K list)."""
+def assign_clusters(vectors: DataFrame, centres: Centres, col: str = "v", group: str | None = None) -> DataFrame:
+    """Nearest centre for every (row, configuration): adds k, prediction,
+    sqdist.  Each row is repeated once per configuration of its group and
+    joined by (group, k) to the broadcast centres."""
     spark = vectors.sparkSession
     cf = _centres_frame(spark, centres)
-    ks = F.array(*[F.lit(int(k)) for k in centres])
-    return (vectors.withColumn("k", F.explode(ks))
-            .join(cf, "k")
-            .withColumn("_near", nearest(col, "centres"))
-            .withColumn("prediction", F.col("_near.id").cast("int"))
-            .withColumn("sqdist", F.col("_near.dist"))
-            .drop("_near", "centres"))
+    ks = sorted({k for _, k in _norm_keys(centres)})
+    g = F.col(group).cast("int") if group else F.lit(0)
+    out = (vectors.withColumn("_g", g).withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in ks])))
+           .join(cf, ["_g", "k"])
+           .withColumn("_near", nearest(col, "centres"))
+           .withColumn("prediction", F.col("_near.id").cast("int"))
+           .withColumn("sqdist", F.col("_near.dist"))
+           .drop("_near", "centres", "_g"))
+    return out
 
 
 def initial_centres(vectors: DataFrame, ks: Sequence[int], key: str = "subject", col: str = "v",
-                    seed: int = 42) -> dict[int, list[list[float]]]:
-    """Centres of K are the K first rows by md5 rank (a top-k, max(K) rows)."""
+                    seed: int = 42, group: str | None = None) -> Centres:
+    """Centres of K are the K first rows by md5 rank (a top-k of max(K) rows,
+    one TakeOrdered job per group)."""
     kmax = max(ks)
-    first = (vectors.withColumn("_h", det_uint32(seed, key)).orderBy("_h", key).limit(kmax)
-             .select(col).collect())
-    pts = [list(r[0]) for r in first]
-    if len(pts) < kmax:
-        raise ValueError(f"need at least {kmax} rows, got {len(pts)}")
-    return {int(k): pts[:k] for k in ks}
-
-
-def _update(assigned: DataFrame, centres: dict[int, list[list[float]]], dims: int,
-            col: str) -> dict[int, list[list[float]]]:
-    """New centres from (config, cluster, position) sums: at most
-    configs x K x d groups, partially aggregated in every task."""
-    stats = (assigned.select("k", "prediction", F.posexplode(col).alias("d", "x"))
-             .groupBy("k", "prediction", "d").agg(F.sum("x").alias("s"), F.count("x").alias("n"))
+    groups = [r[0] for r in vectors.select(group).distinct().collect()] if group else [None]
+    out = {}
+    for gv in groups:
+        part = vectors.where(F.col(group) == gv) if group else vectors
+        first = (part.withColumn("_h", det_uint32(seed, key)).orderBy("_h", key).limit(kmax)
+                 .select(col).collect())
+        pts = [list(r[0]) for r in first]
+        if len(pts) < kmax:
+            raise ValueError(f"need at least {kmax} rows, got {len(pts)}")
+        for k in ks:
+            out[(int(gv) if group else 0, int(k))] = pts[:k]
+    return out
+
+
+def _update(assigned: DataFrame, centres: Centres, col: str, group: str | None) -> Centres:
+    """New centres from (group, config, cluster, position) sums: at most
+    groups x configs x K x d keys, partially aggregated in every task."""
+    g = F.col(group).cast("int") if group else F.lit(0)
+    stats = (assigned.select(g.alias("_g"), "k", "prediction", F.posexplode(col).alias("d", "x"))
+             .groupBy("_g", "k", "prediction", "d").agg(F.sum("x").alias("s"), F.count("x").alias("n"))
              .collect())
-    new = {k: [list(c) for c in cs] for k, cs in centres.items()}
+    new = {key: [list(c) for c in cs] for key, cs in _norm_keys(centres).items()}
     for r in stats:
-        new[r["k"]][r["prediction"]][r["d"]] = r["s"] / r["n"]
+        new[(r["_g"], r["k"])][r["prediction"]][r["d"]] = r["s"] / r["n"]
     return new  # an empty cluster keeps its centre
 
 
 def lloyd_sweep(vectors: DataFrame, ks: Sequence[int], rounds: int = 5, key: str = "subject",
-                col: str = "v", seed: int = 42, init: dict | None = None,
-                dims: int | None = None, checkpoint: bool = True) -> tuple[DataFrame, dict[int, list[list[float]]]]:
+                col: str = "v", seed: int = 42, init: Centres | None = None,
+                dims: int | None = None, checkpoint: bool = True,
+                group: str | None = None) -> tuple[DataFrame, Centres]:
     """Deterministic k-means for every K in ``ks``: md5-ranked initial
     centres, ``rounds`` Lloyd updates, then the final assignment.
 
-    ``init`` may instead map any configuration id to its own centres (e.g.
-    several starts of one K); the ``k`` column then carries that id.
-    Returns (assignments(key, k, prediction, sqdist), centres).  The input is
-    persisted during the sweep, each round is one job, and the result is
-    checkpointed to the shared checkpoint folder.
+    ``group`` runs independent sweeps for each value of an integer column in
+    the same passes (e.g. several preprocessings of one survey); ``init`` may
+    map (group, config id) -> centres (e.g. several starts of one K), the
+    ``k`` column then carries the config id.  Returns (assignments(key,
+    [group,] k, prediction, sqdist), centres).  The input is persisted during
+    the sweep, each round is one job, and the result is checkpointed to the
+    shared checkpoint folder.
     """
     dims = dims or vector_dims(vectors, col)
-    base = persist(vectors.select(key, col))
-    centres = init or initial_centres(base, ks, key, col, seed)
+    cols = [key, col] + ([group] if group else [])
+    base = persist(vectors.select(*cols))
+    centres = _norm_keys(init) if init else initial_centres(base, ks, key, col, seed, group)
     for _ in range(rounds):
-        centres = _update(assign_clusters(base, centres, col), centres, dims, col)
-    final = assign_clusters(base, centres, col).select(key, "k", "prediction", "sqdist")
+        centres = _update(assign_clusters(base, centres, col, group), centres, col, group)
+    final = assign_clusters(base, centres, col, group).select(
+        key, *([group] if group else []), "k", "prediction", "sqdist")
     if checkpoint:
         final = materialize(final)
         base.unpersist()
+    if not group:
+        centres = {k: v for (_, k), v in centres.items()}
     return final, centres
 
 
@@ -104,7 +130,7 @@ def kmeans_multi_start(vectors: DataFrame, k: int, n_init: int = 10, rounds: int
     """Best of ``n_init`` deterministic starts (seeds seed..seed+n_init-1),
     all run in the same Lloyd passes; keeps the lowest inertia (first start
     on ties).  Returns (assignments(key, k, prediction, sqdist), centres, inertia)."""
-    init = {i: initial_centres(vectors, [k], key, col, seed + i)[k] for i in range(n_init)}
+    init = {(0, i): initial_centres(vectors, [k], key, col, seed + i)[(0, k)] for i in range(n_init)}
     a, centres = lloyd_sweep(vectors, [k], rounds, key, col, seed, init=init, dims=dims, checkpoint=checkpoint)
     costs = {r["k"]: r["c"] for r in a.groupBy("k").agg(F.sum("sqdist").alias("c")).collect()}
     best = min(costs, key=lambda i: (costs[i], i))
@@ -164,7 +190,7 @@ def bisecting_kmeans(vectors: DataFrame, k: int, n_init: int = 10, seed: int = 4
         if part.count() < 2:
             break
         _a, c, _cost = kmeans_multi_start(part, 2, n_init, rounds, key, col, seed, dims, checkpoint=False)
-        cf = _centres_frame(data.sparkSession, {2: c})
+        cf = _centres_frame(data.sparkSession, {2: c}).drop("_g")
         split = (data.withColumn("k", F.lit(2)).join(cf, "k")
                  .withColumn("_id", nearest(col, "centres")["id"])
                  .withColumn("leaf", F.when(F.col("leaf") == target,

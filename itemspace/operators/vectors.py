@@ -35,8 +35,9 @@ def embed_subjects(responses: DataFrame, item_vectors: DataFrame, how: str = "ma
     behind a row-count check.  With ``n_items`` only subjects that answered
     every item are kept, in the same aggregation (one shuffle in all).
     """
-    n_iv = item_vectors.count()
-    dims = dims or vector_dims(item_vectors, "e")
+    st = item_vectors.agg(F.count("*").alias("n"), F.max(F.size("e")).alias("d")).first()
+    n_iv = int(st["n"])
+    dims = dims or int(st["d"])
     iv = bounded_broadcast(item_vectors.select("item_id", F.col("e").cast("array<double>").alias("e")),
                            known_rows=n_iv)
     j = responses.join(iv, "item_id").select(subject, F.col("answer").cast("double").alias("a"), "e")
@@ -70,9 +71,12 @@ def shift_nonnegative_by(vectors: DataFrame, shift: float, col: str = "v") -> Da
 
 
 def normalize_rows(vectors: DataFrame, p: int = 2, col: str = "v") -> DataFrame:
-    """Row-wise L1/L2 normalisation; an all-zero row stays zero."""
-    n = array_norm(col, p)
-    return vectors.withColumn(col, F.when(n > 0, F.transform(col, lambda x: x / n)).otherwise(F.col(col)))
+    """Row-wise L1/L2 normalisation; an all-zero row stays zero.  The norm is
+    computed once per row into its own column (not once per element)."""
+    return (vectors.withColumn("_norm", array_norm(col, p))
+            .withColumn(col, F.when(F.col("_norm") > 0, F.transform(col, lambda x: x / F.col("_norm")))
+                        .otherwise(F.col(col)))
+            .drop("_norm"))
 
 
 def explode_dims(vectors: DataFrame, key: str = "subject", col: str = "v") -> DataFrame:
@@ -101,19 +105,26 @@ def vector_norm_checks(vectors: DataFrame, p: int = 2, col: str = "v", tol: floa
         F.max(F.array_max(col)).alias("max_value"))
 
 
-def dim_summary(vectors: DataFrame, col: str = "v", digits: int = 6) -> DataFrame:
-    """Per-dimension count / mean / max of a vector table."""
-    return (vectors.select(F.posexplode(col).alias("d", "x"))
-            .groupBy("d")
-            .agg(F.count("x").alias("n"), F.round(F.avg("x"), digits).alias("mean"),
-                 F.round(F.max("x"), digits).alias("max"))
-            .select(F.col("d").cast("int").alias("d"), "n", "mean", "max"))
+def dim_summary(vectors: DataFrame, col: str = "v", digits: int = 6, dims: int | None = None) -> DataFrame:
+    """Per-dimension count / mean / max of a vector table: one aggregate per
+    position (partial aggregation, one row per task before the shuffle);
+    only the final single row is exploded to one row per dimension."""
+    dims = dims or vector_dims(vectors, col)
+    c = F.col(col)
+    agg = vectors.agg(F.array(*[F.count(c[i]) for i in range(dims)]).alias("n"),
+                      F.array(*[F.avg(c[i]) for i in range(dims)]).alias("mean"),
+                      F.array(*[F.max(c[i]) for i in range(dims)]).alias("max"))
+    z = agg.select(F.posexplode(F.arrays_zip("n", "mean", "max")).alias("d", "z"))
+    return z.select(F.col("d").cast("int").alias("d"), F.col("z.n").alias("n"),
+                    F.round("z.mean", digits).alias("mean"), F.round("z.max", digits).alias("max"))
 
 
 def to_long(vectors: DataFrame, key: str = "subject", col: str = "v", digits: int | None = 6) -> DataFrame:
     """(key, d, value) rows, rounded for order-insensitive comparison."""
     x: Column = F.col("x") if digits is None else F.round("x", digits)
-    return (vectors.select(key, F.posexplode(col).alias("d", "x"))
+    # the outer form avoids the inferred size(v) > 0 filter, which would be
+    # pushed below the projections and re-evaluate the whole vector pipeline
+    return (vectors.select(key, F.posexplode_outer(col).alias("d", "x")).where(F.col("d").isNotNull())
             .select(key, F.col("d").cast("int").alias("d"), x.alias("value")))
 
 

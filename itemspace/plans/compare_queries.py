@@ -29,12 +29,12 @@ def run_vectors(spark, sf, p):
 
 def grid_predictions(spark, sf) -> DataFrame:
     """predictions(run_id, k, subject, prediction) of the F9 runs."""
-    parts = []
-    for run_id, p in RUNS:
-        a, _ = K.lloyd_sweep(run_vectors(spark, sf, p), KS, ROUNDS, dims=64)
-        parts.append(a.select(F.lit(run_id).alias("run_id"), F.col("k").cast("int").alias("k"), "subject",
-                              F.col("prediction").cast("int").alias("prediction")))
-    return reduce(DataFrame.unionByName, parts)
+    stacked = reduce(DataFrame.unionByName, [
+        run_vectors(spark, sf, p).withColumn("run", F.lit(i)) for i, (_, p) in enumerate(RUNS)])
+    a, _ = K.lloyd_sweep(stacked, KS, ROUNDS, dims=64, group="run")
+    names = F.array(*[F.lit(r) for r, _ in RUNS])
+    return a.select(F.element_at(names, F.col("run") + 1).alias("run_id"), F.col("k").cast("int").alias("k"),
+                    "subject", F.col("prediction").cast("int").alias("prediction"))
 
 
 def _norm_long_sql(p):

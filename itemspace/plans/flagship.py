@@ -17,4 +17,4 @@ def subject_embeddings(spark: SparkSession, sf_dir: str, how: str = "max", norm:
 
 
 def survey_embedding_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.dim_summary(subject_embeddings(spark, sf_dir))
+    return V.dim_summary(subject_embeddings(spark, sf_dir), dims=64)
