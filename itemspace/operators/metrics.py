@@ -79,7 +79,8 @@ def calinski_harabasz(stats: DataFrame, group: Sequence[str] = (), label: str =
 def _block_sums(keys_col: str, nk: int):
     def fn(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"key": [], "kidx": [], "label": [], "dsum": [], "cnt": []})
+            return pd.DataFrame({"grp": [], "key": [], "kidx": [], "label": [], "dsum": [], "cnt": []})
+        grp = int(left["grp"].iloc[0])
         L = np.stack(left["v"].to_numpy()).astype(np.float64)
         Rm = np.stack(right["v"].to_numpy()).astype(np.float64)
         ln = (L * L).sum(1)[:, None]
@@ -98,7 +99,7 @@ def _block_sums(keys_col: str, nk: int):
             cnts = onehot.sum(0)
             nl, nu = sums.shape
             out.append(pd.DataFrame({
-                "key": np.repeat(lkeys, nu), "kidx": np.full(nl * nu, kidx, dtype=np.int32),
+                "grp": np.full(nl * nu, grp, dtype=np.int32), "key": np.repeat(lkeys, nu), "kidx": np.full(nl * nu, kidx, dtype=np.int32),
                 "label": np.tile(uniq, nl).astype(np.int32), "dsum": sums.reshape(-1),
                 "cnt": np.tile(cnts, nl).astype(np.int64)}))
         return pd.concat(out, ignore_index=True)
@@ -106,47 +107,57 @@ def _block_sums(keys_col: str, nk: int):
 
 
 def silhouette(vectors: DataFrame, labels: DataFrame, key: str = "subject", col: str = "v",
-               k_col: str = "k", label: str = "prediction", block_rows: int = 2048) -> DataFrame:
-    """Exact mean silhouette (Euclidean) for every K at once: (k, silhouette_score).
-
-    Rows are hashed into B blocks; block pair (i, j) meets in one task, where
-    NumPy computes the |Bi| x |Bj| distances and reduces them at once to
-    per-(row, cluster) sums.  Each row is shipped 2B times, B = n/block_rows,
-    so the cost is the unavoidable n^2 d of the exact metric spread over B^2
-    tasks; nothing pair-sized is ever emitted.  0 for clusters of one row.
+               k_col: str = "k", label: str = "prediction", block_rows: int = 2048,
+               group: str | None = None) -> DataFrame:
+    """Exact mean silhouette (Euclidean) for every K at once:
+    ([group,] k, silhouette_score).
+
+    Rows are hashed into B blocks; block pair (i, j) of one group meets in
+    one task, where NumPy computes the |Bi| x |Bj| distances and reduces them
+    at once to per-(row, cluster) sums for every K.  Each row is shipped 2B
+    times, B = n/block_rows, so the cost is the unavoidable n^2 d of the
+    exact metric spread over B^2 tasks; nothing pair-sized is ever emitted.
+    ``group`` (an integer column of both inputs, e.g. the run) keeps
+    independent vector sets apart.  0 for clusters of one row.  Every group
+    must carry labels for every K.
     """
     spark = vectors.sparkSession
     ship_package(spark)
+    gk = [group] if group else []
     ks = sorted(r[0] for r in labels.select(k_col).distinct().collect())
     nk = len(ks)
     kidx = F.array_position(F.array(*[F.lit(k) for k in ks]), F.col(k_col)).cast("int") - 1
     lab = (labels.withColumn("_ki", kidx)
-           .groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_ki", label))).alias("_l"))
-           .select(key, F.transform("_l", lambda s: s[label]).alias("labels")))
-    data = vectors.select(key, col).join(lab, key)
+           .groupBy(key, *gk).agg(F.sort_array(F.collect_list(F.struct("_ki", label))).alias("_l"))
+           .select(key, *gk, F.transform("_l", lambda s: s[label]).alias("labels")))
+    data = vectors.select(key, *gk, col).join(lab, [key, *gk])
     n = data.count()
     nb = max(1, math.ceil(n / block_rows))
     blk = F.pmod(F.xxhash64(key), F.lit(nb)).cast("int")
     seq = F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))
-    base = data.select(F.col(key).cast("long").alias("key"), F.col(col).alias("v"), "labels", blk.alias("_b"))
+    grp = F.col(group).cast("int") if group else F.lit(0)
+    base = data.select(grp.alias("grp"), F.col(key).cast("long").alias("key"), F.col(col).alias("v"), "labels",
+                       blk.alias("_b"))
+    cols = ("grp", "key", "v", "labels")
     # fresh aliases on both sides: the two sides share one lineage
-    left = base.select(*[F.col(c).alias(c) for c in ("key", "v", "labels")], F.col("_b").alias("bi"), seq.alias("bj"))
-    right = base.select(*[F.col(c).alias(c) for c in ("key", "v", "labels")], F.col("_b").alias("bj"), seq.alias("bi"))
-    sums = (left.groupBy("bi", "bj").cogroup(right.groupBy("bi", "bj"))
+    left = base.select(*[F.col(c).alias(c) for c in cols], F.col("_b").alias("bi"), seq.alias("bj"))
+    right = base.select(*[F.col(c).alias(c) for c in cols], F.col("_b").alias("bj"), seq.alias("bi"))
+    sums = (left.groupBy("grp", "bi", "bj").cogroup(right.groupBy("grp", "bi", "bj"))
             .applyInPandas(_block_sums("key", nk),
-                           "key long, kidx int, label int, dsum double, cnt long"))
-    per = sums.groupBy("key", "kidx", "label").agg(F.sum("dsum").alias("dsum"), F.sum("cnt").alias("cnt"))
-    own = base.select("key", F.posexplode("labels").alias("kidx", "own"))
-    j = per.join(own, ["key", "kidx"])
-    w = j.groupBy("key", "kidx").agg(
+                           "grp int, key long, kidx int, label int, dsum double, cnt long"))
+    per = sums.groupBy("grp", "key", "kidx", "label").agg(F.sum("dsum").alias("dsum"), F.sum("cnt").alias("cnt"))
+    own = base.select("grp", "key", F.posexplode("labels").alias("kidx", "own"))
+    j = per.join(own, ["grp", "key", "kidx"])
+    w = j.groupBy("grp", "key", "kidx").agg(
         F.max(F.when(F.col("label") == F.col("own"), F.col("dsum") / (F.col("cnt") - 1))).alias("a"),
         F.max(F.when(F.col("label") == F.col("own"), F.col("cnt"))).alias("own_n"),
         F.min(F.when(F.col("label") != F.col("own"), F.col("dsum") / F.col("cnt"))).alias("b"))
     s = F.when((F.col("own_n") <= 1) | (F.greatest("a", "b") == 0) | F.col("b").isNull(), F.lit(0.0)) \
         .otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    out = w.groupBy("kidx").agg(F.avg(s).alias("silhouette_score"))
+    out = w.groupBy("grp", "kidx").agg(F.avg(s).alias("silhouette_score"))
     kmap = F.array(*[F.lit(k) for k in ks])
-    return out.select(F.element_at(kmap, F.col("kidx") + 1).alias(k_col), "silhouette_score")
+    sel = [F.col("grp").alias(group)] if group else []
+    return out.select(*sel, F.element_at(kmap, F.col("kidx") + 1).alias(k_col), "silhouette_score")
 
 
 def silhouette_sq(df: DataFrame, group: Sequence[str] = (), label: str = "prediction",

@@ -25,4 +25,7 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     # Importing the modules registers their queries.
-    from itemspace.plans import cluster_queries, compare_queries, survey_queries  # noqa: F401
+    from itemspace.plans import (  # noqa: F401
+        cluster_queries, compare_queries, grid_queries, reduce_queries, report_queries, survey_queries,
+        text_queries,
+    )

@@ -27,16 +27,55 @@ def run_vectors(spark, sf, p):
     return vec if p is None else V.normalize_rows(V.shift_nonnegative(vec), p)
 
 
-def grid_predictions(spark, sf) -> DataFrame:
-    """predictions(run_id, k, subject, prediction) of the F9 runs."""
+
+def grid_sweep(spark, sf):
+    """(stacked vectors(subject, v, run), assignments(subject, run, k,
+    prediction, sqdist)) of the F9 runs, all swept in the same passes."""
     stacked = reduce(DataFrame.unionByName, [
         run_vectors(spark, sf, p).withColumn("run", F.lit(i)) for i, (_, p) in enumerate(RUNS)])
     a, _ = K.lloyd_sweep(stacked, KS, ROUNDS, dims=64, group="run")
-    names = F.array(*[F.lit(r) for r, _ in RUNS])
-    return a.select(F.element_at(names, F.col("run") + 1).alias("run_id"), F.col("k").cast("int").alias("k"),
+    return stacked, a
+
+
+def run_name(col="run"):
+    return F.element_at(F.array(*[F.lit(r) for r, _ in RUNS]), F.col(col) + 1)
+
+
+def grid_predictions(spark, sf) -> DataFrame:
+    """predictions(run_id, k, subject, prediction) of the F9 runs."""
+    _, a = grid_sweep(spark, sf)
+    return a.select(run_name().alias("run_id"), F.col("k").cast("int").alias("k"),
                     "subject", F.col("prediction").cast("int").alias("prediction"))
 
 
+def grid_runs(spark, sf) -> DataFrame:
+    """Run parameter table of the F9 grid."""
+    rows = [(r, "embedding", "none" if p is None else f"l{p}", "kmeans", "none", None, True) for r, p in RUNS]
+    return spark.createDataFrame(rows, "run_id string, mode string, norm string, cluster_method string, "
+                                       "dimred_method string, n_components int, is_orig_dim boolean")
+
+
+METRIC_NAMES = ["davies_bouldin_score", "calinski_harabasz_score", "silhouette_score"]
+
+
+def grid_run_metrics(spark, sf) -> DataFrame:
+    """run_metrics(run_id, k, davies_bouldin_score, calinski_harabasz_score,
+    silhouette_score, inertia, n_labels, COR_<metric>...) for the F9 grid:
+    every run and K scored in the same jobs (grouped by run, k)."""
+    from itemspace.operators import metrics as M
+    stacked, a = grid_sweep(spark, sf)
+    df = a.join(stacked, ["subject", "run"])
+    st = M.cluster_stats(df, ["run", "k"], dims=64)
+    g = ["run", "k"]
+    m = (M.davies_bouldin(st, g).join(M.calinski_harabasz(st, g), g)
+         .join(M.silhouette(stacked, a.select("subject", "run", "k", "prediction"), group="run"), g)
+         .join(a.groupBy(*g).agg(F.sum("sqdist").alias("inertia"),
+                                 F.count_distinct("prediction").alias("n_labels")), g))
+    cor = M.metric_inertia_correlation(m, METRIC_NAMES, ["run"])
+    return m.join(cor, "run").select(run_name().alias("run_id"), F.col("k").cast("int").alias("k"),
+                                     *METRIC_NAMES, "inertia", "n_labels", *[f"COR_{n}" for n in METRIC_NAMES])
+
+
 def _norm_long_sql(p):
     base = long_vectors(VS)
     if p is None:
