@@ -212,3 +212,46 @@ def _sse(df: DataFrame, col: str, dims: int) -> float:
     if not r["n"]:
         return 0.0
     return float(r["q"] - sum(x * x for x in r["s"]) / r["n"])
+
+
+# ------------------------------------------------------------ spectral (Nystrom)
+def spectral_clustering(vectors: DataFrame, ks: Sequence[int], gamma: float = 1.0, landmarks: int = 200,
+                        key: str = "subject", col: str = "v", n_init: int = 10, rounds: int = 10,
+                        seed: int = 42) -> DataFrame:
+    """RBF spectral clustering with a Nystrom approximation: m md5-ranked
+    landmarks (broadcast, m x d), row-parallel affinities to them
+    (n x m, never n x n), degree-normalised rows F = C / sqrt(deg), top
+    eigenvectors of the m x m Gram F^T F (aggregated per task in NumPy,
+    eigen-decomposed on the driver), row-normalised spectral coordinates,
+    then k-means with ``n_init`` starts per K.  Returns (key, k, prediction)."""
+    import numpy as np
+    from itemspace.operators.reduce import gram_stats
+    kmax = max(ks)
+    first = (vectors.withColumn("_h", det_uint32(seed, key)).orderBy("_h", key).limit(landmarks)
+             .select(col).collect())
+    L = np.array([list(r[0]) for r in first])
+    lm = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in L])
+    aff = F.transform(lm, lambda l: F.exp(-gamma * array_sqdist(col, l)))
+    feats = vectors.select(key, aff.alias("_c")).withColumn(
+        "_deg", F.aggregate("_c", F.lit(0.0), lambda a, x: a + x)).select(
+        key, F.transform("_c", lambda x: x / F.sqrt(F.greatest(F.col("_deg"), F.lit(1e-300)))).alias("f"))
+    feats = persist(feats)
+    m = L.shape[0]
+    G = np.zeros((m, m))
+    for r in gram_stats(feats, "f", m).collect():
+        G[r["i"], r["j"]] = G[r["j"], r["i"]] = r["g"]
+    w, U = np.linalg.eigh(G)
+    top = U[:, np.argsort(w)[::-1][:kmax]]
+    basis = F.array(*[F.array(*[F.lit(float(x)) for x in top[:, c]]) for c in range(top.shape[1])])
+    emb = feats.select(key, F.transform(basis, lambda b: F.aggregate(
+        F.zip_with("f", b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)).alias("_e"))
+    out = None
+    for k in ks:
+        ek = emb.select(key, F.slice("_e", 1, k).alias("_s"))
+        nrm = F.sqrt(F.aggregate("_s", F.lit(0.0), lambda a, x: a + x * x))
+        ek = ek.select(key, F.when(nrm > 0, F.transform("_s", lambda x: x / nrm)).otherwise(F.col("_s")).alias(col))
+        a, _c, _cost = kmeans_multi_start(ek, k, n_init, rounds, key, col, seed, dims=k)
+        part = a.select(key, F.lit(k).alias("k"), "prediction")
+        out = part if out is None else out.unionByName(part)
+    feats.unpersist()
+    return out

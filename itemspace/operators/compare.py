@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itemspace.functions.hashing import det_uint32
-from itemspace.session import bounded_broadcast, ship_package
+from itemspace.session import bounded_broadcast, materialize, ship_package
 
 PAIR = ["run_a", "run_b", "k"]
 RANDOM_RUN = "randomGuess"
@@ -266,7 +266,10 @@ def pairwise_scores(predictions: DataFrame, reps: int = 10, seed: int = 42,
     cont = pair_contingency(predictions)
     if include_random:
         cont = cont.unionByName(random_contingency(predictions, seed))
-    maps = match_labels(cont)
+    # both are tiny (pairs x K x labels^2 rows) and read several times below:
+    # materialise them once in the shared checkpoint folder
+    cont = materialize(cont)
+    maps = materialize(match_labels(cont))
     ari = adjusted_rand(cont)
     matched = maps.groupBy(*PAIR).agg(F.first("matched").alias("matched"))
     base = random_baseline(predictions, maps, reps, seed)
@@ -274,8 +277,9 @@ def pairwise_scores(predictions: DataFrame, reps: int = 10, seed: int = 42,
            .withColumn("f1", F.col("matched") / F.col("n"))
            .withColumn("perf_randindex_raw", F.col("randindex") - F.col("randindex_vs_randint"))
            .withColumn("perf_f1_raw", F.col("f1") - F.col("f1_vs_randint")))
-    return out.select(*PAIR, "n", "randindex", "f1", "randindex_vs_randint", "f1_vs_randint",
-                      "perf_randindex_raw", "perf_f1_raw")
+    # pairs x K rows, usually read by several report tables
+    return materialize(out.select(*PAIR, "n", "randindex", "f1", "randindex_vs_randint", "f1_vs_randint",
+                                  "perf_randindex_raw", "perf_f1_raw"))
 
 
 def score_margin(scores: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from itemspace.operators import compare as CP
 from itemspace.operators import vectors as V
 from itemspace.plans.catalog import query
 from itemspace.plans.sqlgen import compare_ctes, kmeans_ctes, long_vectors
+from itemspace.session import materialize
 from itemspace.sources import fixtures as fx
 
 KS = [2, 3, 4]
@@ -71,6 +72,7 @@ def grid_run_metrics(spark, sf) -> DataFrame:
          .join(M.silhouette(stacked, a.select("subject", "run", "k", "prediction"), group="run"), g)
          .join(a.groupBy(*g).agg(F.sum("sqdist").alias("inertia"),
                                  F.count_distinct("prediction").alias("n_labels")), g))
+    m = materialize(m)  # runs x K rows, read by every report table
     cor = M.metric_inertia_correlation(m, METRIC_NAMES, ["run"])
     return m.join(cor, "run").select(run_name().alias("run_id"), F.col("k").cast("int").alias("k"),
                                      *METRIC_NAMES, "inertia", "n_labels", *[f"COR_{n}" for n in METRIC_NAMES])

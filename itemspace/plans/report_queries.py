@@ -123,11 +123,10 @@ def _cor_sql() -> str:
 
 
 def _spark_report_inputs(spark, sf):
-    preds = grid_predictions(spark, sf)
-    scores = CP.pairwise_scores(preds)
+    """Run metrics and the (non-random) run pairs they are compared over."""
     rm = grid_run_metrics(spark, sf)
-    pairs = scores.select("run_a", "run_b")
-    return scores, rm, pairs
+    pairs = CP.enumerate_pairs(rm.select("run_id").distinct())
+    return None, rm, pairs
 
 
 @query("relative_metric_share", RPT + f",\nsh as ({_share_sql()})\n"
@@ -220,3 +219,37 @@ where not (contains(lower(run_a), 'raw') or contains(lower(run_b), 'raw')) group
 def q_exclude_runs(spark, sf):
     m = CP.score_margin(CP.pairwise_scores(grid_predictions(spark, sf)))
     return RP.exclude_runs(m, ["RAW"]).select("run_a", "run_b", F.round("perf_f1_mean", 6).alias("perf_f1_mean"))
+
+
+@query("json_lists", RM_SQL + """
+select run_id, k, round(silhouette_score, 5) as silhouette_score from rm""")
+def q_json_lists(spark, sf):
+    """Per-K values held as JSON text per run (as the run tables store them)
+    and zipped back to K."""
+    m = grid_run_metrics(spark, sf)
+    js = m.groupBy("run_id").agg(
+        F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("k", "silhouette_score"))),
+                              lambda s: s["silhouette_score"])).alias("silhouette_json"),
+        F.sort_array(F.collect_list("k")).alias("K_list"))
+    back = js.select("run_id", F.explode(F.arrays_zip(F.col("K_list").alias("k"),
+                                                      F.from_json("silhouette_json", "array<double>").alias("s"))).alias("z"))
+    return back.select("run_id", F.col("z.k").alias("k"), F.round("z.s", 5).alias("silhouette_score"))
+
+
+@query("attach_run_params", CMP + """,
+summ as (select run_a, run_b, avg(perf_f1_raw) as pf from cmp_scores group by run_a, run_b),
+rp as (""" + " union all ".join(
+    f"select '{r}' as run_id, 'embedding' as mode, '{'none' if p is None else f'l{p}'}' as norm, "
+    "'kmeans' as cluster_method" for r, p in RUNS) + """)
+select s.run_a, s.run_b, a.norm as normA, b.norm as normB, a.cluster_method as cluster_methodA,
+       round(s.pf, 6) as perf_f1_mean
+from summ s join rp a on a.run_id = s.run_a left join rp b on b.run_id = s.run_b""")
+def q_attach_run_params(spark, sf):
+    m = CP.score_margin(CP.pairwise_scores(grid_predictions(spark, sf)))
+    runs = grid_runs(spark, sf)
+    a = runs.select(F.col("run_id").alias("run_a"), F.col("norm").alias("normA"),
+                    F.col("cluster_method").alias("cluster_methodA"))
+    b = runs.select(F.col("run_id").alias("run_b"), F.col("norm").alias("normB"))
+    return (m.join(F.broadcast(a), "run_a").join(F.broadcast(b), "run_b", "left")
+            .select("run_a", "run_b", "normA", "normB", "cluster_methodA",
+                    F.round("perf_f1_mean", 6).alias("perf_f1_mean")))
