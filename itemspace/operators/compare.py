@@ -141,6 +141,7 @@ def _lex_best_assignment(C: np.ndarray) -> tuple[list[int], float]:
     best = _hungarian_max(C)
     fixed: list[int] = []
     used: set[int] = set()
+    acc = 0.0
     for r in range(m):
         for c in range(m):
             if c in used:
@@ -148,9 +149,10 @@ def _lex_best_assignment(C: np.ndarray) -> tuple[list[int], float]:
             rows = [i for i in range(r + 1, m)]
             cols = [j for j in range(m) if j not in used and j != c]
             rest = _hungarian_max(C[np.ix_(rows, cols)]) if rows else 0.0
-            if C[r, c] + rest >= best - 1e-9:
+            if acc + C[r, c] + rest >= best - 1e-9:
                 fixed.append(c)
                 used.add(c)
+                acc += C[r, c]
                 break
     return fixed, best
 

@@ -98,7 +98,9 @@ def parse_pipe_table(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     cells = F.filter(F.split(F.col("line"), r"\|"), lambda x: x != "")
     body = d.where(~sep).select(key, "rec", "pos", cells.alias("c"))
     g = body.groupBy(key, "rec").agg(F.sort_array(F.collect_list(F.struct("pos", "c"))).alias("parts"))
-    joined = g.select(key, "rec", *[F.array_join(F.transform("parts", lambda p, i=i: p["c"][i]), "").alias(n)
+    def cell(idx):
+        return lambda p: p["c"][idx]  # one-argument lambda: Spark reads two arguments as (x, index)
+    joined = g.select(key, "rec", *[F.array_join(F.transform("parts", cell(i)), "").alias(n)
                                     for i, n in enumerate(["code", "question", "values"])])
     # a record is closed by its separator line: the open tail after the last one is dropped
     closed = d.where(sep).groupBy(key).agg(F.max("rec").alias("_last"))

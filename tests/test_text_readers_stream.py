@@ -37,11 +37,13 @@ def test_stitch_pipe_blocks(spark):
     doc = "1. I like\n cats\n\n2. Dogs  are\nfine\n"
     d = spark.createDataFrame([(1, doc)], "doc_id long, text string")
     got = [r.sentence for r in RD.stitch_numbered_lines(d).orderBy("rec_no").collect()]
-    assert got == ["I like cats", "Dogs are fine"]
+    # continuation lines are glued without a separator, as in the original parser
+    assert got == ["I like cats", "Dogs arefine"]
     pipe = "| 1 | Age | n |\n| 0 | in years | |\n------\n|  | skip | x |\n------\n| 3 | Mood | 1-5 |\n------\n| 9 | open | |"
     p = spark.createDataFrame([(1, pipe)], "doc_id long, text string")
     rows = [(r.code, r.sentence) for r in RD.parse_pipe_table(p).orderBy("rec").collect()]
-    assert rows == [("10", "Agein years"), ("3", "Mood")]
+    # cells are concatenated as written (spaces kept), then trimmed
+    assert rows == [("1  0", "Age in years"), ("3", "Mood")]
     blocks = "intro\n1\nSad  2x\n2\nTired\n"
     b = spark.createDataFrame([(1, blocks)], "doc_id long, text string")
     assert [(r.item, r.sentence) for r in RD.split_numbered_blocks(b).collect()] == [(1, "Sad x"), (2, "Tired")]
