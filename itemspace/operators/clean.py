@@ -119,10 +119,9 @@ def filter_total_time(df: DataFrame, time_cols: Sequence[str], lo, hi) -> DataFr
 def rowsum_outlier_bounds(df: DataFrame, value: Column) -> tuple[Column, Column]:
     """(lower, upper) = (mean - sd/2, mean + 2 sd), sample sd, computed once on
     ``df`` as scalar subqueries (one extra aggregate pass)."""
-    stats = df.agg(F.avg(value).alias("mu"), F.stddev_samp(value).alias("sd"))
-    mu = stats.select("mu").scalar()
-    sd = stats.select("sd").scalar()
-    return mu - sd / 2, mu + 2 * sd
+    stats = df.agg(F.struct(F.avg(value).alias("mu"), F.stddev_samp(value).alias("sd")).alias("st")).scalar()
+    # one scalar subquery (one aggregate pass) holding both statistics
+    return stats["mu"] - stats["sd"] / 2, stats["mu"] + 2 * stats["sd"]
 
 
 def filter_rowsum_outliers(df: DataFrame, value: Column) -> DataFrame:

@@ -81,3 +81,38 @@ def q_score_stream(spark, sf):
 def score_static(spark, sf, centres, shift):
     """The same transform on the static table (used by tests)."""
     return score_batch(fx.responses(spark, sf), fx.item_vectors(spark, sf), fx.N_ITEMS_F1, shift, centres)
+
+
+@query("pairwise_roundtrip", "with recursive " + GRID + __import__("itemspace.plans.sqlgen", fromlist=["x"])
+       .compare_ctes("pred") + """
+select run_a, run_b, round(avg(perf_randindex_raw), 6) as perf_randindex_mean,
+       round(avg(perf_f1_raw), 6) as perf_f1_mean
+from cmp_scores group by run_a, run_b""")
+def q_pairwise_roundtrip(spark, sf):
+    """Pair summaries written sorted by mean ARI margin (JSON) and read back."""
+    from itemspace.operators import compare as CP
+    path = _scratch(spark, "pairwise")
+    SK.write_pairwise(CP.score_margin(CP.pairwise_scores(grid_predictions(spark, sf))), path, fmt="json")
+    back = RD.read_pairwise(spark, path, fmt="json")
+    return back.select("run_a", "run_b", F.round("perf_randindex_mean", 6).alias("perf_randindex_mean"),
+                       F.round("perf_f1_mean", 6).alias("perf_f1_mean"))
+
+
+@query("export_subject_projector", "with " + GRID + """
+select run_id, subject, max(case when k = 2 then prediction end) as pred_k2,
+       max(case when k = 3 then prediction end) as pred_k3, max(case when k = 4 then prediction end) as pred_k4,
+       case run_id when 'kmeans_raw' then 'none' when 'kmeans_l1' then 'l1' else 'l2' end as norm,
+       64 as n_dims
+from pred group by run_id, subject""")
+def q_export_subject_projector(spark, sf):
+    """Vectors + per-K predictions + run parameters per subject, joined by the
+    subject id, written as Parquet and read back."""
+    from itemspace.operators import compare as CP
+    from itemspace.plans.compare_queries import KS, grid_runs
+    path = _scratch(spark, "projector")
+    wide = CP.predictions_wide(grid_predictions(spark, sf), KS)
+    SK.export_subject_projector(fx.vectors(spark, sf).select("subject", "v"), wide,
+                                grid_runs(spark, sf).select("run_id", "norm"), path)
+    back = spark.read.parquet(path)
+    return back.select("run_id", "subject", "pred_k2", "pred_k3", "pred_k4", "norm",
+                       F.size("v").alias("n_dims"))
