@@ -13,8 +13,10 @@ def write_run_metrics(df: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def write_predictions(df: DataFrame, path: str, mode: str = "append") -> None:
-    # one file group per run partition; rows clustered by K inside it
-    (df.repartition("dataset", "run_id").sortWithinPartitions("k", "subject")
+    # no repartition by run: one run may hold a large share of all rows, and
+    # funnelling it into one task would serialise the write; rows are only
+    # sorted inside each task so every task keeps one open file per partition
+    (df.sortWithinPartitions("dataset", "run_id", "k")
      .write.mode(mode).partitionBy("dataset", "run_id").parquet(path))
 
 

@@ -92,3 +92,36 @@ def test_kendall_tau_b_with_ties(spark):
     tau = M.kendall_tau_b(df, "m", "inertia").first().tau
     # pairs: (1,2):(-,+)->-1 ; (1,3):-1 ; (2,3): tie in m -> 0 ; n0=3, tx=1, ty=0
     assert abs(tau - (-2 / np.sqrt(2 * 3))) < 1e-12
+
+
+def test_pca_nmf_dictionary_properties(spark):
+    from itemspace.operators import reduce as RDX
+    rng = np.random.default_rng(7)
+    X = rng.random((80, 6))
+    df = _vec(spark, X).select("subject", "v")
+    proj, evr = RDX.pca(df, 2, dims=6)
+    P = np.array([r.v for r in proj.orderBy("subject").collect()])
+    w = np.linalg.eigvalsh(np.cov(X.T))[::-1]
+    assert abs(evr - w[:2].sum() / w.sum()) < 1e-9
+    assert abs(P.var(0, ddof=1).sum() - w[:2].sum()) < 1e-9
+    errs = []
+    for it in (2, 10):
+        W, H, err = RDX.nmf(df, 3, iters=it)
+        assert (H >= 0).all() and min(min(r.w) for r in W.collect()) >= 0
+        errs.append(err)
+    assert errs[1] <= errs[0] + 1e-9
+    codes, D = RDX.dictionary_learning(df, 4, alpha=0.05, iters=3)
+    assert np.allclose(np.linalg.norm(D, axis=1)[np.linalg.norm(D, axis=1) > 0] <= 1 + 1e-9, True)
+    C = np.array([r.code for r in codes.orderBy("subject").collect()])
+    assert np.linalg.norm(X - C @ D) < np.linalg.norm(X)
+
+
+def test_fuzzy_graph_symmetric_and_bounded(spark):
+    from itemspace.operators import reduce as RDX
+    rng = np.random.default_rng(8)
+    df = _vec(spark, rng.normal(size=(50, 5))).select("subject", "v")
+    knn = RDX.knn_graph(df, 9, metric="cosine", block_rows=16)
+    assert knn.groupBy("src").count().agg(F.min("count"), F.max("count")).first() == (9, 9)
+    g = {(r.src, r.dst): r.w for r in RDX.fuzzy_graph(knn, 10).collect()}
+    assert all(0 < w <= 1 + 1e-12 for w in g.values())
+    assert all(abs(g[(a, b)] - g[(b, a)]) < 1e-12 for (a, b) in g)
