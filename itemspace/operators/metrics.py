@@ -195,8 +195,9 @@ def silhouette_sq(df: DataFrame, group: Sequence[str] = (), label: str = "predic
 def kendall_tau_b(df: DataFrame, x: str, y: str, group: Sequence[str] = ()) -> DataFrame:
     """Kendall tau-b between two columns over the rows of each group (the K
     list: a handful of rows), by a pairwise self join i < j."""
+    added = not group
     g = list(group) or ["_g"]
-    if "_g" in g:
+    if added:
         df = df.withColumn("_g", F.lit(0))
     a = df.select(*g, F.col("k").alias("ka"), F.col(x).alias("xa"), F.col(y).alias("ya"))
     b = df.select(*g, F.col("k").alias("kb"), F.col(x).alias("xb"), F.col(y).alias("yb"))
@@ -207,7 +208,7 @@ def kendall_tau_b(df: DataFrame, x: str, y: str, group: Sequence[str] = ()) -> D
         F.sum(sx * sy).alias("s"), F.count("*").alias("n0"),
         F.count_if(sx == 0).alias("tx"), F.count_if(sy == 0).alias("ty"))
     den = F.sqrt((F.col("n0") - F.col("tx")).cast("double") * (F.col("n0") - F.col("ty")).cast("double"))
-    keep = [c for c in g if c != "_g"]
+    keep = [c for c in g if not (added and c == "_g")]
     return agg.select(*keep, F.when(den > 0, F.col("s") / den).alias("tau"))
 
 

@@ -116,3 +116,18 @@ def q_export_subject_projector(spark, sf):
     back = spark.read.parquet(path)
     return back.select("run_id", "subject", "pred_k2", "pred_k3", "pred_k4", "norm",
                        F.size("v").alias("n_dims"))
+
+
+@query("read_responses", f"""
+select subject, {", ".join(fx.Q_COLS)} from ({fx.SURVEY_WIDE_SQL})
+where {" and ".join(f"{q} is not null" for q in fx.Q_COLS)}""")
+def q_read_responses(spark, sf):
+    """The wide survey written as a tab-separated file with 'NA' for missing
+    answers, read back with an explicit schema, incomplete rows dropped."""
+    path = _scratch(spark, "responses-tsv")
+    cols = ["subject", *fx.Q_COLS, "age"]
+    (fx.survey_wide(spark, sf).select(*cols).write.option("sep", "\t").option("header", True)
+     .option("nullValue", "NA").csv(path))
+    schema = "subject long, " + ", ".join(f"{q} int" for q in fx.Q_COLS) + ", age int"
+    back = RD.read_responses(spark, path, schema)
+    return C.drop_incomplete(back, fx.Q_COLS).select("subject", *fx.Q_COLS)

@@ -108,6 +108,13 @@ def persist(df: DataFrame) -> DataFrame:
 
 
 def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut lineage by a reliable checkpoint in the shared checkpoint folder."""
+    """Cut lineage by a reliable checkpoint in the shared checkpoint folder
+    (it survives executor loss, unlike cached blocks).  The input is cached
+    while the checkpoint is written, so it is computed once, not twice."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    if not eager:
+        return df.checkpoint(eager=False)
+    cached = persist(df)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
