@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from itemspace.functions.vector import array_sqdist
 from itemspace.operators.vectors import vector_dims
-from itemspace.session import bounded_broadcast, ship_package
+from itemspace.session import bounded_broadcast, materialize, ship_package
 
 
 def cluster_stats(df: DataFrame, group: Sequence[str] = (), label: str = "prediction",
@@ -27,13 +27,14 @@ def cluster_stats(df: DataFrame, group: Sequence[str] = (), label: str = "predic
     Euclidean distance to the centroid."""
     g = list(group)
     dims = dims or vector_dims(df, col)
-    cent = df.groupBy(*g, label).agg(
+    # groups x K rows: materialised once, then counted, broadcast and reused
+    cent = materialize(df.groupBy(*g, label).agg(
         F.count("*").alias("size"),
-        F.array(*[F.avg(F.col(col)[i]) for i in range(dims)]).alias("centroid"))
+        F.array(*[F.avg(F.col(col)[i]) for i in range(dims)]).alias("centroid")))
     j = df.join(bounded_broadcast(cent.select(*g, label, "centroid")), g + [label])
     d2 = array_sqdist(col, "centroid")
     scat = j.groupBy(*g, label).agg(F.avg(F.sqrt(d2)).alias("scatter"), F.sum(d2).alias("sse"))
-    return cent.join(scat, g + [label])
+    return materialize(cent.join(scat, g + [label]))
 
 
 def davies_bouldin(stats: DataFrame, group: Sequence[str] = (), label: str = "prediction") -> DataFrame:

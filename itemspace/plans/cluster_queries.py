@@ -8,6 +8,7 @@ from itemspace.operators import cluster as K
 from itemspace.operators import metrics as M
 from itemspace.plans.catalog import query
 from itemspace.plans.sqlgen import kmeans_ctes, long_vectors, metric_ctes
+from itemspace.session import materialize
 from itemspace.sources import fixtures as fx
 
 KS = [2, 3, 4]
@@ -57,8 +58,9 @@ def _sweep_metrics(spark, sf):
     db = M.davies_bouldin(st, ["k"])
     ch = M.calinski_harabasz(st, ["k"])
     sil = M.silhouette(vec, a.select("subject", "k", "prediction"))
-    return (db.join(ch, "k").join(sil, "k").join(K.inertia(a), "k")
-            .join(K.check_label_count(a).select("k", "n_labels"), "k"))
+    # K rows, read several times by the correlation and curve tables
+    return materialize(db.join(ch, "k").join(sil, "k").join(K.inertia(a), "k")
+                       .join(K.check_label_count(a).select("k", "n_labels"), "k"))
 
 
 _SWEEP_SQL = f"""with {KM}{metric_ctes(PRED, "km_v", VA)},
