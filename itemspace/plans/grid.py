@@ -52,17 +52,22 @@ def run_grid(spark: SparkSession, grid: DataFrame, build_vectors: Callable[[dict
             vec = cache[ck]
             dims = vector_dims(vec)
             nc = cell.get("n_components")
-            method = cell.get("dimred_method") or "none"
-            if method != "none" and RDX.dimred_rule(nc, dims, method) == "skipped":
-                status.append((cell["run_id"], "skipped", f"n_components {nc} >= input dimension {dims}", 0.0))
+            method = cell.get("dimred_method") or "pca"
+            rule = RDX.dimred_rule(nc, dims, method)
+            if rule == "skipped":
+                status.append((cell["run_id"], "skipped",
+                               f"no reduction needed ({nc} vs {dims} dims) and method {method} is not pca",
+                               0.0, None))
                 continue
-            if method == "pca" and nc is not None and nc < dims:
+            if rule == "reduce" and method == "pca":
                 vec, _evr = RDX.pca(vec, nc, key, dims=dims)
                 dims = nc
-            elif method == "nmf" and nc is not None and nc < dims:
+            elif rule == "reduce" and method == "nmf":
                 w, _h, _err = RDX.nmf(vec, nc, key)
                 vec = w.withColumnRenamed("w", "v")
                 dims = nc
+            elif rule == "reduce":
+                raise ValueError(f"invalid dimred_method: {method}")
             a, _ = K.lloyd_sweep(vec, ks, rounds, key, dims=dims)
             df = a.join(vec, key)
             st = M.cluster_stats(df, ["k"], dims=dims)
@@ -71,12 +76,12 @@ def run_grid(spark: SparkSession, grid: DataFrame, build_vectors: Callable[[dict
                  .join(a.groupBy("k").agg(F.sum("sqdist").alias("inertia")), "k"))
             preds.append(a.select(F.lit(cell["run_id"]).alias("run_id"), "k", key, "prediction"))
             mets.append(m.withColumn("run_id", F.lit(cell["run_id"])).withColumn("df_shape_ndim", F.lit(dims)))
-            status.append((cell["run_id"], "ok", None, time.time() - t0))
+            status.append((cell["run_id"], "ok", None, time.time() - t0, dims))
         except Exception as e:  # noqa: BLE001 - the grid records the failure and goes on
-            status.append((cell["run_id"], "failed", f"{type(e).__name__}: {e}"[:500], time.time() - t0))
+            status.append((cell["run_id"], "failed", f"{type(e).__name__}: {e}"[:500], time.time() - t0, None))
     for v in cache.values():
         v.unpersist()
-    st_df = spark.createDataFrame(status, "run_id string, status string, reason string, seconds double")
+    st_df = spark.createDataFrame(status, "run_id string, status string, reason string, seconds double, n_dims int")
     empty_p = spark.createDataFrame([], f"run_id string, k int, {key} long, prediction int")
     pred = preds[0] if preds else empty_p
     for p in preds[1:]:

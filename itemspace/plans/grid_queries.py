@@ -39,13 +39,37 @@ def _build_vectors(spark, sf):
     return build
 
 
-@query("run_grid")
+_GRID_CELLS = [(m, d, n) for m in ("feat_raw", "embed") for d, n in
+               (("pca", None), ("pca", 3), ("pca", 8), ("nmf", None))]
+_GRID_DIMS = {"feat_raw": fx.N_ITEMS_F1, "embed": 64}
+
+
+@query("run_grid", f"""
+with c as (select * from (values {", ".join(f"('{m}', '{d}', {'null' if n is None else n})" for m, d, n in _GRID_CELLS)})
+           t(mode, dimred_method, n_components)),
+dm as (select * from (values ('feat_raw', {_GRID_DIMS["feat_raw"]}), ('embed', {_GRID_DIMS["embed"]})) t(mode, d)),
+ns as (select count(*) as n from (select subject from ({fx.RESPONSES_SQL}) group by subject
+                                  having count(answer) = {fx.N_ITEMS_F1}))
+select c.mode, 'l2' as norm, c.dimred_method, c.n_components,
+       case when dimred_method <> 'pca' and (n_components is null or n_components >= d) then 'skipped' else 'ok' end
+         as status,
+       case when dimred_method <> 'pca' and (n_components is null or n_components >= d) then null
+            when n_components is null or n_components >= d then d else n_components end as n_dims,
+       case when dimred_method <> 'pca' and (n_components is null or n_components >= d) then null
+            else (select n from ns) end as n_subjects
+from c join dm using (mode)""")
 def q_run_grid(spark, sf):
-    opts = {"dataset": ["F1"], "mode": ["feat_raw", "embed"], "norm": ["l2"], "cluster_method": ["kmeans"]}
-    grid = param_grid(spark, {**opts, "dimred_method": ["pca"], "n_components": [3, 8]}).unionByName(
-        param_grid(spark, {**opts, "dimred_method": ["none"], "n_components": [None]}))
-    _pred, _met, status = run_grid(spark, grid, _build_vectors(spark, sf), [2, 3])
-    return grid.join(status, "run_id").select("run_id", "mode", "norm", "dimred_method", "n_components", "status")
+    """A small grid on the F1 survey: raw answers and embeddings, PCA to 3 or
+    8 dims or none (OrigD), and an NMF cell that the dimension rule skips."""
+    opts = {"dataset": ["F1"], "norm": ["l2"], "cluster_method": ["kmeans"]}
+    grid = None
+    for m, d, n in _GRID_CELLS:
+        g = param_grid(spark, {**opts, "mode": [m], "dimred_method": [d], "n_components": [n]})
+        grid = g if grid is None else grid.unionByName(g)
+    pred, _met, status = run_grid(spark, grid, _build_vectors(spark, sf), [2, 3])
+    ns = pred.groupBy("run_id").agg(F.count_distinct("subject").alias("n_subjects"))
+    return (grid.join(status, "run_id").join(ns, "run_id", "left")
+            .select("mode", "norm", "dimred_method", "n_components", "status", "n_dims", "n_subjects"))
 
 
 @query("predictions_roundtrip", "with " + GRID + " select run_id, k, subject, prediction from pred "
