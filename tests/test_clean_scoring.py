@@ -71,3 +71,14 @@ def test_unit_circle_and_shift_positive(spark):
     assert c[1] == (-1.0, 0.0) and c[3] == (1.0, 0.0) and c[2] == (0.0, 1.0)
     z = _resp(spark, [(1, 1, 0), (1, 2, 4)])
     assert sorted(r.answer for r in S.shift_positive(z).collect()) == [1, 5]
+
+
+def test_dimred_rule_and_k_range():
+    from itemspace.operators.reduce import dimred_rule, umap_neighbours
+    assert dimred_rule(3, 7, "pca") == "reduce"
+    assert dimred_rule(8, 7, "pca") == "orig"      # PCA keeps the original dimension
+    assert dimred_rule(None, 7, "pca") == "orig"
+    assert dimred_rule(8, 7, "nmf") == "skipped"   # redundant with the PCA/OrigD cell
+    assert dimred_rule(None, 64, "umap") == "skipped"
+    assert C.k_range("2-9") == list(range(2, 10))
+    assert umap_neighbours(100) == 15 and umap_neighbours(1000) == 94 and umap_neighbours(5000) == 100
