@@ -309,3 +309,15 @@ def q_reverse_score(spark, sf):
     neg = r.select("item_id").distinct().where(F.col("item_id") % 2 == 0)
     out = S.reverse_score(r, neg, 1, 5)
     return out.groupBy("subject").agg(F.sum("answer").cast("bigint").alias("total"))
+
+
+@query("select_precomputed_scores", f"""
+select subject, s1, s3 from (
+  select subject, {", ".join(f"max(case when scale = {s} then score end) as s{s}" for s in range(5))}
+  from (select subject, scale, sum(cast(answer as double)) as score
+        from ({fx.DENSE_RESPONSES_SQL}) r join ({fx.SUBSCALE_MAP_SQL}) m using (item_id)
+        group by subject, scale) group by subject)""")
+def q_select_precomputed_scores(spark, sf):
+    """Keep only the already-computed score columns a study ships with."""
+    s = S.score_subscales(fx.dense_responses(spark, sf), fx.subscale_map(spark, sf), "sum")
+    return S.select_precomputed_scores(S.scores_wide(s, list(range(5))), ["s1", "s3"])
