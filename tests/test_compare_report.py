@@ -78,3 +78,28 @@ def test_subject_diff(spark):
     b = spark.createDataFrame([(2,), (3,), (4,), (5,)], "subject long")
     r = CP.subject_diff(a, b).first()
     assert (r.n_a, r.n_b, r.n_common, r.n_diff) == (3, 4, 2, 3)
+
+
+def test_relative_metric_share_and_edges(spark):
+    from itemspace.operators import report as RP
+    rm = spark.createDataFrame(
+        [("a", 3, 1.0, 10.0, 0.2, 0.5, 0.5, 0.5), ("b", 3, 2.0, 30.0, 0.6, 1.0, 0.0, 1.0)],
+        "run_id string, k int, davies_bouldin_score double, calinski_harabasz_score double, "
+        "silhouette_score double, COR_davies_bouldin_score double, COR_calinski_harabasz_score double, "
+        "COR_silhouette_score double")
+    pairs = spark.createDataFrame([("a", "b"), ("a", "randomGuess")], "run_a string, run_b string")
+    sh = {(r.metric, r.run_row, r.run_col): r.value for r in RP.relative_metric_share(rm, pairs, 3).collect()}
+    # best: db 2.0, ch 30.0, sil (0.6 + 1) / 2 = 0.8
+    a, b = 1 - 1.0 / 2.0, 1 - 2.0 / 2.0
+    assert abs(sh[("davies_bouldin_score", "a", "b")] - a / (a + b)) < 1e-12
+    a, b = (0.2 + 1) / 2 / 0.8, (0.6 + 1) / 2 / 0.8
+    assert abs(sh[("silhouette_score", "b", "a")] - b / (a + b)) < 1e-12
+    assert all(r != "randomGuess" and c != "randomGuess" for _, r, c in sh)
+    scores = spark.createDataFrame([("a", "b", 3, 0.2, 0.4), ("a", "c", 3, 0.0, 0.2)],
+                                   "run_a string, run_b string, k int, perf_randindex_raw double, perf_f1_raw double")
+    summ = spark.createDataFrame([("a", "b", 0.3, 0.1), ("a", "c", 0.1, 0.0)],
+                                 "run_a string, run_b string, perf_f1_mean double, perf_randindex_mean double")
+    e = {(r.src, r.dst): (r.weight, r.raw_weight) for r in RP.similarity_edges(summ, scores, 3).collect()}
+    mi, mea = 0.1, 0.2  # per-K averages at K=3: 0.3 and 0.1
+    w = (0.3 + 0.1) / 2
+    assert abs(e[("a", "b")][0] - ((w - mi + 0.1) / (mea - mi + 0.1) + 2) ** 2) < 1e-12
