@@ -155,3 +155,21 @@ def q_read_responses(spark, sf):
     schema = "subject long, " + ", ".join(f"{q} int" for q in fx.Q_COLS) + ", age int"
     back = RD.read_responses(spark, path, schema)
     return C.drop_incomplete(back, fx.Q_COLS).select("subject", *fx.Q_COLS)
+
+
+@query("export_item_projector", """
+select cast(vec_id + 1 as integer) as item_id, cast(len(embedding) as integer) as n_dims,
+       'kmeans_l2' as run_id, 'l2' as norm
+from embeddings""")
+def q_export_item_projector(spark, sf):
+    """Item vectors with the parameters of one run, written as Parquet and
+    read back."""
+    from itemspace.plans.compare_queries import grid_runs
+    path = _scratch(spark, "item-projector")
+    run = grid_runs(spark, sf).where(F.col("run_id") == "kmeans_l2").select("run_id", "norm")
+    # every embedding row as an item vector (the whole table, not the 7-item survey)
+    items = fx.table(spark, sf, "embeddings").select(
+        (F.col("vec_id") + 1).cast("int").alias("item_id"), F.col("embedding").cast("array<double>").alias("e"))
+    SK.export_item_projector(items, run, path)
+    back = spark.read.parquet(path)
+    return back.select("item_id", F.size("e").alias("n_dims"), "run_id", "norm")
