@@ -321,3 +321,24 @@ def q_select_precomputed_scores(spark, sf):
     """Keep only the already-computed score columns a study ships with."""
     s = S.score_subscales(fx.dense_responses(spark, sf), fx.subscale_map(spark, sf), "sum")
     return S.select_precomputed_scores(S.scores_wide(s, list(range(5))), ["s1", "s3"])
+
+
+@query("try_numeric", """
+select page_id, try_cast(regexp_extract(url, '/([^/]*)$', 1) as double) as page_no from pages
+where try_cast(regexp_extract(url, '/([^/]*)$', 1) as double) is not null""")
+def q_try_numeric(spark, sf):
+    """A text field that should be numeric (the last URL segment, a page
+    number): invalid text becomes null and the row is dropped."""
+    p = fx.table(spark, sf, "pages").select("page_id", F.regexp_extract("url", r"/([^/]*)$", 1).alias("page_no"))
+    return C.try_numeric(p, ["page_no"])
+
+
+@query("select_items_by_name", f"""
+select subject, cast(regexp_extract(item, '(\\d+)$', 1) as integer) as item_id, cast(answer as integer) as answer
+from (unpivot (select subject, {", ".join(QC)} from ({W})) on {", ".join(QC)} into name item value answer)""")
+def q_select_items_by_name(spark, sf):
+    """Item columns picked by name prefix from the wide table (the time,
+    age, attempt and segment columns are left out), then unpivoted."""
+    wide = fx.survey_wide(spark, sf)
+    items = C.select_items_by_name(wide, prefix="q")
+    return C.wide_to_long(wide.select("subject", *items), items)
