@@ -184,3 +184,22 @@ def q_maxpool_windows(spark, sf):
     pooled = V.pool_groups(enc, "doc_id", "max", dims=HASH_DIMS)
     long = V.to_long(pooled, key="doc_id")
     return long.where(F.col("value") > 0)
+
+
+def shape_encoder(sentences: list[str]):
+    """A tiny deterministic encoder used to exercise the encoder hook:
+    [words, characters, lines] of each sentence."""
+    import numpy as np
+    return np.array([[len(s.split(" ")), len(s), len(s.split("\n"))] for s in sentences], dtype=float)
+
+
+@query("encode_sentences", """
+select item_id, cast(d as integer) as d, value from (
+  select item_id, unnest([cast(len(string_split(text, ' ')) as double), cast(length(text) as double),
+                          cast(len(string_split(text, chr(10))) as double)]) as value,
+         unnest([0, 1, 2]) as d
+  from benchmark)""")
+def q_encode_sentences(spark, sf):
+    """The pluggable encoder hook over the distinct codebook sentences."""
+    enc = E.encode_sentences(_items(spark, sf), "item_id", "sentence", shape_encoder, 3)
+    return V.to_long(enc, key="item_id")
