@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemspace.llm import chat, quality_rules
+from itemspace.llm import (
+    chat, decontam, licenses, line_dedup, near_dup, packing, quality_classifier, quality_rules, toxicity,
+)
 from itemspace.llm.sql import SQL
 from itemspace.sources.fixtures import table
 
@@ -23,6 +25,44 @@ def oracle_sql() -> dict[str, str]:
     return {k: v for k, v in SQL.items() if k in QUERIES}
 
 
+@query
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.report(decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")))
+
+
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its recurring lines cut, and their numbers."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = line_dedup.dedup_lines(docs)
+    return cut.select("doc_id", "text", F.col("_dropped").alias("dropped_lines"),
+                      F.size("_dropped").cast("long").alias("n_dropped"))
+
+
+@query
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return packing.pack_documents(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row is a ``message`` event at its turn; the template trial rows
@@ -39,3 +79,10 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class (the least doc_id of the class)."""
+    found = near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("_id").alias("doc_id"), "class_id", F.col("first").alias("representative"))

@@ -53,3 +53,33 @@ b as (select *, n_words < 10 or n_repeat_words * 100 > n_words * 20 as base_fail
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_stop, n_lines, base_failed,
   not base_failed and {_rules_sql()} as kept
 from b"""
+
+
+def _license_sql() -> str:
+    from itemspace.llm import licenses as lic
+    rows = ", ".join(f"({k}, '{name}', [{', '.join(repr(x) for x in b)}])"
+                     for k, (name, b) in enumerate(lic.compiled(lic.TEMPLATES)))
+    t = lic.THRESHOLD
+    return rf"""
+with t(rank, name, b) as (values {rows}),
+d as (select row_number() over () as r, doc_id, translate(coalesce(text, ''), '{lic.UPPER}', '{lic.LOWER}') as x
+      from documents),
+s as (select r, doc_id, list_filter(string_split(x, chr(10)) || list_filter(
+        regexp_split_to_array(x, '\n[ \t\r]*\n'), lambda p: contains(p, chr(10)))
+        || case when contains(x, chr(10)) then [x] else [] end, lambda p: p <> '') as segs from d),
+w as (select r, k, regexp_extract_all(seg, '[a-z0-9]+') as w
+      from (select r, unnest(segs) as seg, unnest(range(len(segs))) as k from s)),
+g as (select r, k, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as b
+      from w where len(w) between 2 and 400),
+m as (select r, k, rank, name, len(list_intersect(g.b, t.b)) * 2 / (len(g.b) + len(t.b)) as dice
+      from g join t on len(g.b) * {t} <= len(t.b) * {200 - t} and len(g.b) * {200 - t} >= len(t.b) * {t}),
+h as (select r, k, max_by(name, (dice, -rank)) as name, max(dice) as dice, max_by(-rank, (dice, -rank)) as nrank
+      from m where dice * 100 >= {t} group by r, k),
+p as (select r, count(*) as n_hits, max_by(name, (dice, nrank, name)) as license, round(max(dice), 6) as score,
+        string_agg(distinct name, ',' order by name) as licenses from h group by r)
+select doc_id, len(segs) as n_segments, coalesce(n_hits, 0) as n_hits, license, score,
+  coalesce(licenses, '') as licenses
+from s left join p using (r)"""
+
+
+SQL["op3_license_scan"] = _license_sql()
