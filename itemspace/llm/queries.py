@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itemspace.llm import (
-    chat, decontam, licenses, line_dedup, near_dup, packing, quality_classifier, quality_rules, toxicity,
+    chat, decontam, licenses, line_dedup, lm_score, near_dup, packing, quality_classifier, quality_rules, toxicity,
 )
 from itemspace.llm.sql import SQL
 from itemspace.sources.fixtures import table
@@ -86,3 +86,11 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class (the least doc_id of the class)."""
     found = near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(F.col("_id").alias("doc_id"), "class_id", F.col("first").alias("representative"))
+
+
+@query
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores rounded, as sums of floating-point logs differ in the last digits."""
+    found = lm_score.score(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_backoff", F.round("log_score", 3).alias("log_score"),
+                        F.round("word_score", 6).alias("word_score"))

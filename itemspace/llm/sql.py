@@ -83,3 +83,23 @@ from s left join p using (r)"""
 
 
 SQL["op3_license_scan"] = _license_sql()
+
+
+SQL["op10_lm_score"] = r"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+x as (select r, i, w[i] as w, case when i > 1 then w[i - 1] end as v
+      from (select r, w, unnest(range(1, len(w) + 1)) as i from d)),
+c1 as (select w, count(*) as c from x group by w),
+c2 as (select v, w, count(*) as c from x where v is not null group by v, w),
+n as (select count(*) as n from x),
+s as (select r, case when x.v is null then ln(a.c / n.n) when b.c >= 2 then ln(b.c / z.c)
+                     else ln(0.4 * a.c / n.n) end as s,
+        case when x.v is not null and b.c < 2 then 1 else 0 end as k
+      from x cross join n join c1 a on a.w = x.w left join c2 b on b.v = x.v and b.w = x.w
+      left join c1 z on z.w = x.v),
+t as (select r, count(*) as n_words, sum(k)::bigint as n_backoff, sum(s) as s from s group by r)
+select doc_id, coalesce(n_words, 0) as n_words, coalesce(n_backoff, 0) as n_backoff,
+  round(coalesce(s, 0.0), 3) as log_score, round(s / n_words, 6) as word_score
+from d left join t using (r)"""

@@ -1,14 +1,18 @@
 """Toxicity: two class-conditional Kneser-Ney bigram models.
 
 A toxic and an ordinary model are counted on a bounded sample of labelled
-documents (``sample`` per class, taken by hash of the id).  Each interpolates its
-bigrams with its own continuation counts, and those with continuation counts
-shared by both classes, which smooths rare expressions.  The score compares
-the two log-likelihoods per word, through a logistic curve fitted on a part of
-the sample that was not counted.
-
-Bigrams counted once are not kept one by one: their mass goes to the backoff
-weight of their context.  What is broadcast is bounded by the sample.
+documents (``sample`` per class, by hash of the id; copies of a text count once).
+Both orders use continuation counts: a bigram counts the distinct words before it
+and a word those before it, so passages that are copied weigh no more than once.
+Bigrams are discounted and back off to the class's words, these to a backoff that
+both classes share: what the two have in common, and a uniform part.  ``SHARED`` of
+every probability comes from there, which smooths expressions that are rare or only
+by chance more frequent in one class, and leaves those of one class alone.
+
+The score compares the two log-likelihoods per word, through a logistic curve fitted
+on a part of the sample that was not counted.  Bigrams with one continuation
+are not kept one by one: their mass goes to the backoff weight of their context.
+What is broadcast is bounded by the sample.
 
 Cases: null and empty texts have a log-likelihood difference of 0; null ids and
 labels, repeated labels and repeated rows as in the quality classifier; with one
@@ -32,6 +36,9 @@ from itemspace.llm.words import Words, mix, words
 SAMPLE = 4000            # labelled documents per class
 CALIBRATION = 4          # one in so many of them sets the logistic curve
 DISCOUNT = 0.75
+SHARED = 0.99            # part of every probability that both classes share
+UNIFORM = 0.1            # part of the shared backoff spread over all words
+CONTEXT = 30_000.0       # added to a context's count: bigrams of rare contexts weigh little
 START = np.uint64(1)     # stands before a text's first word
 
 
@@ -53,6 +60,7 @@ class Models(NamedTuple):
     vocabulary: np.ndarray    # sorted word hashes
     backoff: np.ndarray       # (2, words + 1) weight of the lower order after a word; last: unknown
     lower: np.ndarray         # (2, words + 1) lower-order probability of a word; last: unknown
+    shared: np.ndarray        # (words + 1) probability shared by the classes
     pairs: np.ndarray         # sorted bigram hashes
     higher: np.ndarray        # (2, pairs + 1) discounted bigram probability; last: 0
     slope: float
@@ -67,7 +75,8 @@ class Models(NamedTuple):
             before = contexts(w)
             word, context = _find(self.vocabulary, w.hashes), _find(self.vocabulary, before)
             pair = _find(self.pairs, pair_hash(before, w.hashes))
-            p = self.higher[:, pair] + self.backoff[:, context] * self.lower[:, word]
+            own = self.higher[:, pair] + self.backoff[:, context] * self.lower[:, word]
+            p = SHARED * self.shared[word] + (1 - SHARED) * own
             total = np.add.reduceat(np.append(np.log(p[1] / p[0]), 0),
                                     np.minimum(np.cumsum(w.counts) - w.counts, len(w.hashes)))
             out[w.first:w.last] = np.where(w.counts > 0, total / np.maximum(w.counts, 1), 0)
@@ -88,15 +97,16 @@ def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def estimate(first: np.ndarray, second: np.ndarray, label: np.ndarray, count: np.ndarray,
              discount: float = DISCOUNT) -> Models:
-    """Kneser-Ney tables from distinct (label, first, second) with counts."""
+    """Kneser-Ney tables from distinct (label, first, second) with their
+    continuation counts."""
     vocabulary = np.unique(np.concatenate([first, second]))
     n = len(vocabulary)
     a, b = np.searchsorted(vocabulary, first), np.searchsorted(vocabulary, second)
-    shared = np.bincount(b, minlength=n).astype(float)            # continuations, both classes
-    kept_shared = np.maximum(shared - discount, 0)
-    uniform = 1.0 / (n + 1)
-    base = np.append(kept_shared, 0) / shared.sum()
-    base += (1 - base.sum()) * uniform
+    before = [np.bincount(b[label == c], minlength=n).astype(float) for c in (0, 1)]
+    common = np.minimum(before[0] / before[0].sum(), before[1] / before[1].sum())
+    shared = np.full(n + 1, UNIFORM / (n + 1))
+    if common.sum():
+        shared[:n] += (1 - UNIFORM) * common / common.sum()
     keys = pair_hash(first, second)
     often = count >= 2
     pairs = np.unique(keys[often])
@@ -104,15 +114,14 @@ def estimate(first: np.ndarray, second: np.ndarray, label: np.ndarray, count: np
     higher = np.zeros((2, len(pairs) + 1))
     for c in (0, 1):
         own = label == c
-        cont = np.bincount(b[own], minlength=n).astype(float)
-        part = np.append(np.maximum(cont - discount, 0), 0) / cont.sum()
-        lower[c] = part + (1 - part.sum()) * base
-        seen = np.bincount(a[own], weights=count[own], minlength=n)
+        part = np.append(np.maximum(before[c] - discount, 0), 0) / before[c].sum()
+        lower[c] = part + (1 - part.sum()) * shared
         kept = own & often
-        p = (count[kept] - discount) / seen[a[kept]]
+        seen = np.bincount(a[own], weights=count[own], minlength=n)
+        p = (count[kept] - discount) / (seen[a[kept]] + CONTEXT)
         higher[c, np.searchsorted(pairs, keys[kept])] = p
         backoff[c, :n] = 1 - np.bincount(a[kept], weights=p, minlength=n)
-    return Models(vocabulary, backoff, lower, pairs, higher, 1.0, 0.0)
+    return Models(vocabulary, backoff, lower, shared, pairs, higher, 1.0, 0.0)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> tuple[float, float]:
@@ -131,23 +140,26 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50
 
 
 def bigram_counts(sampled: DataFrame) -> DataFrame:
-    """label, first, second, n over the sampled texts (label, text)."""
-    def count(batches):
+    """label, first, second, n: the distinct words before each bigram, over the
+    sampled texts (label, text)."""
+    def seen(batches):
         for batch in batches:
             y = batch.column("label").to_numpy(zero_copy_only=False)
             for w in words(batch.column("text")):
                 if not len(w.hashes):
                     continue
                 owner = np.repeat(y[w.first:w.last], w.counts)
-                before = contexts(w)
-                keys, at, n = np.unique(pair_hash(before, w.hashes) ^ owner.astype(np.uint64),
-                                        return_index=True, return_counts=True)
+                first = contexts(w)
+                before = np.where(first == START, np.uint64(0), np.append(np.uint64(0), first[:-1]))
+                key = pair_hash(pair_hash(before, first), w.hashes) ^ owner.astype(np.uint64)
+                at = np.unique(key, return_index=True)[1]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(owner[at].astype(np.int32)), pa.array(before[at].view(np.int64)),
-                     pa.array(w.hashes[at].view(np.int64)), pa.array(n)], names=["label", "first", "second", "n"])
+                    [pa.array(owner[at].astype(np.int32)), *(pa.array(x[at].view(np.int64))
+                                                             for x in (before, first, w.hashes))],
+                    names=["label", "before", "first", "second"])
 
-    return (sampled.mapInArrow(count, "label int, first long, second long, n long")
-            .groupBy("label", "first", "second").agg(F.sum("n").alias("n")))
+    return (sampled.mapInArrow(seen, "label int, before long, first long, second long")
+            .groupBy("label", "first", "second").agg(F.count_distinct("before").alias("n")))
 
 
 def sample_ids(labels: DataFrame, sample: int) -> DataFrame:
@@ -167,8 +179,9 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: in
     kind = source.schema["doc_id"].dataType.simpleString()
     known = single_labels(labels.withColumn("_y", F.col(label)), "_y").where(id_bucket(F.col("doc_id"), folds) != held)
     # At most 2 * sample ids: broadcast, so that texts are not shuffled.
-    chosen = (source.join(F.broadcast(sample_ids(known, sample)), "doc_id").dropDuplicates(["doc_id"])
-              .select("label", "text", (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(CALIBRATION)) == 0).alias("curve"))
+    chosen = (source.join(F.broadcast(sample_ids(known, sample)), "doc_id")
+              .withColumn("copy", F.xxhash64("text")).dropDuplicates(["label", "copy"])
+              .select("label", "text", (F.pmod(F.xxhash64("copy", F.lit(7)), F.lit(CALIBRATION)) == 0).alias("curve"))
               .persist())
     n = {r.label: r["count"] for r in chosen.where("not curve").groupBy("label").count().collect()}
     if len(n) < 2:
@@ -184,6 +197,9 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: in
         y = held_back.column("label").to_numpy()
         if len(set(y.tolist())) == 2:
             slope, shift = logistic(x, y)
+            # From the sample's shares of the classes to those of all labelled documents.
+            share = known.agg(F.avg("label")).first()[0]
+            shift += float(np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean())))
             models = models._replace(slope=slope, shift=shift)
         shared = spark.sparkContext.broadcast(models)
 
