@@ -2,11 +2,12 @@
 
 A document is its token ids and a closing id.  Longer ones than a sequence are
 cut into whole sequences, the first piece taking the rest.  The short pieces are
-dealt evenly into shards of bounded size; a shard is packed online by bounded-space
-best fit: open bins are kept in a bitset keyed by free space, a piece goes to the
-fullest bin that holds it, and when too many bins are open the fullest closes.
-Bins still open at a shard's end are emptied and their pieces packed again in the
-next, much smaller level, until one shard is left.
+dealt evenly into shards of bounded size, where they arrive longest first and are
+packed online by bounded-space best fit: open bins are kept in a bitset keyed by free
+space, a piece goes to the fullest bin that holds it, and when too many bins are open
+the fullest closes.  Bins that are nearly full close at a shard's end; the others are
+emptied and their pieces packed again in the next, smaller level, until one shard
+is left or a level closes less than a quarter of its pieces.
 
 Cases: null or empty text is the closing id alone; repeated rows are packed each;
 texts with the tokenizer's own special strings, or unusual white space, go whole
@@ -30,7 +31,8 @@ from itemspace.llm.runtime import narrow, prepare, stored
 SEQUENCE = 2048
 CLOSING_ID = 0
 SHARD_PIECES = 16_384
-OPEN_BINS = 512
+OPEN_BINS = 8192
+NEARLY_FULL = 32         # a bin with at most 1/32 of its space free stays closed
 CACHE_PIECES = 1_000_000   # remembered text pieces of a worker
 
 _TOKENIZERS: dict[str, "Tokens"] = {}
@@ -164,12 +166,18 @@ class OpenBins:
             self.closed[self._pop(fullest)] = True
         return b, self.size - free
 
+    def close_nearly_full(self) -> None:
+        for free in range(1, self.size // NEARLY_FULL + 1):
+            for b in self.by_free[free]:
+                self.closed[b] = True
+
 
 def _packed(size: int, most: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_no", kind="stable")
+        pdf = pdf.sort_values(["length", "row_no"], ascending=[False, True])
         bins = OpenBins(size, most)
         put = [bins.put(n) for n in pdf["length"].tolist()]
+        bins.close_nearly_full()
         where = np.array(put, dtype=np.int64).reshape(-1, 2)
         done = np.array(bins.closed, dtype=bool)
         return pd.DataFrame({"row_no": pdf["row_no"].to_numpy(), "shard": pdf["shard"].to_numpy(),
@@ -185,21 +193,22 @@ def pack(pieces: DataFrame, size: int = SEQUENCE, open_bins: int = OPEN_BINS,
     bin.  ``pieces`` should be a stored table: it is read more than once."""
     numbered = pieces.withColumn("_row", F.monotonically_increasing_id())
     todo = numbered.where(F.col("length") < size).select(F.col("_row").alias("row_no"), "length")
-    placed, level = [], 0
+    placed, level, n = [], 0, todo.count()
     while True:
-        n = todo.count()
         shards = max(1, -(-n // shard_pieces))
         dealt = todo.withColumn("shard", F.pmod(F.xxhash64("row_no", F.lit(level)), F.lit(shards)).cast("int"))
         level_out = stored(dealt.groupBy("shard").applyInPandas(
             _packed(size, open_bins),
             "row_no long, shard int, length long, bin long, offset long, done boolean"), f"pack{level}")
-        last = shards == 1
+        left = level_out.where("not done").count()
+        # Where a level closes few bins, dealing anew would not help.
+        last = shards == 1 or left * 4 > n * 3
         done = level_out if last else level_out.where("done")
         number = (F.lit(level).cast("long") * (1 << 56) + F.col("shard").cast("long") * (1 << 28) + F.col("bin"))
         placed.append(done.select("row_no", number.alias("sequence_id"), F.col("offset").alias("_offset")))
         if last:
             break
-        todo, level = level_out.where("not done").select("row_no", "length"), level + 1
+        todo, level, n = level_out.where("not done").select("row_no", "length"), level + 1, left
     found = placed[0]
     for p in placed[1:]:
         found = found.unionAll(p)
