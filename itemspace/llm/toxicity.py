@@ -103,7 +103,8 @@ def estimate(first: np.ndarray, second: np.ndarray, label: np.ndarray, count: np
     n = len(vocabulary)
     a, b = np.searchsorted(vocabulary, first), np.searchsorted(vocabulary, second)
     before = [np.bincount(b[label == c], minlength=n).astype(float) for c in (0, 1)]
-    common = np.minimum(before[0] / before[0].sum(), before[1] / before[1].sum())
+    size = [max(x.sum(), 1.0) for x in before]      # a class may have no words
+    common = np.minimum(before[0] / size[0], before[1] / size[1])
     shared = np.full(n + 1, UNIFORM / (n + 1))
     if common.sum():
         shared[:n] += (1 - UNIFORM) * common / common.sum()
@@ -114,7 +115,7 @@ def estimate(first: np.ndarray, second: np.ndarray, label: np.ndarray, count: np
     higher = np.zeros((2, len(pairs) + 1))
     for c in (0, 1):
         own = label == c
-        part = np.append(np.maximum(before[c] - discount, 0), 0) / before[c].sum()
+        part = np.append(np.maximum(before[c] - discount, 0), 0) / size[c]
         lower[c] = part + (1 - part.sum()) * shared
         kept = own & often
         seen = np.bincount(a[own], weights=count[own], minlength=n)
