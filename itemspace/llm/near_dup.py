@@ -9,9 +9,10 @@ slot's.  Two sketches agree in a slot with the probability Jaccard similarity.
 Texts with the same words are one node.  Bands of four slots give buckets.  In a
 bucket every node is compared with one leader (another one in each bucket), by
 sketch and then exactly: the Jaccard similarity of the shingle sets, 0.8 or more.
-What these links leave apart is compared block by block inside each bucket, and
-only pairs whose sketches agree enough leave the task.  Classes are the connected
-components; copies are never paired.
+Members known to be of their leader's class by an earlier band are passed over.
+What these links leave apart is compared block by block inside each bucket; only the
+links that join components leave a task.  Classes are the connected components;
+copies are never paired.
 
 Cases: null texts and texts without words are a class each; repeated rows and
 copies share a class; a class's id is its least doc_id; null ids belong to their
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,7 @@ SIMILARITY = 80          # hundredths
 SLOTS, BAND = 96, 4
 # Sketches of a similar pair agree in fewer slots with probability below 1e-4.
 LEAST_AGREEMENT = 60
+FIRST_BANDS = 3          # bands whose links are verified before the others are looked at
 BLOCK = 512              # members of one bucket compared in one piece
 
 _FACTORS = counter(SHINGLE, 3)
@@ -130,7 +133,6 @@ def sketched(source: DataFrame) -> DataFrame:
     factors = counter(SLOTS, 5)
 
     def run(batches):
-        import pyarrow.compute  # noqa: F401
         for batch in batches:
             for w in words(batch.column("text")):
                 n = len(w.counts)
@@ -195,57 +197,114 @@ def verified(pairs: DataFrame, sets: DataFrame, hundredths: int) -> DataFrame:
             .where(similar(F.col("xa"), F.col("xb"), hundredths)).select("a", "b"))
 
 
-def _in_blocks(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by piece; a piece holds the members of one or two
-    blocks of a bucket.  Yields pairs of different components that agree."""
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows come sorted by piece; yields tables of whole pieces, and their bounds."""
     held: pa.Table | None = None
 
-    def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    def bounds(t: pa.Table) -> np.ndarray:
         piece = t.column("piece").to_numpy()
-        bounds = np.append(np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]])), len(piece))
-        sketch = _matrix(t.column("sketch"))
-        label = t.column("label").to_pylist()
-        node = t.column("node").to_pylist()
-        side = t.column("side").to_numpy()
-        out: tuple[list, list] = ([], [])
-        for lo, hi in zip(bounds[:-1], bounds[1:]):
-            for x in range(lo, hi - 1):
-                for y in lo + 1 + (x - lo) + np.flatnonzero((sketch[x + 1:hi] == sketch[x]).sum(axis=1) >= least):
-                    if label[x] != label[y] and (side[lo] == side[hi - 1] or side[x] != side[y]):
-                        out[0].append(node[x])
-                        out[1].append(node[y])
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.binary()) for c in out], names=["a", "b"])
+        return np.append(np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]])), len(piece))
 
     for batch in batches:
         t = pa.Table.from_batches([batch])
-        held = t if held is None else pa.concat_tables([held, t])
-        if not held.num_rows:
-            continue
-        piece = held.column("piece").to_numpy()
-        cut = int(np.searchsorted(piece, piece[-1]))      # the last piece may go on
-        if cut:
-            yield from compare(held.slice(0, cut).combine_chunks())
-            held = held.slice(cut).combine_chunks()
+        held = (t if held is None else pa.concat_tables([held, t])).combine_chunks()
+        if held.num_rows:
+            at = bounds(held)
+            if len(at) > 2:                           # the last piece may go on
+                yield held.slice(0, at[-2]).combine_chunks(), at[:-1]
+                held = held.slice(at[-2]).combine_chunks()
     if held is not None and held.num_rows:
-        yield from compare(held.combine_chunks())
+        yield held, bounds(held)
+
+
+def _agreeing_apart(t: pa.Table, bounds: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(x, ys): rows of one piece with different labels whose sketches agree,
+    and whose first common band is this bucket's, so that a pair is met once."""
+    sketch = _matrix(t.column("sketch"))
+    label = t.column("label").chunk(0).dictionary_encode().indices.to_numpy()
+    side, band = t.column("side").to_numpy(), t.column("band").to_numpy()
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        across = side[lo] != side[hi - 1]             # two blocks: only pairs between them
+        for x in range(lo, hi - 1):
+            other = x + 1 + np.flatnonzero(label[x + 1:hi] != label[x])
+            if across:
+                other = other[side[other] != side[x]]
+            if not len(other):
+                continue
+            same = sketch[other] == sketch[x]
+            enough = same.sum(axis=1) >= least
+            if enough.any():
+                first = same[enough].reshape(-1, SLOTS // BAND, BAND).all(axis=2).argmax(axis=1)
+                yield x, other[enough][first == band[x]]
+
+
+def _members_apart(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The members that may have a link to another component."""
+    for t, bounds in _pieces(batches):
+        some = np.zeros(t.num_rows, dtype=bool)
+        for x, ys in _agreeing_apart(t, bounds, least):
+            some[ys] = True
+            some[x] |= len(ys) > 0
+        yield from t.select(["key", "band", "node", "label"]).filter(pa.array(some)).combine_chunks().to_batches()
+
+
+def _links_apart(batches: Iterator[pa.RecordBatch], least: int, hundredths: int) -> Iterator[pa.RecordBatch]:
+    """Verified links between components, as many as join them."""
+    for t, bounds in _pieces(batches):
+        label = t.column("label").chunk(0).dictionary_encode().indices.to_pylist()
+        node = t.column("node").to_pylist()
+        flat = np.array(t.column("shingles").chunk(0).flatten())
+        ends = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(t.column("shingles").chunk(0)).to_numpy())])
+        parent = list(range(max(label) + 1))
+
+        def root(k: int) -> int:
+            while parent[k] != k:
+                parent[k] = k = parent[parent[k]]
+            return k
+
+        out: tuple[list, list] = ([], [])
+        for x, ys in _agreeing_apart(t, bounds, least):
+            mine = flat[ends[x]:ends[x + 1]]
+            for y in ys:
+                if root(label[x]) == root(label[y]):
+                    continue
+                theirs = flat[ends[y]:ends[y + 1]]
+                both = len(np.intersect1d(mine, theirs, assume_unique=True))
+                if both * 100 >= (len(mine) + len(theirs) - both) * hundredths:
+                    parent[root(label[x])] = root(label[y])
+                    out[0].append(node[x])
+                    out[1].append(node[y])
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.binary()) for c in out], names=["a", "b"])
 
 
-def apart(members: DataFrame, nodes: DataFrame, least: int, block: int = BLOCK) -> DataFrame:
-    """Agreeing pairs among ``members`` (key, node, label) of one bucket with
-    different labels.  A large bucket is split into blocks, and each pair of
-    blocks is a piece of work of its own."""
+def _dealt(members: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
+    """``members`` of buckets with several labels, with what ``nodes`` knows of
+    them, dealt in pieces: a bucket's blocks in pairs."""
     size = members.groupBy("key").agg(
         F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"),
         F.min("label").alias("l0"), F.max("label").alias("l1"))
-    live = members.join(size.where("l0 <> l1"), "key").join(nodes.select("node", "sketch"), "node")
+    live = members.join(size.where("l0 <> l1").drop("l0", "l1"), "key").join(nodes, "node")
     own = live.withColumn("side", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
     spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pieces = spread.select(
-        F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("piece"), "side", "node",
-        "label", "sketch")
+    dealt = spread.withColumn("piece", F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")))
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (pieces.repartition(n, "piece").sortWithinPartitions("piece", "side", "node")
-            .mapInArrow(lambda batches: _in_blocks(batches, least), "a binary, b binary"))
+    return (dealt.select("piece", "side", "key", "band", "label", *nodes.columns).repartition(n, "piece")
+            .sortWithinPartitions("piece", "side", "node"))
+
+
+def links_apart(members: DataFrame, nodes: DataFrame, sets: DataFrame, least: int, hundredths: int,
+                block: int | None = None) -> DataFrame:
+    """Links (a, b) that join components among ``members`` (key, band, node,
+    label) of the same buckets.  A large bucket is split into blocks, and each pair
+    of blocks is a piece of work of its own.  Sketches alone tell which members
+    need a look; only these are dealt again, with their shingles.  No pairs
+    leave a task but the links that join components."""
+    block = block or BLOCK
+    sketch = nodes.select("node", "sketch")
+    some = stored(_dealt(members, sketch, block).mapInArrow(
+        lambda it: _members_apart(it, least), "key long, band int, node binary, label binary").distinct(), "apart")
+    return _dealt(some, sketch.join(sets, "node"), block).mapInArrow(
+        lambda it: _links_apart(it, least, hundredths), "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, id_col: str = "doc_id",
@@ -260,25 +319,38 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, id_col: str =
     nodes = stored(seen.where("node is not null").groupBy("node").agg(
         F.min(F.struct("_id", "_text_hash")).alias("least"), F.first("bands").alias("bands"),
         F.first("sketch").alias("sketch")), "nodes")
-    banded = nodes.select("node", F.explode("bands").alias("key"))
+    banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     # A bucket's leader differs from bucket to bucket; (hash, node) by map-side minimum.
     leaders = banded.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node")).alias("lead"),
                                         F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = stored(banded.join(leaders, "key").select("key", "node", F.col("lead.node").alias("leader")), "buckets")
+    buckets = stored(banded.join(leaders, "key").select("key", "band", "node", F.col("lead.node").alias("leader")),
+                     "buckets")
     sketch = nodes.select("node", "sketch")
-    pairs = buckets.where("node <> leader").select(
-        F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     # Only texts that share a bucket are read again for their shingles.
     wanted = nodes.join(buckets.select("node").distinct(), "node").select("least.*")
     sets = stored(shingle_sets(source.alias("s").join(
         wanted.select(F.col("_id").alias("i"), F.col("_text_hash").alias("h")),
         F.col("_id").eqNullSafe(F.col("i")) & F.col("_text_hash").eqNullSafe(F.col("h")), "left_semi")), "sets")
-    links = stored(verified(agreeing(pairs, sketch, LEAST_AGREEMENT), sets, similarity), "links")
+
+    def linked(members: DataFrame) -> DataFrame:
+        """Verified links between members of buckets and their leaders."""
+        pairs = members.where("node <> leader").select(
+            F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+        return stored(verified(agreeing(pairs, sketch, LEAST_AGREEMENT), sets, similarity), "links")
+
+    # A few bands join most of a group; in the others only a member that is not
+    # yet in its leader's component is compared.
+    links = linked(buckets.where(F.col("band") < FIRST_BANDS))
+    labels = components(links)
+    of_leader = labels.select(F.col("node").alias("leader"), F.col("label").alias("leader_label"))
+    others = (buckets.where(F.col("band") >= FIRST_BANDS).join(labels, "node", "left").join(of_leader, "leader", "left")
+              .where(~F.coalesce(F.col("label") == F.col("leader_label"), F.lit(False))))
+    links = links.unionAll(linked(others))
     labels = components(links)
     # A leader has met all of its bucket; the others may still hold unseen links.
     rest = (buckets.where("node <> leader").join(labels, "node", "left")
-            .select("key", "node", F.coalesce("label", "node").alias("label")))
-    more = stored(verified(apart(rest, sketch, LEAST_AGREEMENT).distinct(), sets, similarity), "links")
+            .select("key", "band", "node", F.coalesce("label", "node").alias("label")))
+    more = stored(links_apart(rest, sketch, sets, LEAST_AGREEMENT, similarity), "links")
     if not more.isEmpty():
         labels = components(links.unionAll(more))
     members = (seen.join(labels, "node", "left")

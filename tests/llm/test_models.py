@@ -261,15 +261,21 @@ def test_group_of_near_copies(spark):
 
 
 def test_blocks_find_what_the_leader_misses(spark):
+    """Pairs of texts alike in one bucket, which is split into small blocks."""
     import pyspark.sql.functions as F
     rng = np.random.default_rng(5)
     sketch = rng.integers(0, 2 ** 32, (40, near_dup.SLOTS), dtype=np.uint32)
-    sketch[1::2] = sketch[::2]                       # pairs of equal sketches
+    sketch[:, 8:12] = 7                              # band 2 is common to all, and the first
+    sketch[1::2] = sketch[::2]
+    sketch[1::2, :8] += 1
+    shingles = [[100 * (k // 2) + j for j in range(20)] + [10_000 + k] for k in range(40)]
     nodes = spark.createDataFrame([(bytes([k]), bytearray(s.tobytes())) for k, s in enumerate(sketch)],
                                   "node binary, sketch binary")
-    members = nodes.select(F.lit(1).cast("long").alias("key"), "node", F.col("node").alias("label"))
-    got = {tuple(sorted((r.a[0], r.b[0]))) for r in near_dup.apart(members, nodes, 60, block=7).collect()}
-    assert got == {(k, k + 1) for k in range(0, 40, 2)}
+    sets = spark.createDataFrame([(bytes([k]), x) for k, x in enumerate(shingles)], "node binary, shingles array<long>")
+    members = nodes.select(F.lit(1).cast("long").alias("key"), F.lit(2).alias("band"), "node",
+                           F.col("node").alias("label"))
+    found = near_dup.links_apart(members, nodes, sets, 60, 80, block=7)
+    assert sorted(tuple(sorted((r.a[0], r.b[0]))) for r in found.collect()) == [(k, k + 1) for k in range(0, 40, 2)]
 
 
 def test_sketches_estimate_probability_jaccard():
