@@ -30,13 +30,14 @@ def strip_item_number(s) -> Column:
 
 def parse_mode(mode) -> tuple[Column, Column, Column]:
     """(source, no_norm, random_dims) from a mode string such as
-    'feat_raw', 'feat_agg_no_norm', 'llm_random_768' or 'llm_openai'."""
+    'feat_raw', 'feat_agg_no_norm', 'llm_random_768' or 'llm_openai'; no number
+    after 'llm_random_' gives null dims."""
     m = _c(mode)
     base = F.regexp_replace(m, "_no_norm$", "")
     source = F.when(m.startswith("llm_"), F.lit("embedding")).otherwise(F.lit("features"))
     no_norm = m.endswith("_no_norm")
     dims = F.when(base.startswith("llm_random_"),
-                  F.regexp_extract(base, r"^llm_random_(\d+)$", 1).cast("int"))
+                  F.regexp_extract(base, r"^llm_random_(\d+)$", 1).try_cast("int"))
     return source, no_norm, dims
 
 

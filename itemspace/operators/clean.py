@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from itemspace.functions.hashing import det_uint32
-from itemspace.session import bounded_broadcast
 
 
 # ---------------------------------------------------------------- projections
@@ -40,16 +39,17 @@ def long_to_wide(responses: DataFrame, item_ids: Sequence, key: str = "subject",
 
 def wide_to_long(wide: DataFrame, item_cols: Sequence[str], key: str = "subject",
                  id_pattern: str = r"(\d+)$") -> DataFrame:
-    """Unpivot item columns back to (subject, item_id, answer), nulls dropped."""
+    """Unpivot item columns back to (subject, item_id, answer), nulls dropped.
+    An item name without trailing digits has a null item_id."""
     long = wide.unpivot(key, list(item_cols), "item", "answer")
     return (long.where(F.col("answer").isNotNull())
-            .select(key, F.regexp_extract("item", id_pattern, 1).cast("int").alias("item_id"),
+            .select(key, F.regexp_extract("item", id_pattern, 1).try_cast("int").alias("item_id"),
                     F.col("answer").cast("int").alias("answer")))
 
 
 def align_to_items(responses: DataFrame, items: DataFrame, key: str = "item_id") -> DataFrame:
     """Keep only answers to items of the codebook (broadcast semi join)."""
-    return responses.join(bounded_broadcast(items.select(key).distinct()), key, "left_semi")
+    return responses.join(items.select(key).distinct(), key, "left_semi")
 
 
 def drop_items(responses: DataFrame, item_ids: Sequence, key: str = "item_id") -> DataFrame:

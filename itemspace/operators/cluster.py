@@ -41,7 +41,7 @@ def _centres_frame(spark: SparkSession, centres: Centres) -> DataFrame:
     c = _norm_keys(centres)
     pdf = pd.DataFrame({"_g": [int(g) for g, _ in c], "k": [int(k) for _, k in c],
                         "centres": [[[float(x) for x in row] for row in cs] for cs in c.values()]})
-    return F.broadcast(spark.createDataFrame(pdf, "_g int, k int, centres array<array<double>>"))
+    return spark.createDataFrame(pdf, "_g int, k int, centres array<array<double>>")
 
 
 def assign_clusters(vectors: DataFrame, centres: Centres, col: str = "v", group: str | None = None) -> DataFrame:

@@ -14,7 +14,6 @@ whole grid.  All pairs of runs are compared in one job:
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Sequence
 
 import numpy as np
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itemspace.functions.hashing import det_uint32
-from itemspace.session import bounded_broadcast, materialize, ship_package
+from itemspace.session import materialize, ship_package
 
 PAIR = ["run_a", "run_b", "k"]
 RANDOM_RUN = "randomGuess"
@@ -42,7 +41,7 @@ def random_run(predictions: DataFrame, seed: int = 42) -> DataFrame:
     global label range across all K (as the reference's random run)."""
     rng = predictions.groupBy("run_id").agg(F.min("prediction").alias("_lo"), F.max("prediction").alias("_hi"))
     h = det_uint32(seed, F.lit(RANDOM_RUN), "run_id", "k", "subject")
-    return (predictions.join(bounded_broadcast(rng), "run_id")
+    return (predictions.join(rng, "run_id")
             .select(F.col("run_id").alias("run_a"), "k", "subject", F.col("prediction").alias("la"),
                     (F.col("_lo") + F.pmod(h, F.col("_hi") - F.col("_lo") + 1)).cast("int").alias("lb")))
 
@@ -131,80 +130,81 @@ def adjusted_rand(cont: DataFrame, group: Sequence[str] = PAIR) -> DataFrame:
 
 def _lex_best_assignment(C: np.ndarray) -> tuple[list[int], float]:
     """Max-agreement one-to-one map row -> column; among optimal maps the
-    lexicographically smallest (rows in order)."""
+    lexicographically smallest (rows in order).
+
+    One optimal matching and its dual prices come from augmenting paths.  A map is
+    optimal exactly if it uses tight cells only (price of row plus price of
+    column equals the cost), so the tie-break rewires the matching along tight
+    cells: row by row, the smallest column that a rewiring of the later rows allows."""
     m = C.shape[0]
-    if m <= 8:
-        perms = np.array(list(itertools.permutations(range(m))), dtype=np.int64)
-        scores = C[np.arange(m)[None, :], perms].sum(1)
-        i = int(np.argmax(scores))  # permutations come in lexicographic order
-        return perms[i].tolist(), float(scores[i])
-    best = _hungarian_max(C)
-    fixed: list[int] = []
-    used: set[int] = set()
-    acc = 0.0
+    cost = C.max() - C if m else C
+    row_of, u, v = _matching(cost)
+    tight = np.isclose(cost - u[:, None] - v[None, :], 0.0, atol=1e-9)
+    col_of = np.empty(m, dtype=int)
+    col_of[row_of] = np.arange(m)
     for r in range(m):
-        for c in range(m):
-            if c in used:
-                continue
-            rows = [i for i in range(r + 1, m)]
-            cols = [j for j in range(m) if j not in used and j != c]
-            rest = _hungarian_max(C[np.ix_(rows, cols)]) if rows else 0.0
-            if acc + C[r, c] + rest >= best - 1e-9:
-                fixed.append(c)
-                used.add(c)
-                acc += C[r, c]
+        for c in np.flatnonzero(tight[r]):
+            if c == col_of[r]:
                 break
-    return fixed, best
-
-
-def _hungarian_max(C: np.ndarray) -> float:
-    """Optimal total of a maximum-weight perfect matching (O(m^3))."""
-    m = C.shape[0]
-    if m == 0:
-        return 0.0
-    cost = C.max() - C
-    u = np.zeros(m + 1)
-    v = np.zeros(m + 1)
-    p = np.zeros(m + 1, dtype=int)
-    way = np.zeros(m + 1, dtype=int)
-    for i in range(1, m + 1):
-        p[0] = i
-        j0 = 0
-        minv = np.full(m + 1, np.inf)
-        used = np.zeros(m + 1, dtype=bool)
-        while True:
-            used[j0] = True
-            i0 = p[j0]
-            delta = np.inf
-            j1 = 0
-            for j in range(1, m + 1):
-                if not used[j]:
-                    cur = cost[i0 - 1, j - 1] - u[i0] - v[j]
-                    if cur < minv[j]:
-                        minv[j] = cur
-                        way[j] = j0
-                    if minv[j] < delta:
-                        delta = minv[j]
-                        j1 = j
-            for j in range(m + 1):
-                if used[j]:
-                    u[p[j]] += delta
-                    v[j] -= delta
-                else:
-                    minv[j] -= delta
-            j0 = j1
-            if p[j0] == 0:
+            if row_of[c] > r and _rewire(r, c, tight, row_of, col_of):
                 break
+    return col_of.tolist(), float(C[np.arange(m), col_of].sum()) if m else 0.0
+
+
+def _rewire(r: int, c: int, tight: np.ndarray, row_of: np.ndarray, col_of: np.ndarray) -> bool:
+    """Give column ``c`` to row ``r`` if its present row can move along tight
+    cells of later rows to the column that ``r`` leaves."""
+    free, start = col_of[r], row_of[c]
+    came = {start: None}
+    queue = [start]
+    for row in queue:
+        for col in np.flatnonzero(tight[row]):
+            if col == free:
+                while row is not None:                 # shift columns back along the path
+                    left = col_of[row]
+                    col_of[row], row_of[col] = col, row
+                    row, col = came[row], left
+                col_of[r], row_of[c] = c, r
+                return True
+            nxt = row_of[col]
+            if nxt > r and nxt not in came:
+                came[nxt] = row
+                queue.append(nxt)
+    return False
+
+
+def _matching(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of each column in a minimum-cost perfect matching, with row and
+    column prices: one shortest augmenting path per row, O(m^3)."""
+    m = cost.shape[0]
+    u, v, row_of = np.zeros(m), np.zeros(m), np.full(m, -1)
+    for start in range(m):
+        dist, via = np.full(m, np.inf), np.full(m, -1)      # via: the row a column was reached from
+        done = np.zeros(m, dtype=bool)
+        row, reach = start, 0.0
         while True:
-            j1 = way[j0]
-            p[j0] = p[j1]
-            j0 = j1
-            if j0 == 0:
+            through = reach + cost[row] - u[row] - v
+            better = ~done & (through < dist)
+            dist[better], via[better] = through[better], row
+            col = int(np.argmin(np.where(done, np.inf, dist)))
+            reach = dist[col]
+            done[col] = True
+            if row_of[col] < 0:
+                break
+            row = row_of[col]
+        u[start] += reach
+        for j in np.flatnonzero(done):
+            if row_of[j] >= 0:
+                u[row_of[j]] += reach - dist[j]
+            v[j] -= reach - dist[j]
+        while True:                                        # flip the path
+            row = via[col]
+            previous = np.flatnonzero(row_of == row)
+            row_of[col] = row
+            if row == start:
                 break
-    total = 0.0
-    for j in range(1, m + 1):
-        total += C[p[j] - 1, j - 1]
-    return float(total)
+            col = previous[previous != col][0]
+    return row_of, u, v
 
 
 def _match_group(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -238,7 +238,7 @@ def random_baseline(predictions: DataFrame, maps: DataFrame, reps: int = 10, see
     ranges = rng.select(F.col("run_a").alias("run_id"), "k", "lo", "hi").distinct()
     rep = F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))
     h = det_uint32(seed, "run_id", "k", "rep", "subject")
-    draws = (predictions.join(bounded_broadcast(ranges), ["run_id", "k"])
+    draws = (predictions.join(ranges, ["run_id", "k"])
              .withColumn("rep", rep)
              .withColumn("lr", (F.col("lo") + F.pmod(h, F.col("hi") - F.col("lo") + 1)).cast("int")))
     crand = draws.groupBy("run_id", "k", "lo", "hi", "rep", F.col("prediction").alias("la"), "lr") \

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from itemspace.functions.vector import array_sqdist
 from itemspace.operators.vectors import vector_dims
-from itemspace.session import bounded_broadcast, materialize, ship_package
+from itemspace.session import materialize, ship_package
 
 
 def cluster_stats(df: DataFrame, group: Sequence[str] = (), label: str = "prediction",
@@ -31,7 +31,7 @@ def cluster_stats(df: DataFrame, group: Sequence[str] = (), label: str = "predic
     cent = materialize(df.groupBy(*g, label).agg(
         F.count("*").alias("size"),
         F.array(*[F.avg(F.col(col)[i]) for i in range(dims)]).alias("centroid")))
-    j = df.join(bounded_broadcast(cent.select(*g, label, "centroid")), g + [label])
+    j = df.join(cent.select(*g, label, "centroid"), g + [label])
     d2 = array_sqdist(col, "centroid")
     scat = j.groupBy(*g, label).agg(F.avg(F.sqrt(d2)).alias("scatter"), F.sum(d2).alias("sse"))
     return materialize(cent.join(scat, g + [label]))
@@ -47,7 +47,7 @@ def davies_bouldin(stats: DataFrame, group: Sequence[str] = (), label: str = "pr
     b = stats.select(*g, F.col(label).alias("lj"), F.col("centroid").alias("cj"), F.col("scatter").alias("sj"))
     pairs = a.join(b, g).where(F.col("li") != F.col("lj")).withColumn("dc", F.sqrt(array_sqdist("ci", "cj")))
     per_i = pairs.groupBy(*g, "li").agg(
-        F.max(F.when(F.col("dc") > 0, (F.col("si") + F.col("sj")) / F.col("dc"))).alias("r"),
+        F.max(F.try_divide(F.col("si") + F.col("sj"), "dc")).alias("r"),
         F.max("dc").alias("max_dc"), F.max("si").alias("si"))
     out = per_i.groupBy(*g).agg(
         F.when((F.max("si") == 0) | (F.max("max_dc") == 0), F.lit(0.0))
@@ -56,7 +56,8 @@ def davies_bouldin(stats: DataFrame, group: Sequence[str] = (), label: str = "pr
 
 
 def calinski_harabasz(stats: DataFrame, group: Sequence[str] = (), label: str = "prediction") -> DataFrame:
-    """(between / (L - 1)) / (within / (n - L)); 1 when within is 0."""
+    """(between / (L - 1)) / (within / (n - L)); 1 when within is 0, null with
+    a single label (the index needs two)."""
     g = list(group) or ["_g"]
     if "_g" in g:
         stats = stats.withColumn("_g", F.lit(0))
@@ -71,8 +72,8 @@ def calinski_harabasz(stats: DataFrame, group: Sequence[str] = (), label: str =
                .groupBy(*g).agg(F.sum(F.col("size") * (F.col("c") - F.col("m")) ** 2).alias("between")))
     j = tot.join(between, g)
     keep = [c for c in g if c != "_g"]
-    return j.select(*keep, F.when(F.col("within") == 0, F.lit(1.0)).otherwise(
-        F.col("between") * (F.col("n") - F.col("nl")) / (F.col("within") * (F.col("nl") - 1)))
+    return j.select(*keep, F.when(F.col("nl") < 2, F.lit(None).cast("double")).when(F.col("within") == 0, F.lit(1.0)).otherwise(
+        F.try_divide(F.col("between") * (F.col("n") - F.col("nl")), F.col("within") * (F.col("nl") - 1)))
         .alias("calinski_harabasz_score"))
 
 
@@ -150,11 +151,11 @@ def silhouette(vectors: DataFrame, labels: DataFrame, key: str = "subject", col:
     own = base.select("grp", "key", F.posexplode("labels").alias("kidx", "own"))
     j = per.join(own, ["grp", "key", "kidx"])
     w = j.groupBy("grp", "key", "kidx").agg(
-        F.max(F.when(F.col("label") == F.col("own"), F.col("dsum") / (F.col("cnt") - 1))).alias("a"),
+        F.max(F.when(F.col("label") == F.col("own"), F.try_divide("dsum", F.col("cnt") - 1))).alias("a"),
         F.max(F.when(F.col("label") == F.col("own"), F.col("cnt"))).alias("own_n"),
         F.min(F.when(F.col("label") != F.col("own"), F.col("dsum") / F.col("cnt"))).alias("b"))
     s = F.when((F.col("own_n") <= 1) | (F.greatest("a", "b") == 0) | F.col("b").isNull(), F.lit(0.0)) \
-        .otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+        .otherwise(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")))
     out = w.groupBy("grp", "kidx").agg(F.avg(s).alias("silhouette_score"))
     kmap = F.array(*[F.lit(k) for k in ks])
     sel = [F.col("grp").alias(group)] if group else []
@@ -176,7 +177,7 @@ def silhouette_sq(df: DataFrame, group: Sequence[str] = (), label: str = "predic
         F.count("*").alias("n"), F.array(*[F.sum(F.col(col)[i]) for i in range(dims)]).alias("s"),
         F.sum(sq).alias("q"))
     per_group = st.groupBy(*g).agg(F.collect_list(F.struct(F.col(label).alias("l"), "n", "s", "q")).alias("cs"))
-    j = df.join(bounded_broadcast(per_group), g).withColumn("_x2", sq)
+    j = df.join(per_group, g).withColumn("_x2", sq)
 
     def mean_d(c):
         dot = F.aggregate(F.zip_with(col, c["s"], lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
@@ -185,9 +186,9 @@ def silhouette_sq(df: DataFrame, group: Sequence[str] = (), label: str = "predic
     others = F.filter("cs", lambda c: c["l"] != F.col(label))
     j = j.withColumn("_own", own).withColumn(
         "_b", F.array_min(F.transform(others, lambda c: mean_d(c))))
-    a = mean_d(F.col("_own")) * F.col("_own.n") / (F.col("_own.n") - 1)
+    a = F.try_divide(mean_d(F.col("_own")) * F.col("_own.n"), F.col("_own.n") - 1)
     s = F.when((F.col("_own.n") <= 1) | F.col("_b").isNull(), F.lit(0.0)).otherwise(
-        (F.col("_b") - a) / F.greatest(a, F.col("_b")))
+        F.coalesce(F.try_divide(F.col("_b") - a, F.greatest(a, F.col("_b"))), F.lit(0.0)))
     keep = [c for c in g if c != "_g"]
     return j.groupBy(*g).agg(F.avg(s).alias("silhouette_sq")).select(*keep, "silhouette_sq")
 
@@ -210,7 +211,7 @@ def kendall_tau_b(df: DataFrame, x: str, y: str, group: Sequence[str] = ()) -> D
         F.count_if(sx == 0).alias("tx"), F.count_if(sy == 0).alias("ty"))
     den = F.sqrt((F.col("n0") - F.col("tx")).cast("double") * (F.col("n0") - F.col("ty")).cast("double"))
     keep = [c for c in g if not (added and c == "_g")]
-    return agg.select(*keep, F.when(den > 0, F.col("s") / den).alias("tau"))
+    return agg.select(*keep, F.when(den > 0, F.try_divide(F.col("s"), den)).alias("tau"))
 
 
 def metric_inertia_correlation(metrics: DataFrame, names: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
@@ -231,7 +232,7 @@ def normalized_metric_curves(metrics: DataFrame, group: Sequence[str] = ()) -> D
 
     def mm(c):
         lo, hi = F.min(c).over(w), F.max(c).over(w)
-        return F.when(hi > lo, (F.col(c) - lo) / (hi - lo)).otherwise(F.lit(0.0))
+        return F.when(hi > lo, F.try_divide(F.col(c) - lo, hi - lo)).otherwise(F.lit(0.0))
     return metrics.select(*group, "k", mm("inertia").alias("inertia_norm"),
                           mm("davies_bouldin_score").alias("davies_bouldin_norm"),
                           (1 - mm("silhouette_score")).alias("silhouette_norm"),

@@ -3,7 +3,7 @@ relative intrinsic-metric shares, correlation and combined matrices, random
 thresholds and the weighted similarity graph as node / edge tables.
 
 Every table is long ``(metric, run_row, run_col, value)``; a square matrix is
-one ``groupBy(run_row).pivot(run_col, names)`` away (``to_matrix``).
+one ``groupBy(run_row).pivot(run_col, names)`` away.
 """
 
 from __future__ import annotations
@@ -84,11 +84,12 @@ def metric_maxima(run_metrics: DataFrame, k: int, metrics: Sequence[str] = INTRI
 
 
 def _scaled(m: str, v: Column, best: Column) -> Column:
+    """The value on the scale of the best one; 0 where the best is 0."""
     if "silhouette" in m:
-        return (v + 1) / 2 / best
+        return F.coalesce(F.try_divide((v + 1) / 2, best), F.lit(0.0))
     if "davies" in m:
-        return 1 - v / best
-    return v / best
+        return F.coalesce(1 - F.try_divide(v, best), F.lit(0.0))
+    return F.coalesce(F.try_divide(v, best), F.lit(0.0))
 
 
 def relative_metric_share(run_metrics: DataFrame, pairs: DataFrame, k: int,
@@ -101,7 +102,7 @@ def relative_metric_share(run_metrics: DataFrame, pairs: DataFrame, k: int,
     a = rm.select(F.col("run_id").alias("run_a"), *[F.col(m).alias(f"{m}_A") for m in metrics])
     b = rm.select(F.col("run_id").alias("run_b"), *[F.col(m).alias(f"{m}_B") for m in metrics])
     bb = best.select(F.lit(1).alias("_one"), *[F.col(m).alias(f"{m}_best") for m in metrics])
-    j = p.join(a, "run_a").join(b, "run_b").withColumn("_one", F.lit(1)).join(F.broadcast(bb), "_one")
+    j = p.join(a, "run_a").join(b, "run_b").withColumn("_one", F.lit(1)).join(bb, "_one")
     parts = []
     for m in metrics:
         va = _scaled(m, F.col(f"{m}_A"), F.col(f"{m}_best"))
@@ -124,10 +125,12 @@ def correlation_matrix(run_metrics: DataFrame, pairs: DataFrame, k: int,
 
 
 def minmax_matrix(long: DataFrame) -> DataFrame:
-    """Per metric: subtract the minimum, then divide by the (shifted) maximum."""
+    """Per metric: subtract the minimum, then divide by the (shifted) maximum;
+    a constant metric is 0 everywhere."""
     mm = long.groupBy("metric").agg(F.min("value").alias("_mn"), F.max("value").alias("_mx"))
-    return (long.join(F.broadcast(mm), "metric")
-            .withColumn("value", (F.col("value") - F.col("_mn")) / (F.col("_mx") - F.col("_mn")))
+    scaled = F.try_divide(F.col("value") - F.col("_mn"), F.col("_mx") - F.col("_mn"))
+    return (long.join(mm, "metric")
+            .withColumn("value", F.when(F.col("_mx") == F.col("_mn"), F.lit(0.0)).otherwise(scaled))
             .drop("_mn", "_mx"))
 
 
@@ -165,8 +168,3 @@ def similarity_nodes(edges: DataFrame, feature_tokens: Sequence[str] = ("feat_ra
     names = edges.select(F.col("src").alias("name")).unionByName(edges.select(F.col("dst").alias("name"))).distinct()
     is_feat = reduce(lambda x, y: x | y, [F.col("name").contains(t) for t in feature_tokens])
     return names.select("name", F.when(is_feat, F.lit("feature")).otherwise(F.lit("model")).alias("kind"))
-
-
-def to_matrix(long: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Square matrix of one metric: rows run_row, one column per name."""
-    return long.groupBy("run_row").pivot("run_col", list(names)).agg(F.first("value"))

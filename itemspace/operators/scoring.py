@@ -12,14 +12,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itemspace.session import bounded_broadcast
 
 
 def score_subscales(responses: DataFrame, scale_map: DataFrame, how: str = "sum",
                     key: str = "subject", scale: str = "scale") -> DataFrame:
     """(subject, scale, score): sum or mean of a subject's answers per scale."""
     agg = F.sum if how == "sum" else F.avg
-    j = responses.join(bounded_broadcast(scale_map.select("item_id", scale)), "item_id")
+    j = responses.join(scale_map.select("item_id", scale), "item_id")
     out = j.groupBy(key, scale).agg(agg(F.col("answer").cast("double")).alias("score"))
     return out
 
@@ -29,7 +28,7 @@ def score_two_level(responses: DataFrame, scale_map: DataFrame, factor_map: Data
     """First scale sums, then (possibly overlapping) factor sums of scales.
     The second map is many-to-many: one scale may feed several factors."""
     first = score_subscales(responses, scale_map, "sum", key)
-    return (first.join(bounded_broadcast(factor_map.select("scale", "factor")), "scale")
+    return (first.join(factor_map.select("scale", "factor"), "scale")
             .groupBy(key, "factor").agg(F.sum("score").alias("score")))
 
 
@@ -51,7 +50,7 @@ def select_precomputed_scores(df: DataFrame, score_cols: Sequence[str], key: str
 def reverse_score(responses: DataFrame, negative_items: DataFrame, lo: int, hi: int) -> DataFrame:
     """answer -> lo + hi - answer for negatively keyed items (off by default in
     the pipelines: the original study kept it disabled)."""
-    neg = bounded_broadcast(negative_items.select("item_id").distinct().withColumn("_neg", F.lit(True)))
+    neg = negative_items.select("item_id").distinct().withColumn("_neg", F.lit(True))
     return (responses.join(neg, "item_id", "left")
             .withColumn("answer", F.when(F.col("_neg"), F.lit(lo + hi) - F.col("answer"))
                         .otherwise(F.col("answer")))

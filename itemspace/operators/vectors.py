@@ -11,11 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itemspace.functions.vector import array_norm, elementwise_agg
-from itemspace.session import bounded_broadcast
 
-# Above this many dimensions one aggregate per position makes a very wide
-# generated class; the long (posexplode) form is used instead.
-WIDE_AGG_MAX_DIMS = 256
+# A vector is pooled in blocks of so many positions, one aggregate each, so that
+# the generated class is of one size whatever the number of dimensions.
+BLOCK_DIMS = 64
 
 _AGGS = {"max": F.max, "sum": F.sum, "mean": F.avg, "min": F.min}
 
@@ -26,32 +25,26 @@ def vector_dims(df: DataFrame, col: str = "v") -> int:
 
 
 def embed_subjects(responses: DataFrame, item_vectors: DataFrame, how: str = "max",
-                   dims: int | None = None, n_items: int | None = None,
-                   subject: str = "subject") -> DataFrame:
+                   n_items: int | None = None, subject: str = "subject") -> DataFrame:
     """v[d] = AGG over a subject's items of answer * e[item][d].
 
     ``responses(subject, item_id, answer)`` holds one row per (subject, item);
-    ``item_vectors(item_id, e)`` is the small codebook side and is broadcast
-    behind a row-count check.  With ``n_items`` only subjects that answered
-    every item are kept, in the same aggregation (one shuffle in all).
+    ``item_vectors(item_id, e)`` is the codebook side.  Item vectors are cut into
+    blocks of BLOCK_DIMS positions, pooled per (subject, block) and put together.
+    With ``n_items`` only subjects that answered every item are kept.
     """
-    st = item_vectors.agg(F.count("*").alias("n"), F.max(F.size("e")).alias("d")).first()
-    n_iv = int(st["n"])
-    dims = dims or int(st["d"])
-    iv = bounded_broadcast(item_vectors.select("item_id", F.col("e").cast("array<double>").alias("e")),
-                           known_rows=n_iv)
-    j = responses.join(iv, "item_id").select(subject, F.col("answer").cast("double").alias("a"), "e")
+    e = F.col("e").cast("array<double>")
+    starts = F.sequence(F.lit(1), F.greatest(F.size("e"), F.lit(1)), F.lit(BLOCK_DIMS))
+    blocks = (item_vectors.select("item_id", e.alias("e"))
+              .select("item_id", F.posexplode(F.transform(starts, lambda s: F.slice("e", s, BLOCK_DIMS))).alias("b", "x")))
+    j = responses.join(blocks, "item_id").select(subject, F.col("answer").cast("double").alias("a"), "b", "x")
     agg = _AGGS[how]
-    if dims <= WIDE_AGG_MAX_DIMS:
-        out = j.groupBy(subject).agg(
-            F.count("a").alias("_n"),
-            F.array(*[agg(F.col("a") * F.col("e")[i]) for i in range(dims)]).alias("v"))
-    else:
-        long = (j.select(subject, "a", F.posexplode("e").alias("d", "x"))
-                .groupBy(subject, "d").agg(agg(F.col("a") * F.col("x")).alias("x"), F.count("a").alias("_n")))
-        out = (long.groupBy(subject)
-               .agg(F.max("_n").alias("_n"), F.sort_array(F.collect_list(F.struct("d", "x"))).alias("_p"))
-               .select(subject, "_n", F.transform("_p", lambda s: s["x"]).alias("v")))
+    pooled = j.groupBy(subject, "b").agg(
+        F.count("a").alias("_n"), F.max(F.size("x")).alias("_d"),
+        F.array(*[agg(F.col("a") * F.get("x", F.lit(i))) for i in range(BLOCK_DIMS)]).alias("p"))
+    out = (pooled.groupBy(subject)
+           .agg(F.max("_n").alias("_n"), F.sort_array(F.collect_list(F.struct("b", "_d", "p"))).alias("_p"))
+           .select(subject, "_n", F.flatten(F.transform("_p", lambda s: F.slice(s["p"], 1, s["_d"]))).alias("v")))
     if n_items is not None:
         out = out.where(F.col("_n") == n_items)
     return out.drop("_n")

@@ -1,5 +1,8 @@
 """Session helpers: a tuned local session for tests/bench, checkpoint folder
-resolution, code shipping to executors, and size-checked broadcast."""
+resolution, code shipping to executors and lineage cuts.
+
+Joins carry no broadcast hint: Spark broadcasts a side by its size in bytes
+(spark.sql.autoBroadcastJoinThreshold, also at run time under AQE)."""
 
 from __future__ import annotations
 
@@ -9,16 +12,9 @@ import tempfile
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _PKG_DIR = os.path.dirname(os.path.abspath(__file__))
 
-# Largest side (rows) we ever broadcast.  Item tables, centres, subscale maps
-# and global statistics are far below it; anything whose row count is not
-# proven below it goes through a shuffle join instead.
-BROADCAST_MAX_ROWS = 200_000
-
-
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "itemspace") -> SparkSession:
     """Session used by tests and bench.  On a cluster the caller's own session
@@ -39,7 +35,6 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("ITEMSPACE_DRIVER_MEM", "16g"))
-        .config("spark.sql.ansi.enabled", "false")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -60,7 +55,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(d)
         return d
-    if not sc.master.startswith("local"):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     d = tempfile.mkdtemp(prefix="itemspace-ckpt-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", d)
@@ -94,14 +89,6 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(key)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
-                      known_rows: int | None = None) -> DataFrame:
-    """Broadcast ``df`` only when its row count is proven below ``max_rows``;
-    otherwise return it unchanged so the planner uses a shuffle join."""
-    n = known_rows if known_rows is not None else df.count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def persist(df: DataFrame) -> DataFrame:
     from pyspark import StorageLevel
     return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -108,20 +108,23 @@ FACTOR_MAP_SQL = "(values " + ", ".join(
     f"('{g}', {s})" for g, scales in GLOBAL_FACTORS.items() for s in scales) + ") fm(factor, scale)"
 
 
-# item vectors for the 7-item survey (line numbers start at 1).
+# item vectors for the 7-item survey (line numbers start at 1).  Every row of
+# ``embeddings`` is a window of some item's text; an item's vector is their mean.
 N_ITEMS_F1 = 7
 
 
 def item_vectors(spark: SparkSession, sf_dir: str, n_items: int = N_ITEMS_F1) -> DataFrame:
-    return (table(spark, sf_dir, "embeddings")
-            .where(F.col("vec_id") < n_items)
-            .select((F.col("vec_id") + 1).cast("int").alias("item_id"),
-                    F.col("embedding").cast("array<double>").alias("e")))
+    from itemspace.operators.vectors import pool_groups
+    windows = table(spark, sf_dir, "embeddings").select(
+        (F.col("vec_id") % n_items + 1).cast("int").alias("item_id"), F.col("embedding").cast("array<double>").alias("e"))
+    return pool_groups(windows, "item_id", "mean", "e")
 
 
 ITEM_VECTORS_SQL = f"""
-select cast(vec_id + 1 as integer) as item_id, cast(embedding as double[]) as e
-from embeddings where vec_id < {N_ITEMS_F1}"""
+select item_id, list(x order by d) as e from (
+  select item_id, d, avg(x) as x from (
+    select cast(vec_id % {N_ITEMS_F1} + 1 as integer) as item_id, unnest(cast(embedding as double[])) as x,
+           unnest(range(len(embedding))) as d from embeddings) group by item_id, d) group by item_id"""
 
 
 # subject vectors with an external label.

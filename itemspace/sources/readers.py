@@ -18,10 +18,9 @@ def read_responses(spark: SparkSession, path: str, schema: StructType | str, sep
             .option("nullValue", "NA").option("emptyValue", None).csv(path))
 
 
-def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Each file as one row (path, text)."""
-    return (spark.read.option("wholetext", True).text(path)
-            .select(F.input_file_name().alias("doc_id"), F.col("value").alias("text")))
+def _from(array, start: int):
+    """The elements of an array from a position on."""
+    return F.filter(array, lambda x, i: i >= start)
 
 
 def codebook_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", start: int = 0,
@@ -36,8 +35,8 @@ def codebook_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", sta
     parts = F.split(F.col("line"), sep, 2)
     return (lines.where(cond)
             .select(key, F.col("line_no").cast("int").alias("line_no"),
-                    F.trim(parts[0]).alias("code"),
-                    clean_sentence(F.coalesce(parts[1], F.lit(""))).alias("sentence")))
+                    F.trim(F.get(parts, F.lit(0))).alias("code"),
+                    clean_sentence(F.coalesce(F.get(parts, F.lit(1)), F.lit(""))).alias("sentence")))
 
 
 def html_rows(pages: DataFrame, key: str = "page_id", html: str = "html", row_tag: str = "tr",
@@ -58,12 +57,14 @@ def html_rows(pages: DataFrame, key: str = "page_id", html: str = "html", row_ta
 def codebook_html(pages: DataFrame, key: str = "page_id", html: str = "html", skip: int = 1,
                   id_cell: int = 0, text_cell: int = 2, quoted: bool = True) -> DataFrame:
     """Table codebook: id from one cell, sentence from another (the part
-    between the first pair of double quotes when ``quoted``)."""
+    between the first pair of double quotes when ``quoted``).  A row without the
+    cell or the quotes has a null there."""
     r = html_rows(pages, key, html).where(F.col("row_no") >= skip)
-    txt = F.col("cells")[text_cell]
+    txt = F.get("cells", F.lit(text_cell))
     if quoted:
-        txt = F.split(txt, '"')[1]
-    return r.select(key, "row_no", F.col("cells")[id_cell].alias("code"), clean_sentence(txt).alias("sentence"))
+        txt = F.get(F.split(txt, '"'), F.lit(1))
+    return r.select(key, "row_no", F.get("cells", F.lit(id_cell)).alias("code"),
+                    clean_sentence(txt).alias("sentence"))
 
 
 def stitch_numbered_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -71,15 +72,9 @@ def stitch_numbered_lines(docs: DataFrame, key: str = "doc_id", text: str = "tex
     the last line that does (no separator, as in the original codebook
     parser), skip empty lines, then strip the item number and collapse
     spaces.  Lines before the first numbered line form a record of their
-    own.  Row-local fold over the lines: no shuffle."""
-    lines = F.filter(F.split(F.col(text), "\n"), lambda x: x != "")
-    init = F.array().cast("array<string>")
-
-    def step(acc, x):
-        new_rec = x.rlike("^[0-9]") | (F.size(acc) == 0)
-        glued = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), x)))
-        return F.when(new_rec, F.concat(acc, F.array(x))).otherwise(glued)
-    recs = F.aggregate(lines, init, step)
+    own.  Row-local and linear: the text is cut before each numbered line."""
+    recs = F.filter(F.transform(F.split(F.col(text), "\n(?=[0-9])"), lambda r: F.replace(r, F.lit("\n"), F.lit(""))),
+                    lambda r: r != "")
     return (docs.select(key, F.posexplode(recs).alias("rec_no", "rec"))
             .select(key, F.col("rec_no").cast("int").alias("rec_no"),
                     clean_sentence(strip_item_number(F.col("rec"))).alias("sentence")))
@@ -88,9 +83,9 @@ def stitch_numbered_lines(docs: DataFrame, key: str = "doc_id", text: str = "tex
 def parse_pipe_table(docs: DataFrame, key: str = "doc_id", text: str = "text", skip_lines: int = 0) -> DataFrame:
     """Markdown grid table: a line containing '-----' ends a record; cells of
     the lines of one record (split on '|', empty pieces dropped, three cells
-    expected) are concatenated column-wise; records with an empty id are
+    expected, a missing one is empty) are concatenated column-wise; records with an empty id are
     dropped.  Row-local (one document per row)."""
-    lines = F.filter(F.transform(F.slice(F.split(F.col(text), "\n"), skip_lines + 1, 1 << 30), lambda x: F.trim(x)),
+    lines = F.filter(F.transform(_from(F.split(F.col(text), "\n"), skip_lines), lambda x: F.trim(x)),
                      lambda x: x != "")
     d = docs.select(key, F.posexplode(lines).alias("pos", "line"))
     sep = F.col("line").contains("-----")
@@ -99,7 +94,7 @@ def parse_pipe_table(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     body = d.where(~sep).select(key, "rec", "pos", cells.alias("c"))
     g = body.groupBy(key, "rec").agg(F.sort_array(F.collect_list(F.struct("pos", "c"))).alias("parts"))
     def cell(idx):
-        return lambda p: p["c"][idx]  # one-argument lambda: Spark reads two arguments as (x, index)
+        return lambda p: F.coalesce(F.get(p["c"], F.lit(idx)), F.lit(""))  # one-argument lambda: Spark reads two arguments as (x, index)
     joined = g.select(key, "rec", *[F.array_join(F.transform("parts", cell(i)), "").alias(n)
                                     for i, n in enumerate(["code", "question", "values"])])
     # a record is closed by its separator line: the open tail after the last one is dropped
@@ -116,8 +111,8 @@ def split_numbered_blocks(docs: DataFrame, key: str = "doc_id", text: str = "tex
     parts = F.split(F.col(text), r"(?m)^\s*[0-9]+\s*$")
     nums = F.regexp_extract_all(F.col(text), F.lit(r"(?m)^\s*([0-9]+)\s*$"), 1)
     d = docs.select(key, parts.alias("p"), nums.alias("n"))
-    return (d.select(key, F.posexplode(F.slice("p", 2, 1 << 30)).alias("i", "block"), "n")
-            .select(key, F.col("n")[F.col("i")].cast("int").alias("item"),
+    return (d.select(key, F.posexplode(_from(F.col("p"), 1)).alias("i", "block"), "n")
+            .select(key, F.get("n", F.col("i")).cast("int").alias("item"),
                     clean_sentence(F.regexp_replace("block", "[0-9]", "")).alias("sentence")))
 
 

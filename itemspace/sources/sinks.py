@@ -34,7 +34,7 @@ def export_subject_projector(vectors: DataFrame, predictions_wide: DataFrame, ru
                              path: str, key: str = "subject", fmt: str = "parquet") -> None:
     """Vectors with per-K predictions and the run parameters, joined by the
     subject id (never by row order)."""
-    out = vectors.join(predictions_wide, key).join(F.broadcast(runs), "run_id")
+    out = vectors.join(predictions_wide, key).join(runs, "run_id")
     if fmt == "csv":
         out = out.withColumn("v", F.array_join(F.col("v").cast("array<string>"), "\t"))
         out.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
@@ -43,7 +43,6 @@ def export_subject_projector(vectors: DataFrame, predictions_wide: DataFrame, ru
 
 
 def export_item_projector(item_vectors: DataFrame, run: DataFrame, path: str) -> None:
-    """Item vectors with the run's parameters (``run`` holds one row; its
-    values become literal columns)."""
-    row = run.first().asDict()
-    item_vectors.withColumns({c: F.lit(v) for c, v in row.items()}).write.mode("overwrite").parquet(path)
+    """Item vectors with the parameters of every run in ``run`` (a parameter
+    table): items x runs rows."""
+    item_vectors.join(run, F.lit(True)).write.mode("overwrite").parquet(path)
