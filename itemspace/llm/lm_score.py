@@ -8,11 +8,10 @@ unigram counts over the whole corpus.
 The exploded bigrams are dealt by the hash of their second word: a row holds the
 occurrences of one word in one Arrow batch (the word before and the document), so
 a word's rows meet in one place, where its bigrams and itself are counted and the
-occurrences scored.  Frequent words, counted first (at most 2^16 - 1 of them, so
-their table is broadcast), are named by rank, and the rows of each are split over
-as many keys as it has shares of N / 2^16.  What a rare word is still owed,
-the count of a rare word before it, is joined on relationally.  All parts are summed
-per document.
+occurrences scored.  Frequent words, counted first (at most 2^16 - 1, so their table
+is broadcast), are named by rank, and the rows of each are split over as many keys as
+it has shares of N / 2^16.  What an occurrence is still owed, the count of a rare
+word before it, is joined on relationally.  All parts are summed per document.
 
 ``docs`` has to be a deterministic scan (a table): documents are numbered twice.
 
@@ -80,8 +79,8 @@ def salted(word: np.ndarray, salt: np.ndarray) -> np.ndarray:
 
 
 def frequent_words(source: DataFrame) -> Frequent:
-    """Words with a large share of some batch, the most frequent of them, and
-    their exact counts over all documents."""
+    """Words with a large share of many batches, and their exact counts over all
+    documents."""
     def candidates(batches):
         for batch in batches:
             hashes = np.concatenate([w.hashes for w in words(batch.column("text"))] or [np.zeros(0, np.uint64)])
@@ -94,17 +93,19 @@ def frequent_words(source: DataFrame) -> Frequent:
     rough = stored(source.select("text").mapInArrow(candidates, "word long, n long, all boolean")
                    .groupBy("word", "all").agg(F.sum("n").alias("n")), "frequent")
     total = rough.where("all").agg(F.sum("n")).first()[0] or 0
-    top = rough.where("not all").orderBy(F.desc("n"), "word").limit(HOT).select("word").toArrow()
+    # A word that has its share overall has it in most batches.
+    top = (rough.where(~F.col("all") & (F.col("n") * (2 * HOT) >= total)).orderBy(F.desc("n"), "word").limit(HOT)
+           .select("word").toArrow())
     chosen = source.sparkSession.sparkContext.broadcast(np.sort(top.column("word").to_numpy().view(np.uint64)))
 
     def exact(batches):
+        held = np.zeros(len(chosen.value) + 1, dtype=np.int64)
         for batch in batches:
-            held = np.zeros(len(chosen.value) + 1, dtype=np.int64)
             for w in words(batch.column("text")):
                 held += np.bincount(_lookup(chosen.value, w.hashes) + 1, minlength=len(held))
-            some = np.flatnonzero(held[1:])
-            yield pa.RecordBatch.from_arrays([pa.array(chosen.value[some].view(np.int64)), pa.array(held[1:][some])],
-                                             names=["word", "n"])
+        some = np.flatnonzero(held[1:])
+        yield pa.RecordBatch.from_arrays([pa.array(chosen.value[some].view(np.int64)), pa.array(held[1:][some])],
+                                         names=["word", "n"])
 
     counted = (source.select("text").mapInArrow(exact, "word long, n long").groupBy("word")
                .agg(F.sum("n").alias("n")).toArrow())
@@ -241,7 +242,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     hot = spark.sparkContext.broadcast(frequent_words(source))
     numbered = source.withColumn("n", F.monotonically_increasing_id())
     rows = (numbered.select("n", "text")
-            .mapInArrow(lambda it: (occurrence_rows(b, hot.value) for b in it),
+            .mapInArrow(lambda it: (occurrence_rows(b.slice(k, 1 << 16), hot.value)     # documents have 16 bits
+                                    for b in it for k in range(0, b.num_rows, 1 << 16)),
                         "key long, base long, hot binary, rare binary")
             .repartition("key").sortWithinPartitions("key"))
     parts = stored(rows.mapInArrow(
