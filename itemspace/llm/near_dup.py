@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itemspace.llm.graph import components
-from itemspace.llm.runtime import prepare, stored
+from itemspace.llm.runtime import lean, prepare, stored
 from itemspace.llm.words import Words, counter, mix, words
 
 SHINGLE = 5
@@ -40,6 +40,7 @@ SIMILARITY = 80          # hundredths
 SLOTS, BAND = 96, 4
 # Sketches of a similar pair agree in fewer slots with probability below 1e-4.
 LEAST_AGREEMENT = 60
+BATCH_BYTES = 4 << 20    # sketches take many times a batch's memory
 FIRST_BANDS = 3          # bands whose links are verified before the others are looked at
 BLOCK = 512              # members of one bucket compared in one piece
 
@@ -149,7 +150,7 @@ def sketched(source: DataFrame) -> DataFrame:
                      _binary(sketch.astype(np.uint32))],
                     names=["_id", "_text_hash", "node", "bands", "sketch"])
 
-    return source.mapInArrow(run, f"_id {kind}, _text_hash long, node binary, bands array<long>, sketch binary")
+    return source.mapInArrow(lean(run), f"_id {kind}, _text_hash long, node binary, bands array<long>, sketch binary")
 
 
 def shingle_sets(source: DataFrame) -> DataFrame:
@@ -163,7 +164,7 @@ def shingle_sets(source: DataFrame) -> DataFrame:
                     [_binary(digests(w)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(value.view(np.int64)))],
                     names=["node", "shingles"])
 
-    return source.select("text").mapInArrow(run, "node binary, shingles array<long>").dropDuplicates(["node"])
+    return source.select("text").mapInArrow(lean(run), "node binary, shingles array<long>").dropDuplicates(["node"])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -182,7 +183,7 @@ def agreeing(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
 
     return (pairs.join(nodes.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a")
             .join(nodes.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
-            .mapInArrow(run, "a binary, b binary"))
+            .mapInArrow(lean(run), "a binary, b binary"))
 
 
 def similar(a: Column, b: Column, hundredths: int) -> Column:
@@ -302,9 +303,9 @@ def links_apart(members: DataFrame, nodes: DataFrame, sets: DataFrame, least: in
     block = block or BLOCK
     sketch = nodes.select("node", "sketch")
     some = stored(_dealt(members, sketch, block).mapInArrow(
-        lambda it: _members_apart(it, least), "key long, band int, node binary, label binary").distinct(), "apart")
+        lean(lambda it: _members_apart(it, least)), "key long, band int, node binary, label binary").distinct(), "apart")
     return _dealt(some, sketch.join(sets, "node"), block).mapInArrow(
-        lambda it: _links_apart(it, least, hundredths), "a binary, b binary").distinct()
+        lean(lambda it: _links_apart(it, least, hundredths)), "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, id_col: str = "doc_id",
@@ -312,7 +313,7 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, id_col: str =
     """_id, _text_hash, class_id (least id of the class) and first (this row's
     id and text are the least of its class) for every row."""
     spark = docs.sparkSession
-    prepare(spark)
+    prepare(spark, BATCH_BYTES)
     source = docs.select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("_text_hash"),
                          F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     seen = stored(sketched(source), "sketches")

@@ -13,11 +13,21 @@ from itemspace.session import checkpoint_dir, ship_package
 ARROW_BATCH_BYTES = 16 << 20
 
 
-def prepare(spark: SparkSession) -> None:
+def prepare(spark: SparkSession, batch_bytes: int = ARROW_BATCH_BYTES) -> None:
     """Make the package importable in workers and bound Arrow batches by bytes
     (a batch of 10,000 very long texts would not fit a worker)."""
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
+
+
+def lean(run):
+    """``run`` over Arrow batches, giving free Arrow memory back at the task's end:
+    idle workers stay alive beside the JVM."""
+    def wrapped(batches):
+        import pyarrow as pa
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+    return wrapped
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
