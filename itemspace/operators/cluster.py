@@ -10,6 +10,7 @@ partial aggregation.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from itemspace.functions.hashing import det_uint32
 from itemspace.functions.vector import array_sqdist
-from itemspace.operators.vectors import vector_dims
+from itemspace.operators.vectors import normalize_rows, vector_dims
 from itemspace.session import materialize, persist
 
 
@@ -93,12 +94,18 @@ def _update(assigned: DataFrame, centres: Centres, col: str, group: str | None)
     return new  # an empty cluster keeps its centre
 
 
+def _moved(before: Centres, after: Centres) -> float:
+    """The furthest that any centre has moved."""
+    return max(math.dist(a, b) for key in after for a, b in zip(before[key], after[key]))
+
+
 def lloyd_sweep(vectors: DataFrame, ks: Sequence[int], rounds: int = 5, key: str = "subject",
                 col: str = "v", seed: int = 42, init: Centres | None = None,
                 dims: int | None = None, checkpoint: bool = True,
-                group: str | None = None) -> tuple[DataFrame, Centres]:
+                group: str | None = None, tol: float | None = None) -> tuple[DataFrame, Centres]:
     """Deterministic k-means for every K in ``ks``: md5-ranked initial
-    centres, ``rounds`` Lloyd updates, then the final assignment.
+    centres, ``rounds`` Lloyd updates, then the final assignment.  With ``tol`` the
+    rounds end once no centre moves further than that.
 
     ``group`` runs independent sweeps for each value of an integer column in
     the same passes (e.g. several preprocessings of one survey); ``init`` may
@@ -113,7 +120,10 @@ def lloyd_sweep(vectors: DataFrame, ks: Sequence[int], rounds: int = 5, key: str
     base = persist(vectors.select(*cols))
     centres = _norm_keys(init) if init else initial_centres(base, ks, key, col, seed, group)
     for _ in range(rounds):
+        before = centres
         centres = _update(assign_clusters(base, centres, col, group), centres, col, group)
+        if tol is not None and _moved(before, centres) <= tol:
+            break
     final = assign_clusters(base, centres, col, group).select(
         key, *([group] if group else []), "k", "prediction", "sqdist")
     if checkpoint:
@@ -126,18 +136,32 @@ def lloyd_sweep(vectors: DataFrame, ks: Sequence[int], rounds: int = 5, key: str
 
 def kmeans_multi_start(vectors: DataFrame, k: int, n_init: int = 10, rounds: int = 5, key: str = "subject",
                        col: str = "v", seed: int = 42, dims: int | None = None,
-                       checkpoint: bool = True) -> tuple[DataFrame, list[list[float]], float]:
+                       checkpoint: bool = True, tol: float | None = None) -> tuple[DataFrame, list[list[float]], float]:
     """Best of ``n_init`` deterministic starts (seeds seed..seed+n_init-1),
     all run in the same Lloyd passes; keeps the lowest inertia (first start
     on ties).  Returns (assignments(key, k, prediction, sqdist), centres, inertia)."""
     init = {(0, i): initial_centres(vectors, [k], key, col, seed + i)[(0, k)] for i in range(n_init)}
-    a, centres = lloyd_sweep(vectors, [k], rounds, key, col, seed, init=init, dims=dims, checkpoint=checkpoint)
+    a, centres = lloyd_sweep(vectors, [k], rounds, key, col, seed, init=init, dims=dims, checkpoint=checkpoint,
+                             tol=tol)
     costs = {r["k"]: r["c"] for r in a.groupBy("k").agg(F.sum("sqdist").alias("c")).collect()}
     best = min(costs, key=lambda i: (costs[i], i))
     out = a.where(F.col("k") == best).withColumn("k", F.lit(k))
     return out, centres[best], float(costs[best])
 
 
+def kmeans_best(vectors: DataFrame, ks: Sequence[int], n_init: int = 10, rounds: int = 300, key: str = "subject",
+                col: str = "v", seed: int = 42, tol: float = 1e-4) -> DataFrame:
+    """(key, k, prediction, sqdist): for every K the best of ``n_init`` starts, each
+    until its centres rest.  All K and starts share the same Lloyd passes."""
+    wide = max(ks) + 1
+    init = {(0, i * wide + k): c for i in range(n_init)
+            for (_, k), c in initial_centres(vectors, ks, key, col, seed + i).items()}
+    a, _ = lloyd_sweep(vectors, ks, rounds, key, col, seed, init=init, tol=tol)
+    costs = {r["k"]: r["c"] for r in a.groupBy("k").agg(F.sum("sqdist").alias("c")).collect()}
+    best = [min((c for c in costs if c % wide == k), key=lambda c: (costs[c], c)) for k in ks]
+    return a.where(F.col("k").isin(best)).withColumn("k", (F.col("k") % wide).cast("int"))
+
+
 def inertia(assignments: DataFrame) -> DataFrame:
     return assignments.groupBy("k").agg(F.sum("sqdist").alias("inertia"))
 
@@ -217,9 +241,9 @@ def _sse(df: DataFrame, col: str, dims: int) -> float:
 # ------------------------------------------------------------ spectral (Nystrom)
 def spectral_clustering(vectors: DataFrame, ks: Sequence[int], gamma: float = 1.0, landmarks: int = 200,
                         key: str = "subject", col: str = "v", n_init: int = 10, rounds: int = 10,
-                        seed: int = 42) -> DataFrame:
-    """RBF spectral clustering with a Nystrom approximation: m md5-ranked
-    landmarks (broadcast, m x d), row-parallel affinities to them
+                        seed: int = 42, affinity: str = "rbf") -> DataFrame:
+    """Spectral clustering (RBF, or ``affinity='cosine'``: cosines, negative ones
+    as 0) with a Nystrom approximation: m md5-ranked landmarks (broadcast, m x d), row-parallel affinities to them
     (n x m, never n x n), degree-normalised rows F = C / sqrt(deg), top
     eigenvectors of the m x m Gram F^T F (aggregated per task in NumPy,
     eigen-decomposed on the driver), row-normalised spectral coordinates,
@@ -231,7 +255,15 @@ def spectral_clustering(vectors: DataFrame, ks: Sequence[int], gamma: float = 1.
              .select(col).collect())
     L = np.array([list(r[0]) for r in first])
     lm = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in L])
-    aff = F.transform(lm, lambda l: F.exp(-gamma * array_sqdist(col, l)))
+    if affinity == "cosine":
+        unit = normalize_rows(vectors.select(key, col), 2, col)
+        lm = F.array(*[F.array(*[F.lit(float(x / max(np.linalg.norm(row), 1e-300))) for x in row]) for row in L])
+        aff = F.transform(lm, lambda l: F.greatest(F.lit(0.0), 1 - array_sqdist(col, l) / 2))
+        vectors = unit
+    elif affinity == "rbf":
+        aff = F.transform(lm, lambda l: F.exp(-gamma * array_sqdist(col, l)))
+    else:
+        raise ValueError(f"unknown affinity {affinity!r}")
     feats = vectors.select(key, aff.alias("_c")).withColumn(
         "_deg", F.aggregate("_c", F.lit(0.0), lambda a, x: a + x)).select(
         key, F.transform("_c", lambda x: x / F.sqrt(F.greatest(F.col("_deg"), F.lit(1e-300)))).alias("f"))

@@ -193,18 +193,17 @@ def q_assign_clusters(spark, sf):
 @query("bisecting_kmeans")
 def q_bisecting_kmeans(spark, sf):
     vec = _vec(spark, sf)
-    pred, _ = K.bisecting_kmeans(vec.select("subject", "v"), 4, n_init=3)
+    pred, _ = K.bisecting_kmeans(vec.select("subject", "v"), 4)
     return pred
 
 
 @query("kmeans_restarts")
 def q_kmeans_restarts(spark, sf):
     vec = _vec(spark, sf)
-    pred, _ = K.kmeans_restarts(vec.select("subject", "v"), 4, n_init=3)
+    pred, _ = K.kmeans_restarts(vec.select("subject", "v"), 4)
     return pred
 
 
 @query("spectral_clustering")
 def q_spectral_clustering(spark, sf):
-    return K.spectral_clustering(_vec(spark, sf).select("subject", "v"), [2, 3], gamma=1.0, landmarks=100,
-                                 n_init=3)
+    return K.spectral_clustering(_vec(spark, sf).select("subject", "v"), [2, 3], gamma=1.0)

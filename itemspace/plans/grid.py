@@ -9,6 +9,7 @@ and persisted for the whole grid.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import time
 from collections.abc import Callable, Sequence
@@ -20,7 +21,7 @@ from itemspace.operators import cluster as K
 from itemspace.operators import metrics as M
 from itemspace.operators import reduce as RDX
 from itemspace.operators.vectors import vector_dims
-from itemspace.session import persist
+from itemspace.session import materialize, persist
 
 GRID_COLS = ["dataset", "mode", "norm", "cluster_method", "dimred_method", "n_components"]
 
@@ -32,14 +33,46 @@ def param_grid(spark: SparkSession, options: dict[str, Sequence]) -> DataFrame:
     rows = [dict(zip(keys, combo)) for combo in itertools.product(*[options[k] for k in keys])]
     df = spark.createDataFrame(rows, ", ".join(
         f"{k} {'int' if k == 'n_components' else 'string'}" for k in keys))
-    return df.withColumn("run_id", F.substring(F.sha2(F.to_json(F.struct(*sorted(keys))), 256), 1, 16))
+    return df.withColumn("run_id", F.sha2(F.to_json(F.struct(*sorted(keys))), 256))
+
+
+def reduce_vectors(vec: DataFrame, method: str, n: int, key: str, dims: int) -> DataFrame:
+    """(key, v) with ``n`` dimensions by the named reducer."""
+    if method == "pca":
+        return RDX.pca(vec, n, key, dims=dims)[0]
+    if method == "nmf":
+        return RDX.nmf(vec, n, key)[0].withColumnRenamed("w", "v")
+    if method == "dictionary_learning":
+        return RDX.dictionary_learning(vec, n, key=key)[0].withColumnRenamed("code", "v")
+    if method == "graph_embedding":
+        near = RDX.umap_neighbours(vec.count())
+        graph = RDX.fuzzy_graph(RDX.knn_graph(vec, near - 1, key), near)
+        return RDX.graph_embedding(graph, n).withColumnRenamed("node", key)
+    raise ValueError(f"no reducer is called {method!r}")
+
+
+def cluster_vectors(vec: DataFrame, method: str, ks: Sequence[int], key: str, n_init: int, rounds: int) -> DataFrame:
+    """(key, k, prediction) of every K by the named method."""
+    if method == "kmeans":
+        parts = [K.kmeans_best(vec, ks, n_init, rounds, key)]
+    elif method == "bisectingkmeans":
+        parts = [K.bisecting_kmeans(vec, k, n_init, key=key)[0] for k in ks]
+    elif method in ("spectral", "spectralcosine"):
+        parts = [K.spectral_clustering(vec, ks, key=key, n_init=n_init,
+                                       affinity="cosine" if method.endswith("cosine") else "rbf")]
+    else:
+        raise ValueError(f"no cluster method is called {method!r}")
+    return functools.reduce(DataFrame.unionByName, [p.select(key, "k", "prediction") for p in parts])
 
 
 def run_grid(spark: SparkSession, grid: DataFrame, build_vectors: Callable[[dict], DataFrame],
-             ks: Sequence[int], rounds: int = 5, key: str = "subject") -> tuple[DataFrame, DataFrame, DataFrame]:
+             ks: Sequence[int], rounds: int = 300, key: str = "subject",
+             n_init: int = 10) -> tuple[DataFrame, DataFrame | None, DataFrame]:
     """Run every cell; returns (predictions, run_metrics, status).  A cell
     whose reducer target is not below the input dimension is 'skipped'; an
-    exception marks the cell 'failed' with its reason and the grid goes on."""
+    exception marks the cell 'failed' with its reason and the grid goes on.
+    k-means takes the best of ``n_init`` starts, each until its centres rest or
+    ``rounds`` are over."""
     cells = [r.asDict() for r in grid.orderBy("run_id").collect()]  # the parameter table, not data
     cache: dict[tuple, DataFrame] = {}
     preds, mets, status = [], [], []
@@ -56,37 +89,24 @@ def run_grid(spark: SparkSession, grid: DataFrame, build_vectors: Callable[[dict
             rule = RDX.dimred_rule(nc, dims, method)
             if rule == "skipped":
                 status.append((cell["run_id"], "skipped",
-                               f"no reduction needed ({nc} vs {dims} dims) and method {method} is not pca",
-                               0.0, None))
+                               f"{method} to {nc} of {dims} dimensions would repeat the unreduced cell", 0.0, None))
                 continue
-            if rule == "reduce" and method == "pca":
-                vec, _evr = RDX.pca(vec, nc, key, dims=dims)
-                dims = nc
-            elif rule == "reduce" and method == "nmf":
-                w, _h, _err = RDX.nmf(vec, nc, key)
-                vec = w.withColumnRenamed("w", "v")
-                dims = nc
-            elif rule == "reduce":
-                raise ValueError(f"invalid dimred_method: {method}")
-            a, _ = K.lloyd_sweep(vec, ks, rounds, key, dims=dims)
-            df = a.join(vec, key)
-            st = M.cluster_stats(df, ["k"], dims=dims)
+            if rule == "reduce":
+                vec, dims = materialize(reduce_vectors(vec, method, nc, key, dims)), nc
+            a = materialize(cluster_vectors(vec, cell.get("cluster_method") or "kmeans", ks, key, n_init, rounds))
+            st = M.cluster_stats(a.join(vec, key), ["k"], dims=dims)
+            # spectral clusters have no inertia of their own
+            cost = F.lit(None).cast("double") if "spectral" in (cell.get("cluster_method") or "") else F.sum("sse")
             m = (M.davies_bouldin(st, ["k"]).join(M.calinski_harabasz(st, ["k"]), "k")
-                 .join(M.silhouette(vec, a.select(key, "k", "prediction")), "k")
-                 .join(a.groupBy("k").agg(F.sum("sqdist").alias("inertia")), "k"))
+                 .join(M.silhouette(vec, a), "k").join(st.groupBy("k").agg(cost.alias("inertia")), "k"))
             preds.append(a.select(F.lit(cell["run_id"]).alias("run_id"), "k", key, "prediction"))
             mets.append(m.withColumn("run_id", F.lit(cell["run_id"])).withColumn("df_shape_ndim", F.lit(dims)))
             status.append((cell["run_id"], "ok", None, time.time() - t0, dims))
         except Exception as e:  # noqa: BLE001 - the grid records the failure and goes on
-            status.append((cell["run_id"], "failed", f"{type(e).__name__}: {e}"[:500], time.time() - t0, None))
+            status.append((cell["run_id"], "failed", f"{type(e).__name__}: {e}", time.time() - t0, None))
     for v in cache.values():
         v.unpersist()
     st_df = spark.createDataFrame(status, "run_id string, status string, reason string, seconds double, n_dims int")
     empty_p = spark.createDataFrame([], f"run_id string, k int, {key} long, prediction int")
-    pred = preds[0] if preds else empty_p
-    for p in preds[1:]:
-        pred = pred.unionByName(p)
-    met = mets[0] if mets else None
-    for x in mets[1:]:
-        met = met.unionByName(x)
-    return pred, met, st_df
+    pred = functools.reduce(DataFrame.unionByName, preds) if preds else empty_p
+    return pred, functools.reduce(DataFrame.unionByName, mets) if mets else None, st_df

@@ -3,6 +3,7 @@ pruning, and the streaming scorer fed with the F1 answers."""
 
 from __future__ import annotations
 
+import functools
 import os
 import uuid
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from itemspace.operators import clean as C
 from itemspace.operators import cluster as K
+from itemspace.operators import encode as E
 from itemspace.operators import vectors as V
 from itemspace.plans import flagship
 from itemspace.plans.catalog import query
@@ -29,13 +31,39 @@ def _scratch(spark, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:8]}")
 
 
+def mode_parts(mode: str) -> tuple[str, bool, int | None]:
+    """(source, no_norm, random dims) of a mode name; the operator on a one-row
+    parameter table would be ``functions.text.parse_mode``."""
+    base = mode.removesuffix("_no_norm")
+    if base.startswith("llm_random_"):
+        dims = base.removeprefix("llm_random_")
+        if not dims.isdigit():
+            raise ValueError(f"mode {mode!r} names no number of dimensions")
+        return "random", base != mode, int(dims)
+    if base not in ("feat_raw", "feat_agg", "embed"):
+        raise ValueError(f"no mode is called {mode!r}")
+    return base, base != mode, None
+
+
+# Subscales of the 7-item survey: item numbers.
+_F1_SCALES = ((1, 4, 7), (2, 5), (3, 6))
+
+
 def _build_vectors(spark, sf):
     def build(cell):
-        p = 1 if cell["norm"] == "l1" else 2
-        if cell["mode"] == "feat_raw":
+        source, no_norm, dims = mode_parts(cell["mode"])
+        if source in ("feat_raw", "feat_agg"):
             wide = C.drop_incomplete(fx.survey_wide(spark, sf), fx.Q_COLS)
-            return V.normalize_rows(V.wide_to_vectors(wide, fx.Q_COLS), p)
-        return flagship.subject_embeddings(spark, sf, norm=p)
+            if source == "feat_agg":
+                sums = [sum((F.col(f"q{i}") for i in items), F.lit(0)).alias(f"s{n}") for n, items in enumerate(_F1_SCALES)]
+                wide = wide.select("subject", *sums)
+            vec = V.wide_to_vectors(wide, [c for c in wide.columns if c[0] in "qs" and c[1:].isdigit()])
+        else:
+            items = fx.item_vectors(spark, sf)
+            if source == "random":
+                items = E.encode_random(items, "item_id", dims).withColumnRenamed("v", "e")
+            vec = V.shift_nonnegative(V.embed_subjects(fx.responses(spark, sf), items, n_items=fx.N_ITEMS_F1))
+        return vec if no_norm else V.normalize_rows(vec, 1 if cell["norm"] == "l1" else 2)
     return build
 
 
@@ -72,6 +100,51 @@ def q_run_grid(spark, sf):
             .select("mode", "norm", "dimred_method", "n_components", "status", "n_dims", "n_subjects"))
 
 
+_METHODS = (("kmeans", "feat_agg", "ok"), ("bisectingkmeans", "feat_agg_no_norm", "ok"),
+            ("spectral", "feat_raw", "ok"), ("spectralcosine", "llm_random_16", "ok"),
+            ("no such method", "feat_raw", "failed"), ("kmeans", "llm_random_x", "failed"))
+
+
+@query("run_grid_methods", f"""
+with c as (select * from (values {", ".join(f"('{m}', '{d}', '{s}')" for m, d, s in _METHODS)}) t(cluster_method, mode, status)),
+ns as (select count(*) as n from (select subject from ({fx.RESPONSES_SQL}) group by subject
+                                  having count(answer) = {fx.N_ITEMS_F1}))
+select c.cluster_method, c.mode, c.status, case status when 'ok' then k.k end as k,
+       case status when 'ok' then (select n from ns) end as n_subjects,
+       case status when 'ok' then k.k end as n_labels, status = 'failed' as has_reason,
+       status = 'ok' and cluster_method not like 'spectral%' as has_inertia
+from c join (values (2), (3)) k(k) on c.status = 'ok' or k.k = 2""")
+def q_run_grid_methods(spark, sf):
+    """Every cluster method and several modes; unknown ones fail with a reason."""
+    rows = [("F1", m, "l2", c, "pca", None) for c, m, _ in _METHODS]
+    cells = [param_grid(spark, dict(zip(("dataset", "mode", "norm", "cluster_method", "dimred_method", "n_components"),
+                                        ([x] for x in r)))) for r in rows]
+    grid = functools.reduce(lambda a, b: a.unionByName(b), cells)
+    pred, mets, status = run_grid(spark, grid, _build_vectors(spark, sf), [2, 3])
+    n = pred.groupBy("run_id", "k").agg(F.count_distinct("subject").alias("n_subjects"),
+                                        F.count_distinct("prediction").cast("int").alias("n_labels"))
+    return (grid.join(status, "run_id").join(n, "run_id", "left")
+            .join(mets.select("run_id", "k", "inertia"), ["run_id", "k"], "left")
+            .select("cluster_method", "mode", "status", "k", "n_subjects", "n_labels",
+                    F.col("reason").isNotNull().alias("has_reason"), F.col("inertia").isNotNull().alias("has_inertia")))
+
+
+@query("run_tables_roundtrip", "with " + GRID + """
+select run_id, k, cast(count(*) as bigint) as n, 'ok' as status, null::varchar as reason from pred group by run_id, k
+union all select 'broken', null, null, 'failed', 'no such method'""")
+def q_run_tables_roundtrip(spark, sf):
+    """Run metrics and failures written to their folders and listed again."""
+    path, failed = _scratch(spark, "metrics"), _scratch(spark, "failures")
+    m = grid_predictions(spark, sf).groupBy("run_id", "k").agg(F.count("*").alias("n"))
+    SK.write_run_metrics(m.withColumn("dataset", F.lit("F3")), path)
+    SK.write_failures(spark.createDataFrame([("broken", "no such method")], "run_id string, reason string"), failed)
+    ok = RD.list_runs(spark, path).select("run_id", "k", "n", F.lit("ok").alias("status"),
+                                          F.lit(None).cast("string").alias("reason"))
+    bad = spark.read.parquet(failed).select("run_id", F.lit(None).cast("int").alias("k"),
+                                            F.lit(None).cast("long").alias("n"), F.lit("failed").alias("status"), "reason")
+    return ok.unionByName(bad)
+
+
 @query("predictions_roundtrip", "with " + GRID + " select run_id, k, subject, prediction from pred "
        "where run_id = 'kmeans_l2'")
 def q_predictions_roundtrip(spark, sf):

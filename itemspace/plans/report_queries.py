@@ -204,13 +204,15 @@ def q_run_label(spark, sf):
 
 
 @query("check_unique_runs", CMP + """
-select * from (select 'duplicate_pair' as rule, run_a, run_b, count(*) as n from
-  (select distinct run_a, run_b from cmp_scores) group by run_a, run_b having count(*) > 1
-  union all select 'self_pair', run_a, run_b, count(*) from (select distinct run_a, run_b from cmp_scores)
-  where run_a = run_b group by run_a, run_b)""")
+select 'duplicate_pair' as rule, run_a, run_b, count(*) as n from cmp_scores group by run_a, run_b having count(*) > 1
+union all select 'self_pair', run_a, run_a, count(distinct k) from cmp_scores group by run_a""")
 def q_check_unique_runs(spark, sf):
-    pairs = CP.score_margin(CP.pairwise_scores(grid_predictions(spark, sf))).select("run_a", "run_b")
-    return RP.check_unique_runs(pairs)
+    """The raw per-K score rows (a pair stands once per K, so each is found) and
+    every run paired with itself once per K."""
+    pairs = CP.pairwise_scores(grid_predictions(spark, sf)).select("run_a", "run_b", "k")
+    own = pairs.select("run_a", F.col("run_a").alias("run_b"), "k").distinct()
+    found = RP.check_unique_runs(pairs.unionByName(own).drop("k"))
+    return found.where((F.col("rule") == "self_pair") | (F.col("run_a") != F.col("run_b")))
 
 
 @query("exclude_runs", CMP + """
@@ -250,6 +252,6 @@ def q_attach_run_params(spark, sf):
     a = runs.select(F.col("run_id").alias("run_a"), F.col("norm").alias("normA"),
                     F.col("cluster_method").alias("cluster_methodA"))
     b = runs.select(F.col("run_id").alias("run_b"), F.col("norm").alias("normB"))
-    return (m.join(F.broadcast(a), "run_a").join(F.broadcast(b), "run_b", "left")
+    return (m.join(a, "run_a").join(b, "run_b", "left")
             .select("run_a", "run_b", "normA", "normB", "cluster_methodA",
                     F.round("perf_f1_mean", 6).alias("perf_f1_mean")))

@@ -231,14 +231,14 @@ def q_sample_n(spark, sf):
 
 
 @query("align_items", f"""
-select subject, printf('B%02d', item_id) as item_code, answer
+select subject, printf('item%02d', item_id) as item_code, answer
 from ({fx.DENSE_RESPONSES_SQL}) where item_id in (select item_id from ({fx.SUBSCALE_MAP_SQL}))
   and item_id not in (25)""")
 def q_align_items(spark, sf):
     r = C.align_to_items(fx.dense_responses(spark, sf), fx.subscale_map(spark, sf))
     r = C.drop_items(r, [25])
     r = r.select("subject", F.format_string("B%02d", "item_id").alias("item_code"), "answer")
-    return C.rename_items(r, "^B", "B")
+    return C.rename_items(r, "^B", "item")
 
 
 # ---------------------------------------------------------------- scoring

@@ -203,3 +203,57 @@ def q_encode_sentences(spark, sf):
     """The pluggable encoder hook over the distinct codebook sentences."""
     enc = E.encode_sentences(_items(spark, sf), "item_id", "sentence", shape_encoder, 3)
     return V.to_long(enc, key="item_id")
+
+
+@query("codebook_table", """
+with r as (select item_id, 0 as row_no, 'Q' || item_id as code, text from benchmark)
+select item_id, 1 as row_no, code, """ + clean_sql("split_part(text, chr(10), 1)") + """ as sentence from r
+union all select item_id, 2, code || 'b', null from r
+union all select item_id, 3, code || 'c', null from r""")
+def q_codebook_table(spark, sf):
+    """Table codebooks made of the items: a heading, a row with a quoted sentence,
+    a row without quotes and a short row."""
+    line = F.substring_index("text", "\n", 1)
+    html = F.concat(
+        F.lit("<table><tr><th>id</th></tr><tr><td>Q"), F.col("item_id"), F.lit('</td><td>x</td><td>say "'), line,
+        F.lit('" please</td></tr><tr><td>Q'), F.col("item_id"), F.lit("b</td><td>x</td><td>unquoted</td></tr><tr><td>Q"),
+        F.col("item_id"), F.lit("c</td></tr></table>"))
+    return RD.codebook_html(fx.table(spark, sf, "benchmark").select("item_id", html.alias("html")), "item_id", "html")
+
+
+@query("parse_pipe_table", """
+select item_id, 1 as rec, 'Q' || item_id as code, """ + clean_sql("split_part(text, chr(10), 1) || ' more'") + """ as sentence,
+       'yesno' as values
+from benchmark
+union all select item_id, 2, 'R' || item_id, 'only a question', '' from benchmark""")
+def q_parse_pipe_table(spark, sf):
+    """Grid tables made of the items: a record over two lines, a record with a
+    missing cell, and an open tail that is dropped."""
+    line = F.substring_index("text", "\n", 1)
+    text = F.concat(F.lit("-----\n|Q"), F.col("item_id"), F.lit("|"), line, F.lit(" |yes|\n| |more|no|\n-----\n|R"),
+                    F.col("item_id"), F.lit("|only a question|\n-----\n|tail|open|x|"))
+    return RD.parse_pipe_table(fx.table(spark, sf, "benchmark").select("item_id", text.alias("text")), "item_id", "text")
+
+
+@query("split_numbered_blocks", """
+select item_id, n as item, case n when 1 then """ + clean_sql("regexp_replace(text, '[0-9]', '', 'g')") + """ else 'the end' end as sentence
+from benchmark, (values (1), (22)) t(n)""")
+def q_split_numbered_blocks(spark, sf):
+    text = F.concat(F.lit("preface\n1\n"), F.col("text"), F.lit("\n 22 \nthe 3 end".replace("3 ", "")))
+    return RD.split_numbered_blocks(fx.table(spark, sf, "benchmark").select("item_id", text.alias("text")), "item_id", "text")
+
+
+@query("parse_mode", """
+select distinct event_type, starts_with(m, 'llm_') as embedding, ends_with(m, '_no_norm') as no_norm,
+       try_cast(regexp_extract(m, '^llm_random_([0-9]+)(_no_norm)?$', 1) as integer) as dims
+from (select event_type, unnest(['feat_raw', 'feat_agg_no_norm', 'llm_random_768', 'llm_random_8_no_norm',
+                                 'llm_random_x', 'llm_' || event_type]) as m from events)""")
+def q_parse_mode(spark, sf):
+    """Mode names made with the event types."""
+    from itemspace.functions.text import parse_mode
+    modes = F.array(*[F.lit(x) for x in ("feat_raw", "feat_agg_no_norm", "llm_random_768", "llm_random_8_no_norm",
+                                         "llm_random_x")], F.concat(F.lit("llm_"), F.col("event_type")))
+    named = fx.table(spark, sf, "events").select("event_type").distinct().select("event_type", F.explode(modes).alias("m"))
+    source, no_norm, dims = parse_mode("m")
+    return named.select("event_type", (source == "embedding").alias("embedding"), no_norm.alias("no_norm"),
+                        dims.alias("dims")).distinct()
