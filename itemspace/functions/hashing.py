@@ -27,9 +27,3 @@ def det_uint32(seed, *keys) -> Column:
 def det_unit(seed, *keys) -> Column:
     """Deterministic uniform double in [0, 1)."""
     return det_uint32(seed, *keys) / F.lit(4294967296.0)
-
-
-def sql_uint32(seed, *exprs: str) -> str:
-    """DuckDB text of det_uint32 for the oracle."""
-    inner = ", ".join([f"'{seed}'"] + [f"cast({e} as varchar)" for e in exprs])
-    return f"cast('0x' || substr(md5(concat_ws(':', {inner})), 1, 8) as bigint)"

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,15 +25,6 @@ def array_norm(a, p: int = 2) -> Column:
     return F.sqrt(F.aggregate(_c(a), F.lit(0.0), lambda acc, x: acc + x * x))
 
 
-def array_scale(a, s) -> Column:
-    s = s if isinstance(s, Column) else F.lit(s)
-    return F.transform(_c(a), lambda x: x * s)
-
-
-def vec_lit(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
-
-
 def elementwise_agg(col, dims: int, fn=F.sum) -> Column:
     """One aggregate per position, returned as an array column.  Each is a
     plain aggregate with map-side partial aggregation, so a hot group costs

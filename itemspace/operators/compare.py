@@ -313,6 +313,42 @@ def subject_diff(a: DataFrame, b: DataFrame, key: str = "subject") -> DataFrame:
     return agg.withColumn("diff_pct", F.col("n_diff") / F.floor((F.col("n_a") + F.col("n_b")) / 2) * 100)
 
 
+def check_comparable(predictions: DataFrame) -> DataFrame:
+    """For every pair of runs (run_a < run_b): same_k (both hold the same K), same_n
+    (equally many subjects), identical (every label equal) and n_diff, the subjects
+    that only one of them has, with diff_pct, their share of the mean size.
+
+    Each run is summed up in one row (K list, counts, an order-free digest), and
+    common subjects are counted by a join on the subject."""
+    runs = predictions.groupBy("run_id").agg(
+        F.sort_array(F.collect_set("k")).alias("ks"), F.count_distinct("subject").alias("n"),
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(F.xxhash64("subject", "k", "prediction").cast("decimal(38,0)")).alias("digest"))
+    a = runs.select(*[F.col(c).alias(f"{c}_a") for c in runs.columns]).withColumnRenamed("run_id_a", "run_a")
+    b = runs.select(*[F.col(c).alias(f"{c}_b") for c in runs.columns]).withColumnRenamed("run_id_b", "run_b")
+    who = predictions.select("run_id", "subject").distinct()
+    common = (who.withColumnRenamed("run_id", "run_a").join(who.withColumnRenamed("run_id", "run_b"), "subject")
+              .where("run_a < run_b").groupBy("run_a", "run_b").agg(F.count(F.lit(1)).alias("common")))
+    n_diff = F.col("n_a") + F.col("n_b") - 2 * F.coalesce("common", F.lit(0))
+    return (a.join(b, F.col("run_a") < F.col("run_b")).join(common, ["run_a", "run_b"], "left")
+            .select("run_a", "run_b", (F.col("ks_a") == F.col("ks_b")).alias("same_k"),
+                    (F.col("n_a") == F.col("n_b")).alias("same_n"),
+                    ((F.col("rows_a") == F.col("rows_b")) & (F.col("digest_a") == F.col("digest_b"))).alias("identical"),
+                    n_diff.alias("n_diff"),
+                    (n_diff / F.floor((F.col("n_a") + F.col("n_b")) / 2) * 100).alias("diff_pct")))
+
+
+def common_subjects(a: DataFrame, b: DataFrame, strict: bool = True, key: str = "subject") -> tuple[DataFrame, DataFrame]:
+    """Both predictions over their common subjects.  In strict mode differing
+    subjects are an error that names their number."""
+    if strict:
+        d = subject_diff(a, b, key).first()
+        if d["n_diff"]:
+            raise ValueError(f"{d['n_diff']} subjects are in one run only ({d['diff_pct']:.1f} % of the mean size)")
+        return a, b
+    return (a.join(b.select(key).distinct(), key, "left_semi"), b.join(a.select(key).distinct(), key, "left_semi"))
+
+
 def predictions_wide(predictions: DataFrame, ks: Sequence[int]) -> DataFrame:
     """One column per K ('pred_k<k>') per (run, subject), joined by subject."""
     w = predictions.groupBy("run_id", "subject").pivot("k", list(ks)).agg(F.first("prediction"))

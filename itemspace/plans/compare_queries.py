@@ -223,3 +223,44 @@ def q_subject_diff(spark, sf):
     b = C.filter_between(fx.subject_side(spark, sf), "age", 18, 80)
     d = CP.subject_diff(a, b)
     return d.select("n_a", "n_b", "n_common", "n_diff", F.round("diff_pct", 6).alias("diff_pct"))
+
+
+_VARIED = GRID + """,
+varied as (select run_id, k, subject, prediction from pred
+  union all select 'without_k4', k, subject, prediction from pred where run_id = 'kmeans_l2' and k < 4
+  union all select 'one_cluster', k, subject, prediction from pred where run_id = 'kmeans_l2'
+    and subject in (select subject from pred where run_id = 'kmeans_l2' and k = 2 and prediction = 0)
+  union all select 'copy', k, subject, prediction from pred where run_id = 'kmeans_l2')"""
+
+
+def varied_predictions(spark, sf):
+    """The grid's runs, and variants of one that differ in K, in subjects, or not at all."""
+    pred = grid_predictions(spark, sf).select("run_id", "k", "subject", "prediction")
+    base = pred.where(F.col("run_id") == "kmeans_l2")
+    inside = base.where("k = 2 and prediction = 0").select("subject")
+    parts = [("without_k4", base.where("k < 4")), ("one_cluster", base.join(inside, "subject", "left_semi")), ("copy", base)]
+    for name, part in parts:
+        pred = pred.unionByName(part.withColumn("run_id", F.lit(name)))
+    return pred
+
+
+@query("check_comparable", "with " + _VARIED + """,
+r as (select run_id, list_sort(list(distinct k)) as ks, count(distinct subject) as n from varied group by run_id),
+p as (select a.run_id as run_a, b.run_id as run_b, a.ks = b.ks as same_k, a.n as na, b.n as nb
+      from r a join r b on a.run_id < b.run_id),
+s as (select distinct run_id, subject from varied),
+c as (select a.run_id as run_a, b.run_id as run_b, count(*) as common from s a join s b using (subject)
+      where a.run_id < b.run_id group by a.run_id, b.run_id),
+d as (select a.run_id as run_a, b.run_id as run_b, count(*) as same from varied a join varied b
+      on a.subject = b.subject and a.k = b.k and a.prediction = b.prediction and a.run_id < b.run_id
+      group by a.run_id, b.run_id),
+z as (select run_id, count(*) as m from varied group by run_id)
+select p.run_a, p.run_b, same_k, na = nb as same_n,
+       coalesce(d.same, 0) = za.m and za.m = zb.m as identical,
+       na + nb - 2 * coalesce(common, 0) as n_diff,
+       round((na + nb - 2 * coalesce(common, 0)) / floor((na + nb) / 2) * 100, 6) as diff_pct
+from p left join c using (run_a, run_b) left join d using (run_a, run_b)
+join z za on za.run_id = p.run_a join z zb on zb.run_id = p.run_b""")
+def q_check_comparable(spark, sf):
+    out = CP.check_comparable(varied_predictions(spark, sf))
+    return out.withColumn("diff_pct", F.round("diff_pct", 6))

@@ -342,3 +342,21 @@ def q_select_items_by_name(spark, sf):
     wide = fx.survey_wide(spark, sf)
     items = C.select_items_by_name(wide, prefix="q")
     return C.wide_to_long(wide.select("subject", *items), items)
+
+
+@query("cast_answers", f"""
+select subject, {", ".join(f"cast({q} as double) / 4 as {q}" for q in fx.Q_COLS)} from ({fx.SURVEY_WIDE_SQL})""")
+def q_cast_answers(spark, sf):
+    """Answers as doubles, so that they divide exactly."""
+    wide = C.cast_answers(fx.survey_wide(spark, sf).select("subject", *fx.Q_COLS), fx.Q_COLS)
+    return wide.select("subject", *[(F.col(q) / 4).alias(q) for q in fx.Q_COLS])
+
+
+@query("k_range", f"""
+select item_id, k, count(*) as n from ({fx.DENSE_RESPONSES_SQL}), (select unnest(range(2, 6)) as k)
+where answer <= k group by item_id, k""")
+def q_k_range(spark, sf):
+    """Answers up to each K of the range '2-5', per item."""
+    ks = F.explode(F.array(*[F.lit(k).cast("long") for k in C.k_range("2-5")]))
+    return (fx.dense_responses(spark, sf).withColumn("k", ks).where("answer <= k")
+            .groupBy("item_id", "k").agg(F.count(F.lit(1)).alias("n")))

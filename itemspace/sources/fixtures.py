@@ -154,11 +154,6 @@ def partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
 
 
-# F8: dense per-user event features.
-def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("user_id", "event_type", "value", "ts")
-
-
 # F1 with a per-item time column (seconds = summed extended price), for the
 # total-time rule; and the wide survey table with the F1b side columns.
 def responses_timed(spark: SparkSession, sf_dir: str) -> DataFrame:
