@@ -48,7 +48,7 @@ def wide_to_long(wide: DataFrame, item_cols: Sequence[str], key: str = "subject"
 
 
 def align_to_items(responses: DataFrame, items: DataFrame, key: str = "item_id") -> DataFrame:
-    """Keep only answers to items of the codebook (broadcast semi join)."""
+    """Keep only answers to items of the codebook (semi join)."""
     return responses.join(items.select(key).distinct(), key, "left_semi")
 
 

@@ -3,7 +3,7 @@ assignment, inertia, MLlib k-means with restarts, biggest-inertia bisecting.
 
 Only k x d centres ever reach the driver.  A Lloyd round is one pass over
 the (cached) vectors for *all* K of a sweep: each row is repeated once per K
-(a bounded factor, the length of the K list), joined by K to a broadcast row
+(a bounded factor, the length of the K list), joined by K to the row
 holding that K's centres, and reduced with per-dimension sums under
 partial aggregation.
 """
@@ -48,7 +48,7 @@ def _centres_frame(spark: SparkSession, centres: Centres) -> DataFrame:
 def assign_clusters(vectors: DataFrame, centres: Centres, col: str = "v", group: str | None = None) -> DataFrame:
     """Nearest centre for every (row, configuration): adds k, prediction,
     sqdist.  Each row is repeated once per configuration of its group and
-    joined by (group, k) to the broadcast centres."""
+    joined by (group, k) to the centres."""
     spark = vectors.sparkSession
     cf = _centres_frame(spark, centres)
     ks = sorted({k for _, k in _norm_keys(centres)})
@@ -193,7 +193,8 @@ def kmeans_restarts(vectors: DataFrame, k: int, n_init: int = 10, seed: int = 42
         if best is None or cost < best[1]:
             best = (model, cost)
     model, cost = best
-    pred = model.transform(data).select(key, F.lit(k).alias("k"), F.col("prediction").cast("int"))
+    pred = materialize(model.transform(data).select(key, F.lit(k).alias("k"), F.col("prediction").cast("int")))
+    data.unpersist()
     return pred, float(cost)
 
 
@@ -213,7 +214,7 @@ def bisecting_kmeans(vectors: DataFrame, k: int, n_init: int = 10, seed: int = 4
         part = data.where(F.col("leaf") == target).select(key, col)
         if part.count() < 2:
             break
-        _a, c, _cost = kmeans_multi_start(part, 2, n_init, rounds, key, col, seed, dims, checkpoint=False)
+        _a, c, _cost = kmeans_multi_start(part, 2, n_init, rounds, key, col, seed, dims)
         cf = _centres_frame(data.sparkSession, {2: c}).drop("_g")
         split = (data.withColumn("k", F.lit(2)).join(cf, "k")
                  .withColumn("_id", nearest(col, "centres")["id"])
@@ -243,7 +244,7 @@ def spectral_clustering(vectors: DataFrame, ks: Sequence[int], gamma: float = 1.
                         key: str = "subject", col: str = "v", n_init: int = 10, rounds: int = 10,
                         seed: int = 42, affinity: str = "rbf") -> DataFrame:
     """Spectral clustering (RBF, or ``affinity='cosine'``: cosines, negative ones
-    as 0) with a Nystrom approximation: m md5-ranked landmarks (broadcast, m x d), row-parallel affinities to them
+    as 0) with a Nystrom approximation: m md5-ranked landmarks (m x d), row-parallel affinities to them
     (n x m, never n x n), degree-normalised rows F = C / sqrt(deg), top
     eigenvectors of the m x m Gram F^T F (aggregated per task in NumPy,
     eigen-decomposed on the driver), row-normalised spectral coordinates,

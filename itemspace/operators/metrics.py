@@ -1,9 +1,9 @@
 """Intrinsic clustering metrics as aggregates over (group..., label, vector).
 
 ``group`` columns (e.g. run_id, k) let one job score every K of a sweep and
-every run of a grid.  Cluster statistics are K-sized and joined back with a
-size-checked broadcast; the exact silhouette is a blocked all-pairs
-computation that aggregates inside each block and never emits pairs.
+every run of a grid.  Cluster statistics are K-sized and joined back; the exact
+silhouette is a blocked all-pairs computation that aggregates inside each block: it
+emits a row per (row, label, K) and block pair, never one per pair of rows.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ def cluster_stats(df: DataFrame, group: Sequence[str] = (), label: str = "predic
     Euclidean distance to the centroid."""
     g = list(group)
     dims = dims or vector_dims(df, col)
-    # groups x K rows: materialised once, then counted, broadcast and reused
+    # groups x K rows: materialised once and reused
     cent = materialize(df.groupBy(*g, label).agg(
         F.count("*").alias("size"),
         F.array(*[F.avg(F.col(col)[i]) for i in range(dims)]).alias("centroid")))
@@ -118,10 +118,11 @@ def silhouette(vectors: DataFrame, labels: DataFrame, key: str = "subject", col:
     one task, where NumPy computes the |Bi| x |Bj| distances and reduces them
     at once to per-(row, cluster) sums for every K.  Each row is shipped 2B
     times, B = n/block_rows, so the cost is the unavoidable n^2 d of the
-    exact metric spread over B^2 tasks; nothing pair-sized is ever emitted.
+    exact metric spread over B^2 tasks, and n B rows per label and K are shuffled:
+    for large n take ``silhouette_sq``, which is linear.
     ``group`` (an integer column of both inputs, e.g. the run) keeps
-    independent vector sets apart.  0 for clusters of one row.  Every group
-    must carry labels for every K.
+    independent vector sets apart.  0 for clusters of one row.  A row without a
+    label for every K is an error.
     """
     spark = vectors.sparkSession
     ship_package(spark)
@@ -132,6 +133,8 @@ def silhouette(vectors: DataFrame, labels: DataFrame, key: str = "subject", col:
     lab = (labels.withColumn("_ki", kidx)
            .groupBy(key, *gk).agg(F.sort_array(F.collect_list(F.struct("_ki", label))).alias("_l"))
            .select(key, *gk, F.transform("_l", lambda s: s[label]).alias("labels")))
+    if not lab.where(F.size("labels") != nk).isEmpty():
+        raise ValueError(f"some rows do not have one label for each of the {nk} K")
     data = vectors.select(key, *gk, col).join(lab, [key, *gk])
     n = data.count()
     nb = max(1, math.ceil(n / block_rows))

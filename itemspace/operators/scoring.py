@@ -1,8 +1,8 @@
 """Subscale scoring, totals, reverse keying and small global transforms.
 
-Scoring maps (item -> scale, scale -> factor) are codebook-sized and are
-broadcast behind a row-count check; per-subject sums are ordinary
-aggregates with partial aggregation before the shuffle.
+Scoring maps (item -> scale, scale -> factor) are codebook-sized and joined;
+per-subject sums are ordinary aggregates with partial aggregation before the
+shuffle.
 """
 
 from __future__ import annotations

@@ -1,5 +1,5 @@
-"""Every registered query runs on sf0.001 with a stable schema, and a
-sample of oracle queries matches DuckDB there."""
+"""The flagship runs on sf0.001 with a stable schema, and a sample of oracle
+queries matches DuckDB there (tools/oracle_check.py runs them all)."""
 
 import math
 
