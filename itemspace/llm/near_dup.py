@@ -308,6 +308,15 @@ def links_apart(members: DataFrame, nodes: DataFrame, sets: DataFrame, least: in
         lean(lambda it: _links_apart(it, least, hundredths)), "a binary, b binary").distinct()
 
 
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of the labelled nodes and further links.  A component known
+    already is a star around its label, so only the new links take rounds."""
+    if links.isEmpty():
+        return labels
+    star = labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+    return components(star.unionAll(links))
+
+
 def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """_id, _text_hash, class_id (least id of the class) and first (this row's
@@ -341,19 +350,16 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, id_col: str =
 
     # A few bands join most of a group; in the others only a member that is not
     # yet in its leader's component is compared.
-    links = linked(buckets.where(F.col("band") < FIRST_BANDS))
-    labels = components(links)
+    labels = components(linked(buckets.where(F.col("band") < FIRST_BANDS)))
     of_leader = labels.select(F.col("node").alias("leader"), F.col("label").alias("leader_label"))
     others = (buckets.where(F.col("band") >= FIRST_BANDS).join(labels, "node", "left").join(of_leader, "leader", "left")
               .where(~F.coalesce(F.col("label") == F.col("leader_label"), F.lit(False))))
-    links = links.unionAll(linked(others))
-    labels = components(links)
+    labels = joined(labels, linked(others))
     # A leader has met all of its bucket; the others may still hold unseen links.
     rest = (buckets.where("node <> leader").join(labels, "node", "left")
             .select("key", "band", "node", F.coalesce("label", "node").alias("label")))
     more = stored(links_apart(rest, sketch, sets, LEAST_AGREEMENT, similarity), "links")
-    if not more.isEmpty():
-        labels = components(links.unionAll(more))
+    labels = joined(labels, more)
     members = (seen.join(labels, "node", "left")
                .select("_id", "_text_hash", F.coalesce("label", "node").alias("label")))
     worded = members.where("label is not null")
