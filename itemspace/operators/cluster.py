@@ -94,9 +94,9 @@ def _update(assigned: DataFrame, centres: Centres, col: str, group: str | None)
     return new  # an empty cluster keeps its centre
 
 
-def _moved(before: Centres, after: Centres) -> float:
-    """The furthest that any centre has moved."""
-    return max(math.dist(a, b) for key in after for a, b in zip(before[key], after[key]))
+def _moved(before: list[list[float]], after: list[list[float]]) -> float:
+    """The furthest that any centre of a configuration has moved."""
+    return max(math.dist(a, b) for a, b in zip(before, after))
 
 
 def lloyd_sweep(vectors: DataFrame, ks: Sequence[int], rounds: int = 5, key: str = "subject",
@@ -104,8 +104,8 @@ def lloyd_sweep(vectors: DataFrame, ks: Sequence[int], rounds: int = 5, key: str
                 dims: int | None = None, checkpoint: bool = True,
                 group: str | None = None, tol: float | None = None) -> tuple[DataFrame, Centres]:
     """Deterministic k-means for every K in ``ks``: md5-ranked initial
-    centres, ``rounds`` Lloyd updates, then the final assignment.  With ``tol`` the
-    rounds end once no centre moves further than that.
+    centres, ``rounds`` Lloyd updates, then the final assignment.  With ``tol`` a
+    configuration rests once none of its centres moves further than that.
 
     ``group`` runs independent sweeps for each value of an integer column in
     the same passes (e.g. several preprocessings of one survey); ``init`` may
@@ -119,10 +119,13 @@ def lloyd_sweep(vectors: DataFrame, ks: Sequence[int], rounds: int = 5, key: str
     cols = [key, col] + ([group] if group else [])
     base = persist(vectors.select(*cols))
     centres = _norm_keys(init) if init else initial_centres(base, ks, key, col, seed, group)
+    moving = centres
     for _ in range(rounds):
-        before = centres
-        centres = _update(assign_clusters(base, centres, col, group), centres, col, group)
-        if tol is not None and _moved(before, centres) <= tol:
+        now = _update(assign_clusters(base, moving, col, group), moving, col, group)
+        centres = {**centres, **now}
+        # configurations at rest take no further part
+        moving = {c: now[c] for c in now if tol is None or _moved(moving[c], now[c]) > tol}
+        if not moving:
             break
     final = assign_clusters(base, centres, col, group).select(
         key, *([group] if group else []), "k", "prediction", "sqdist")
@@ -150,7 +153,7 @@ def kmeans_multi_start(vectors: DataFrame, k: int, n_init: int = 10, rounds: int
 
 
 def kmeans_best(vectors: DataFrame, ks: Sequence[int], n_init: int = 10, rounds: int = 300, key: str = "subject",
-                col: str = "v", seed: int = 42, tol: float = 1e-4) -> DataFrame:
+                col: str = "v", seed: int = 42, tol: float = 1e-3) -> DataFrame:
     """(key, k, prediction, sqdist): for every K the best of ``n_init`` starts, each
     until its centres rest.  All K and starts share the same Lloyd passes."""
     wide = max(ks) + 1
