@@ -37,6 +37,7 @@ ALPHA = 0.4
 MIN_COUNT = 2
 HOT_BITS = 16
 HOT = (1 << HOT_BITS) - 1     # most frequent words kept; the rank HOT means "no word before"
+BATCH_BYTES = 16 << 20        # a larger batch names a word less often
 CHUNK = 2 << 20               # occurrences scored at once
 
 RARE = np.dtype([("word", "<u8"), ("doc", "<u2")])
@@ -237,7 +238,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """doc_id, n_words, n_backoff, log_score (sum of natural logs) and
     word_score (per word; null without words)."""
     spark = docs.sparkSession
-    prepare(spark)
+    prepare(spark, BATCH_BYTES)
     source = narrow(docs, id_col, text_col)
     hot = spark.sparkContext.broadcast(frequent_words(source))
     numbered = source.withColumn("n", F.monotonically_increasing_id())

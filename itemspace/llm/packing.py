@@ -26,14 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itemspace.llm.runtime import narrow, prepare, stored
+from itemspace.llm.runtime import lean, narrow, prepare, stored
 
 SEQUENCE = 2048
 CLOSING_ID = 0
 SHARD_PIECES = 16_384
 OPEN_BINS = 8192
+BATCH_BYTES = 4 << 20     # beside the remembered parts, a worker holds little
 NEARLY_FULL = 32         # a bin with at most 1/32 of its space free stays closed
-CACHE_PIECES = 1_000_000   # remembered text pieces of a worker
+CACHE_PIECES = 250_000   # remembered text pieces of a worker
 
 _TOKENIZERS: dict[str, "Tokens"] = {}
 # A space inside a run of white space, where cutting at spaces would differ from
@@ -95,7 +96,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, ranks: str | None = None,
                      id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids) of every piece.
     ``ranks`` and ``pattern``: the same vocabulary for a faster encoder."""
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, BATCH_BYTES)
     closing = np.asarray([closing_id], dtype="<u4").tobytes()
 
     def run(batches):
@@ -122,7 +123,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, ranks: str | None = None,
 
     source = narrow(docs, id_col, text_col)
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
+    return source.mapInArrow(lean(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
                              + (", ids array<int>" if with_ids else ""))
 
 

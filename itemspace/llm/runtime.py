@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from itemspace.session import checkpoint_dir, ship_package
 
-ARROW_BATCH_BYTES = 16 << 20
+ARROW_BATCH_BYTES = 4 << 20
 
 
 def prepare(spark: SparkSession, batch_bytes: int = ARROW_BATCH_BYTES) -> None:
