@@ -7,8 +7,10 @@ arrives first, and a shingle stops once its next arrival is later than every
 slot's.  Two sketches agree in a slot with the probability Jaccard similarity.
 
 Texts with the same words are one node.  Bands of four slots give buckets.  In a
-bucket every node is compared with one leader (another one in each bucket), by
-sketch and then exactly: the Jaccard similarity of the shingle sets, 0.8 or more.
+bucket every node is compared with one leader (another one in each bucket): the
+Jaccard similarity of the shingle sets, 0.8 or more.  Sketches only deal the
+buckets; how far they agree decides nothing, as they weigh counts and the link does
+not.  Only pairs whose set sizes rule the similarity out are passed over unread.
 Members known to be of their leader's class by an earlier band are passed over.
 What these links leave apart is compared block by block inside each bucket; only the
 links that join components leave a task.  Classes are the connected components;
@@ -31,6 +33,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from itemspace.llm.decontam import ranges
 from itemspace.llm.graph import components
 from itemspace.llm.runtime import lean, prepare, stored
 from itemspace.llm.words import Words, counter, mix, words
@@ -38,8 +41,6 @@ from itemspace.llm.words import Words, counter, mix, words
 SHINGLE = 5
 SIMILARITY = 80          # hundredths
 SLOTS, BAND = 96, 4
-# Sketches of a similar pair agree in fewer slots with probability below 1e-4.
-LEAST_AGREEMENT = 60
 BATCH_BYTES = 4 << 20    # sketches take many times a batch's memory
 FIRST_BANDS = 3          # bands whose links are verified before the others are looked at
 BLOCK = 512              # members of one bucket compared in one piece
@@ -127,8 +128,8 @@ def _binary(matrix: np.ndarray, valid: np.ndarray | None = None) -> pa.Array:
 
 
 def sketched(source: DataFrame) -> DataFrame:
-    """_id, _text_hash, node, bands and sketch of every text (node: null if
-    it has no words)."""
+    """_id, _text_hash, node, size (distinct shingles), bands and sketch of every
+    text (node: null if it has no words)."""
     kind = source.schema["_id"].dataType.simpleString()
     n_bands = SLOTS // BAND
     factors = counter(SLOTS, 5)
@@ -144,13 +145,14 @@ def sketched(source: DataFrame) -> DataFrame:
                 has = w.counts > 0
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("_id").slice(w.first, n), batch.column("_text_hash").slice(w.first, n),
-                     _binary(digests(w), has),
+                     _binary(digests(w), has), pa.array(np.bincount(row, minlength=n).astype(np.int32)),
                      pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * n_bands),
                                               pa.array(bands.ravel().view(np.int64))),
                      _binary(sketch.astype(np.uint32))],
-                    names=["_id", "_text_hash", "node", "bands", "sketch"])
+                    names=["_id", "_text_hash", "node", "size", "bands", "sketch"])
 
-    return source.mapInArrow(lean(run), f"_id {kind}, _text_hash long, node binary, bands array<long>, sketch binary")
+    return source.mapInArrow(lean(run), f"_id {kind}, _text_hash long, node binary, size int, bands array<long>, "
+                                        "sketch binary")
 
 
 def shingle_sets(source: DataFrame) -> DataFrame:
@@ -172,18 +174,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, SLOTS)
 
 
-def agreeing(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
-    """Pairs (a, b) whose sketches agree in ``least`` slots or more."""
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                same = (_matrix(batch.column("sa")) == _matrix(batch.column("sb"))).sum(axis=1) >= least
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(c).filter(pa.array(same)) for c in ("a", "b")], names=["a", "b"])
-
-    return (pairs.join(nodes.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a")
-            .join(nodes.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
-            .mapInArrow(lean(run), "a binary, b binary"))
+def sizes_allow(a: Column, b: Column, hundredths: int) -> Column:
+    """Sets of these sizes can be that similar."""
+    return F.least(a, b) * 100 >= F.greatest(a, b) * hundredths
 
 
 def similar(a: Column, b: Column, hundredths: int) -> Column:
@@ -218,32 +211,34 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.nd
         yield held, bounds(held)
 
 
-def _agreeing_apart(t: pa.Table, bounds: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(x, ys): rows of one piece with different labels whose sketches agree,
-    and whose first common band is this bucket's, so that a pair is met once."""
+def _pairs_apart(t: pa.Table, bounds: np.ndarray, least: int, hundredths: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(x, ys): rows of one piece with different labels and
+    sizes that allow a link, whose sketches agree in ``least`` slots and whose first
+    common band is this bucket's, so that a pair is met once."""
     sketch = _matrix(t.column("sketch"))
     label = t.column("label").chunk(0).dictionary_encode().indices.to_numpy()
-    side, band = t.column("side").to_numpy(), t.column("band").to_numpy()
+    side, band, size = (t.column(c).to_numpy() for c in ("side", "band", "size"))
+    size = size.astype(np.int64)
     for lo, hi in zip(bounds[:-1], bounds[1:]):
         across = side[lo] != side[hi - 1]             # two blocks: only pairs between them
         for x in range(lo, hi - 1):
-            other = x + 1 + np.flatnonzero(label[x + 1:hi] != label[x])
+            rest = slice(x + 1, hi)
+            fit = ((label[rest] != label[x])
+                   & (np.minimum(size[rest], size[x]) * 100 >= np.maximum(size[rest], size[x]) * hundredths))
             if across:
-                other = other[side[other] != side[x]]
-            if not len(other):
-                continue
-            same = sketch[other] == sketch[x]
-            enough = same.sum(axis=1) >= least
-            if enough.any():
-                first = same[enough].reshape(-1, SLOTS // BAND, BAND).all(axis=2).argmax(axis=1)
-                yield x, other[enough][first == band[x]]
+                fit &= side[rest] != side[x]
+            other = x + 1 + np.flatnonzero(fit)
+            if len(other):
+                same = sketch[other] == sketch[x]
+                first = same.reshape(-1, SLOTS // BAND, BAND).all(axis=2).argmax(axis=1)
+                yield x, other[(first == band[x]) & (same.sum(axis=1) >= least)]
 
 
-def _members_apart(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+def _members_apart(batches: Iterator[pa.RecordBatch], least: int, hundredths: int) -> Iterator[pa.RecordBatch]:
     """The members that may have a link to another component."""
     for t, bounds in _pieces(batches):
         some = np.zeros(t.num_rows, dtype=bool)
-        for x, ys in _agreeing_apart(t, bounds, least):
+        for x, ys in _pairs_apart(t, bounds, least, hundredths):
             some[ys] = True
             some[x] |= len(ys) > 0
         yield from t.select(["key", "band", "node", "label"]).filter(pa.array(some)).combine_chunks().to_batches()
@@ -254,9 +249,12 @@ def _links_apart(batches: Iterator[pa.RecordBatch], least: int, hundredths: int)
     for t, bounds in _pieces(batches):
         label = t.column("label").chunk(0).dictionary_encode().indices.to_pylist()
         node = t.column("node").to_pylist()
+        size = t.column("size").to_numpy().astype(np.int64)
         flat = np.array(t.column("shingles").chunk(0).flatten())
         ends = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(t.column("shingles").chunk(0)).to_numpy())])
-        parent = list(range(max(label) + 1))
+        distinct, code = np.unique(flat, return_inverse=True)
+        mark = np.zeros(len(distinct), dtype=bool)
+        parent = np.arange(max(label) + 1)
 
         def root(k: int) -> int:
             while parent[k] != k:
@@ -264,14 +262,17 @@ def _links_apart(batches: Iterator[pa.RecordBatch], least: int, hundredths: int)
             return k
 
         out: tuple[list, list] = ([], [])
-        for x, ys in _agreeing_apart(t, bounds, least):
-            mine = flat[ends[x]:ends[x + 1]]
-            for y in ys:
-                if root(label[x]) == root(label[y]):
-                    continue
-                theirs = flat[ends[y]:ends[y + 1]]
-                both = len(np.intersect1d(mine, theirs, assume_unique=True))
-                if both * 100 >= (len(mine) + len(theirs) - both) * hundredths:
+        for x, ys in _pairs_apart(t, bounds, least, hundredths):
+            mine = root(label[x])
+            ys = np.array([y for y in ys if root(label[y]) != mine], dtype=np.int64)
+            if not len(ys):
+                continue
+            mark[code[ends[x]:ends[x + 1]]] = True
+            lens = ends[ys + 1] - ends[ys]
+            both = np.add.reduceat(mark[code[ranges(ends[ys], lens)]].astype(np.int64), np.cumsum(lens) - lens)
+            mark[code[ends[x]:ends[x + 1]]] = False
+            for y in ys[both * 100 >= (size[x] + size[ys] - both) * hundredths]:
+                if root(label[x]) != root(label[y]):
                     parent[root(label[x])] = root(label[y])
                     out[0].append(node[x])
                     out[1].append(node[y])
@@ -297,13 +298,14 @@ def links_apart(members: DataFrame, nodes: DataFrame, sets: DataFrame, least: in
                 block: int | None = None) -> DataFrame:
     """Links (a, b) that join components among ``members`` (key, band, node,
     label) of the same buckets.  A large bucket is split into blocks, and each pair
-    of blocks is a piece of work of its own.  Sketches alone tell which members
-    need a look; only these are dealt again, with their shingles.  No pairs
-    leave a task but the links that join components."""
+    of blocks is a piece of work of its own.  Labels, set sizes and common bands tell
+    which members need a look; only these are dealt again, with their shingles.  No pairs
+    leave a task but the links that join components.  ``least`` is the number of slots
+    in which a pair's sketches agree; members of one bucket agree in a band."""
     block = block or BLOCK
-    sketch = nodes.select("node", "sketch")
+    sketch = nodes.select("node", "sketch").join(sets.select("node", F.size("shingles").alias("size")), "node")
     some = stored(_dealt(members, sketch, block).mapInArrow(
-        lean(lambda it: _members_apart(it, least)), "key long, band int, node binary, label binary").distinct(), "apart")
+        lean(lambda it: _members_apart(it, least, hundredths)), "key long, band int, node binary, label binary").distinct(), "apart")
     return _dealt(some, sketch.join(sets, "node"), block).mapInArrow(
         lean(lambda it: _links_apart(it, least, hundredths)), "a binary, b binary").distinct()
 
@@ -327,15 +329,15 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, id_col: str =
                          F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     seen = stored(sketched(source), "sketches")
     nodes = stored(seen.where("node is not null").groupBy("node").agg(
-        F.min(F.struct("_id", "_text_hash")).alias("least"), F.first("bands").alias("bands"),
-        F.first("sketch").alias("sketch")), "nodes")
-    banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+        F.min(F.struct("_id", "_text_hash")).alias("least"), F.first("size").alias("size"),
+        F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
+    banded = nodes.select("node", "size", F.posexplode("bands").alias("band", "key"))
     # A bucket's leader differs from bucket to bucket; (hash, node) by map-side minimum.
-    leaders = banded.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node")).alias("lead"),
+    leaders = banded.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node", "size")).alias("lead"),
                                         F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = stored(banded.join(leaders, "key").select("key", "band", "node", F.col("lead.node").alias("leader")),
-                     "buckets")
-    sketch = nodes.select("node", "sketch")
+    buckets = stored(banded.join(leaders, "key").select(
+        "key", "band", "node", F.col("lead.node").alias("leader"),
+        sizes_allow(F.col("size"), F.col("lead.size"), similarity).alias("possible")), "buckets")
     # Only texts that share a bucket are read again for their shingles.
     wanted = nodes.join(buckets.select("node").distinct(), "node").select("least.*")
     sets = stored(shingle_sets(source.alias("s").join(
@@ -344,9 +346,9 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, id_col: str =
 
     def linked(members: DataFrame) -> DataFrame:
         """Verified links between members of buckets and their leaders."""
-        pairs = members.where("node <> leader").select(
+        pairs = members.where("node <> leader and possible").select(
             F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        return stored(verified(agreeing(pairs, sketch, LEAST_AGREEMENT), sets, similarity), "links")
+        return stored(verified(pairs, sets, similarity), "links")
 
     # A few bands join most of a group; in the others only a member that is not
     # yet in its leader's component is compared.
@@ -358,7 +360,7 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, id_col: str =
     # A leader has met all of its bucket; the others may still hold unseen links.
     rest = (buckets.where("node <> leader").join(labels, "node", "left")
             .select("key", "band", "node", F.coalesce("label", "node").alias("label")))
-    more = stored(links_apart(rest, sketch, sets, LEAST_AGREEMENT, similarity), "links")
+    more = stored(links_apart(rest, nodes, sets, BAND, similarity), "links")
     labels = joined(labels, more)
     members = (seen.join(labels, "node", "left")
                .select("_id", "_text_hash", F.coalesce("label", "node").alias("label")))

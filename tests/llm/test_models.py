@@ -260,6 +260,31 @@ def test_group_of_near_copies(spark):
     assert got == true_classes(made)
 
 
+def test_near_copies_of_unequal_counts(spark):
+    """Texts that repeat a passage often: every pair of a bucket is decided by its sets."""
+    rng = np.random.default_rng(6)
+    made = {}
+    for g in range(12):
+        base = [f"g{g}w{k}" for k in range(160)]
+        for k in range(6):
+            t = list(base)
+            for p in rng.choice(160, rng.integers(0, 5), replace=False):
+                t[p] = f"x{g}_{k}_{p}"
+            made[10 * g + k] = " ".join(t[:80] * (50 if k % 2 else 1) + t[80:])
+    docs = spark.createDataFrame(list(made.items()), "doc_id long, text string")
+    bands = {r._id: set(r.bands) for r in near_dup.sketched(docs.selectExpr(
+        "doc_id as _id", "xxhash64(text) as _text_hash", "text")).collect()}
+    sets, label = {d: shingle_set(t) for d, t in made.items()}, {d: d for d in made}
+    linked = []
+    for a, b in ((a, b) for a in made for b in made if a < b and len(sets[a] & sets[b]) * 100 >= 80 * len(sets[a] | sets[b])):
+        linked.append(bool(bands[a] & bands[b]))
+        if linked[-1]:
+            low, high = sorted((label[a], label[b]))
+            label = {d: low if c == high else c for d, c in label.items()}
+    assert np.mean(linked) >= 0.95                   # what the bands miss
+    assert {r._id: r.class_id for r in near_dup.near_duplicates(docs).collect()} == label
+
+
 def test_blocks_find_what_the_leader_misses(spark):
     """Pairs of texts alike in one bucket, which is split into small blocks."""
     import pyspark.sql.functions as F
