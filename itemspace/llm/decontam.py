@@ -17,6 +17,7 @@ empty tables give an empty result or no hits; other columns pass through.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -299,6 +300,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_
     out of the text too, until no test phrase is left."""
     spark = docs.sparkSession
     prepare(spark)
+    queue = blocks(items, item_id, item_text, window, block_bytes)
+    now, following = next(queue), next(queue, None)
+    if remove and following is not None:
+        return removed_by_rounds(docs, items, window, text_col, item_id, item_text, block_bytes)
     schema = T.StructType(docs.schema.fields + [T.StructField(n, t) for n, t in ADDED])
     names = docs.columns
     state = docs.select("*", F.lit(None).cast("long").alias("_words"), F.lit(None).cast(SPANS).alias("_spans"),
@@ -321,7 +326,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_
                         texts[k] = cleaned(texts[k], phrases, spans[k])
                     col[text_col] = pa.array(texts, type=col[text_col].type)
                 else:
-                    for k, old in before_spans.items():   # cut texts renumber their words
+                    for k, old in before_spans.items():
                         spans[k] = merged(np.concatenate(
                             [spans[k], np.array([[s["start"], s["end"]] for s in old], dtype=np.int64).T], axis=1))
                 for k, old in before_items.items():
@@ -335,17 +340,43 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_
                     names=[f.name for f in schema.fields])
         return run
 
-    queue = blocks(items, item_id, item_text, window, block_bytes)
-    now = next(queue)
     while now is not None:
-        following = next(queue, None)
         state = state.mapInArrow(search(spark.sparkContext.broadcast(now)), schema)
         if following is not None:
             state = stored(state, "decontam")
-        now = following
+        now, following = following, next(queue, None)
     return state
 
 
+def removed_by_rounds(docs: DataFrame, items: DataFrame, window: int, text_col: str, item_id: str, item_text: str,
+                      block_bytes: int) -> DataFrame:
+    """Removal by a benchmark of several blocks, with the result of a single one.
+    A round searches the same text for all blocks and then cuts what they found;
+    rows that were cut go through all blocks again until none is hit.  _words,
+    _spans and _items are those of the first round."""
+    names = [f"`{c}`" for c in docs.columns]
+
+    def searched(rows):
+        return stored(decontaminate(rows, items, window, text_col, item_id, item_text, False, block_bytes), "decontam")
+
+    def cut(batches):
+        for batch in batches:
+            col = dict(zip(batch.schema.names, batch.columns))
+            texts = [without(t, np.array([[s["start"], s["end"]] for s in spans], dtype=np.int64).T)
+                     for t, spans in zip(col[text_col].to_pylist(), col.pop("_spans").to_pylist())]
+            col[text_col] = pa.array(texts, type=col[text_col].type)
+            yield pa.RecordBatch.from_arrays(list(col.values()), names=list(col))
+
+    found = searched(docs)
+    parts = [found.where("size(_spans) = 0")]
+    live = found.where("size(_spans) > 0").select(*names, F.struct(*[n for n, _ in ADDED]).alias("_found"), "_spans")
+    while not live.isEmpty():
+        again = searched(stored(live.mapInArrow(cut, live.drop("_spans").schema), "cut"))
+        parts.append(again.where("size(_spans) = 0").select(*names, "_found.*"))
+        live = again.where("size(_spans) > 0").select(*names, "_found", "_spans")
+    return functools.reduce(DataFrame.unionAll, parts)
+
+
 def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Per document: words, words hit, items and whether it is contaminated."""
     hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])

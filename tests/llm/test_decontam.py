@@ -98,3 +98,16 @@ def test_blocks_and_cases(spark, odd_docs, no_docs):
     assert D.report(D.decontaminate(no_docs, bench)).count() == 0
     assert not any(r.contaminated for r in D.report(D.decontaminate(odd_docs, bench.limit(0))).collect())
     assert D.decontaminate(odd_docs, bench).columns[:len(odd_docs.columns)] == odd_docs.columns
+
+
+def test_removal_does_not_depend_on_blocks(spark):
+    """A cut by one block joins a phrase of an earlier one; rows cut early share a batch with rows hit late."""
+    first, second = (" ".join(f"{c}{i}" for i in range(12)) for c in "ab")
+    joined = f"{' '.join(first.split()[:6])} {second} {' '.join(first.split()[6:])}"
+    docs = spark.createDataFrame([(1, first), (2, second), (3, joined), (4, f"Kept. {first} kept"), (5, "clean"),
+                                  (6, None)], "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(1, first), (2, second)], "item_id long, text string").coalesce(1)
+    one = D.decontaminate(docs, bench, remove=True).orderBy("doc_id").collect()
+    many = D.decontaminate(docs, bench, remove=True, block_bytes=1).orderBy("doc_id").collect()
+    assert one == many
+    assert split_words(many[2].text) == [] and all(r._spans for r in many[:4])
