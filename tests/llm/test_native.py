@@ -70,6 +70,23 @@ def test_license_cases(spark, odd_docs, no_docs):
         1: "MIT", 2: "Apache-2.0", 3: "ISC", 4: None, 5: None}
 
 
+def test_license_runs(spark):
+    """Notices that share their line or paragraph, and notices of whole licences."""
+    bsd = licenses._BSD
+    gnu = licenses._GNU
+    docs = spark.createDataFrame([
+        (1, "Copyright 2024 Example. Released under the MIT License."),
+        (2, f"Some words before.\nCopyright A, B. {bsd}\n\nTHIS SOFTWARE IS PROVIDED AS IS."),
+        (3, f"Code by A. {bsd}{licenses._BSD_THIRD} And more words."),
+        (4, "# x.py\n# " + gnu.format("This program", "", 3).replace("terms of", "terms\n# of") + "\nimport os"),
+        (5, gnu.format("This library", "Lesser ", 3) + " See the file."),
+        (6, "The MIT campus released a statement on the license of 1 of its software forms."), (7, "one")],
+        "doc_id long, text string")
+    assert {r.doc_id: (r.license, r.licenses) for r in licenses.scan(docs).collect()} == {
+        1: ("MIT", "MIT"), 2: ("BSD-2-Clause", "BSD-2-Clause"), 3: ("BSD-3-Clause", "BSD-3-Clause"),
+        4: ("GPL-3.0", "GPL-3.0"), 5: ("LGPL-3.0", "LGPL-3.0"), 6: (None, ""), 7: (None, "")}
+
+
 EVENTS = "conv_id long, seq long, msg_id string, kind string, role string, text string"
 
 
