@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itemspace.llm import (
-    chat, decontam, licenses, line_dedup, lm_score, near_dup, packing, quality_classifier, quality_rules, toxicity,
+    chat, decontam, licenses, line_dedup, lm_score, merkle, near_dup, packing, quality_classifier, quality_rules, toxicity,
 )
 from itemspace.llm.sql import SQL
 from itemspace.sources.fixtures import table
@@ -94,3 +94,9 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lm_score.score(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_backoff", F.round("log_score", 3).alias("log_score"),
                         F.round("word_score", 6).alias("word_score"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, subroot, root and proof, checked against tampered copies."""
+    return merkle.audit(table(spark, sf_dir, "documents"))

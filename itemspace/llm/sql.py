@@ -103,3 +103,44 @@ t as (select r, count(*) as n_words, sum(k)::bigint as n_backoff, sum(s) as s fr
 select doc_id, coalesce(n_words, 0) as n_words, coalesce(n_backoff, 0) as n_backoff,
   round(coalesce(s, 0.0), 3) as log_score, round(s / n_words, 6) as word_score
 from d left join t using (r)"""
+
+
+def _merkle_sql() -> str:
+    def leaf(n_chars: str) -> str:
+        fields = ["cast(doc_id as varchar)", "source", "lang", n_chars, "text"]
+        return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+    # crc32 of the decimal id, a byte at a time
+    crc = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(cast(doc_id as varchar), ''),
+      lambda c: ascii(c)::bigint)), lambda s, b: list_reduce(list_prepend(xor(s, b), range(8)),
+      lambda x, i: xor(x >> 1, 3988292384::bigint * (x & 1)))), 4294967295::bigint)"""
+
+    def tree(name: str, base: str) -> str:
+        return f"""{name} as (select k, 0 as l, i, h, n from {base} union all
+  select k, l + 1, i // 2, sha256(h || coalesce(nx, '')), (n + 1) // 2
+  from (select *, lead(h) over (partition by k order by i) as nx from {name} where n > 1) where i % 2 = 0)"""
+
+    def fold(name: str, base: str, nodes: str) -> str:
+        return f"""{name} as (select r, k, 0 as l, i, n, h, path from {base} union all
+  select r, k, l + 1, i // 2, (n + 1) // 2,
+    sha256(case when i % 2 = 1 then s || h else h || coalesce(s, '') end), path || coalesce(s, '')
+  from (select f.*, t.h as s from {name} f left join {nodes} t on t.k = f.k and t.l = f.l and t.i = xor(f.i, 1)
+        where f.n > 1))"""
+    return rf"""
+with recursive d as (select doc_id, coalesce('=' || lang, '-') as k, {leaf("cast(n_chars as varchar)")} as h,
+    case when {crc} % 7 = 0 then {leaf("cast(n_chars + 1 as varchar)")} end as changed from documents),
+leaf as (select *, row_number() over () as r, row_number() over (partition by k order by doc_id nulls first, h) - 1 as i,
+    count(*) over (partition by k) as n from d),
+{tree("t", "leaf")},
+sub as (select k, h, row_number() over (order by k) - 1 as j, count(*) over () as m from t where n = 1),
+top as (select '' as k, j as i, h, m as n from sub),
+{tree("u", "top")},
+low as (select r, k, i, n, coalesce(changed, h) as h, '' as path from leaf),
+{fold("f", "low", "t")},
+mid as (select f.r, '' as k, sub.j as i, sub.m as n, f.h, f.path from f join sub using (k) where f.n = 1),
+{fold("g", "mid", "u")}
+select leaf.doc_id, leaf.h as leaf, sub.h as subroot, root.h as root, sha256(g.path) as proof_sha256,
+  g.h as folded_root, g.h = root.h as verified
+from leaf join g on g.r = leaf.r and g.n = 1 join sub on sub.k = leaf.k cross join (select h from u where n = 1) root"""
+
+
+SQL["op13_merkle_manifest"] = _merkle_sql()
