@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from itemspace.llm import (
     chat, decontam, licenses, line_dedup, lm_score, merkle, near_dup, packing, quality_classifier, quality_rules, toxicity,
+    vector_dups,
 )
 from itemspace.llm.sql import SQL
 from itemspace.sources.fixtures import table
@@ -96,6 +97,11 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.round("word_score", 6).alias("word_score"))
 
 
+@query
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dups.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's leaf, subroot, root and proof, checked against tampered copies."""

@@ -144,3 +144,17 @@ from leaf join g on g.r = leaf.r and g.n = 1 join sub on sub.k = leaf.k cross jo
 
 
 SQL["op13_merkle_manifest"] = _merkle_sql()
+
+
+# Every pair of a label, and reachability over the links.
+SQL["op12_embedding_near_dedup"] = r"""
+with recursive v as (select row_number() over () as r, vec_id, label, cast(embedding as double[]) as e from embeddings),
+able as (select * from v where label is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0
+         and len(list_filter(e, lambda x: x <> 0)) > 0),
+link as (select a.r as a, b.r as b from able a join able b on a.label = b.label and a.r <> b.r and len(a.e) = len(b.e)
+         where list_cosine_similarity(a.e, b.e) >= 0.98),
+reach as (select r, r as c from v union select reach.r, link.b from reach join link on link.a = reach.c),
+comp as (select reach.r, min(v.vec_id) as component_id from reach join v on v.r = reach.c group by reach.r),
+deg as (select a as r, count(*) as n from link group by a)
+select vec_id, coalesce(n, 0) as n_links, component_id, vec_id is not distinct from component_id as kept
+from v join comp using (r) left join deg using (r)"""
