@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itemspace.llm import (
-    chat, decontam, licenses, line_dedup, lm_score, merkle, near_dup, packing, quality_classifier, quality_rules, toxicity,
-    vector_dups,
+    chat, decontam, hard_negatives, licenses, line_dedup, lm_score, merkle, near_dup, packing, quality_classifier, quality_rules,
+    toxicity, vector_dups,
 )
 from itemspace.llm.sql import SQL
 from itemspace.sources.fixtures import table
@@ -97,6 +97,14 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.round("word_score", 6).alias("word_score"))
 
 
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the ids divisible by 50; where 7 divides the id the label moves on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), "embedding")
+    return hard_negatives.mine(hard_negatives.integer_rows(rows), F.col("vec_id") % 50 == 0)
+
+
 @query
 def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dups.near_duplicates(table(spark, sf_dir, "embeddings"))

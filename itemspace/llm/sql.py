@@ -158,3 +158,21 @@ comp as (select reach.r, min(v.vec_id) as component_id from reach join v on v.r
 deg as (select a as r, count(*) as n from link group by a)
 select vec_id, coalesce(n, 0) as n_links, component_id, vec_id is not distinct from component_id as kept
 from v join comp using (r) left join deg using (r)"""
+
+
+SQL["op11_hard_negatives"] = r"""
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(cast(embedding as double[]), lambda x: floor(256 * x)) as q
+  from embeddings where vec_id is not null and label is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same,
+    cast(list_inner_product(a.q, b.q) as bigint) as score
+  from v a join v b on a.vec_id <> b.vec_id and len(a.q) = len(b.q) where a.vec_id % 50 = 0),
+p as (select * from (select *, row_number() over (partition by anchor_id order by score desc, id) as r
+                     from s where same) where r <= 5),
+n as (select p.anchor_id, p.id as positive_id, s.id as negative_id, p.score as positive_score, s.score as negative_score,
+    row_number() over (partition by p.anchor_id, p.id order by s.score desc, s.id) as rank
+  from p join s on s.anchor_id = p.anchor_id and not s.same
+    and 50 * p.score <= 100 * s.score and 100 * s.score <= 95 * p.score)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score
+from n where rank <= 3"""
