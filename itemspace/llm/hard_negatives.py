@@ -46,9 +46,9 @@ LARGEST = 65_536
 CODEWORDS = 16
 LLOYD_ROUNDS = 8
 SAMPLE_ROWS = 4_096
-SHARD_ROWS = 8_192
+SHARD_ROWS = 16_384
 ANCHOR_ROWS = 16_384
-SCORED_AT_ONCE = 256
+SCORED_AT_FIRST = 512
 
 Codebook = tuple[np.ndarray, np.ndarray]
 
@@ -72,8 +72,9 @@ class MultiIndex:
         order = np.argsort(cell, kind="stable")
         self.ids, self.labels, self.vectors = ids[order], labels[order], vectors[order]
         self.starts = np.searchsorted(cell[order], np.arange(len(book[0]) * len(book[1]) + 1))
-        largest = float(np.abs(vectors).max(initial=0))
-        self.exact = largest * max(vectors.shape[1], 1)
+        self.largest = float(np.abs(vectors).max(initial=0))
+        self.narrow = self.vectors.astype(np.float32)
+        self.numbers = np.arange(len(self.ids))
 
     def walk(self, q: np.ndarray) -> Iterator[tuple[float, float, int, int]]:
         """(upper bound, lower bound, first, last) of the cells by falling upper
@@ -101,59 +102,60 @@ class MultiIndex:
                 yield -bound + slack, lows[0][i] + lows[1][j] - slack, first, last
 
     def scores(self, q: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Exact inner products."""
-        if self.exact * float(np.abs(q).max(initial=0)) < 2 ** 53:
-            return (self.vectors[at] @ q).astype(np.int64)
-        return self.vectors[at].astype(np.int64) @ q.astype(np.int64)
-
-    def best(self, q: np.ndarray, keep: int, wanted) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the first ``keep`` rows that ``wanted`` (of row
-        numbers) admits."""
-        ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """Exact inner products, in the narrowest type that holds every partial sum."""
+        largest = self.largest * float(np.abs(q).max(initial=0)) * max(len(q), 1)
+        if largest < 2 ** 24:
+            return self.narrow.take(at, axis=0) @ q.astype(np.float32)
+        if largest < 2 ** 53:
+            return self.vectors.take(at, axis=0) @ q
+        return self.vectors.take(at, axis=0).astype(np.int64) @ q.astype(np.int64)
+
+    def _gathered(self, q: np.ndarray, pass_over=None) -> Iterator[tuple[float, np.ndarray]]:
+        """(bound of what is still to come, row numbers to score), in batches of
+        whole cells that double in size."""
         held: list[np.ndarray] = []
-        for bound, at in self._gathered(q, held):
-            if at is not None:
-                at = at[wanted(at)]
-                ids, scores = first_of(np.append(ids, self.ids[at]), np.append(scores, self.scores(q, at)), keep)
-            if len(ids) == keep and bound < scores[-1]:
-                break
-        return ids, scores
-
-    def _gathered(self, q: np.ndarray, held: list, pass_over=None) -> Iterator[tuple[float, np.ndarray | None]]:
-        """(bound of what is still to come, row numbers to score)."""
-        n, cells = 0, self.walk(q)
+        n, most = 0, SCORED_AT_FIRST
+        cells = self.walk(q)
         ahead = next(cells, None)
         while ahead is not None:
             _, low, first, last = ahead
             ahead = next(cells, None)
-            to_come = ahead[0] if ahead else -math.inf
             if not (pass_over and pass_over(low)):
-                held.append(np.arange(first, last))
+                held.append(self.numbers[first:last])
                 n += last - first
-            if n >= SCORED_AT_ONCE or ahead is None:
-                yield to_come, np.concatenate(held) if held else None
-                held.clear()
-                n = 0
+            if n >= most or ahead is None:
+                yield ahead[0] if ahead else -math.inf, np.concatenate(held) if held else self.numbers[:0]
+                held, n, most = [], 0, 2 * most
+
+    def best(self, q: np.ndarray, keep: int, wanted) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the first ``keep`` rows that ``wanted`` (of row
+        numbers) admits."""
+        return self.windows(q, np.array([-(2 ** 62)]), np.array([2 ** 62]), keep, wanted)[0]
 
     def windows(self, q: np.ndarray, low: np.ndarray, high: np.ndarray, keep: int,
                 wanted) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per window the first ``keep`` wanted rows with low <= score <= high."""
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(low)
+        floor = low.copy()                             # what a row has to reach to count
         open_ = [w for w in range(len(low)) if low[w] <= high[w]]
         if not open_:
             return found
         ceiling = high[open_].max()
-        for bound, at in self._gathered(q, [], lambda least: least > ceiling):
-            if at is not None:
-                at = at[wanted(at)]
-                ids, scores = self.ids[at], self.scores(q, at)
+        for to_come, at in self._gathered(q, lambda least: least > ceiling):
+            scores = self.scores(q, at)
+            near = np.flatnonzero((scores >= floor[open_].min()) & (scores <= high[open_].max()))
+            near = near[wanted(at[near])]
+            if len(near):
+                ids, scores = self.ids[at[near]], scores[near].astype(np.int64)
                 for w in open_:
-                    inside = (scores >= low[w]) & (scores <= high[w])
+                    inside = (scores >= floor[w]) & (scores <= high[w])
                     if inside.any():
                         found[w] = first_of(np.append(found[w][0], ids[inside]),
                                             np.append(found[w][1], scores[inside]), keep)
+                        if len(found[w][0]) == keep:
+                            floor[w] = found[w][1][-1]
             # certified: nothing to come reaches the window, or its last place
-            open_ = [w for w in open_ if bound >= low[w] and (len(found[w][0]) < keep or bound >= found[w][1][-1])]
+            open_ = [w for w in open_ if to_come >= floor[w]]
             if not open_:
                 break
         return found
