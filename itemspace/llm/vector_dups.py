@@ -40,7 +40,7 @@ from itemspace.llm.skew import join_counted
 
 THRESHOLD = 0.98
 MISS = 1e-4
-BLOCK = 512
+BLOCK = 256
 SEED = 20
 
 BUCKET = ["dims", "label", "table", "code"]
@@ -108,16 +108,17 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.concat_tables(held)
 
 
-def linked_pairs(unit: np.ndarray, codes: np.ndarray, table: int, side: np.ndarray | None,
-                 threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs i < j of cosine ``threshold`` or more that meet in ``table`` and in none
-    before; with ``side`` only pairs across."""
-    i, j = np.nonzero(np.triu(unit @ unit.T >= threshold, 1))
+def linked(unit: np.ndarray, codes: np.ndarray, table: int, side: np.ndarray | None, threshold: float) -> np.ndarray:
+    """Matrix of the pairs of cosine ``threshold`` or more that meet in ``table`` and in
+    none before; with ``side`` only pairs across."""
+    meet = unit @ unit.T >= threshold
+    np.fill_diagonal(meet, False)
     if side is not None:
-        across = side[i] != side[j]
-        i, j = i[across], j[across]
-    first = (codes[i] == codes[j]).argmax(axis=1) == table
-    return i[first], j[first]
+        meet &= side[:, None] != side[None, :]
+    if meet.any():
+        for before in codes.T[:table]:
+            meet &= before[:, None] != before[None, :]
+    return meet
 
 
 def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -141,14 +142,13 @@ def _verified(threshold: float):
             unit = e / np.sqrt((e * e).sum(axis=1, keepdims=True))
             first = t.slice(0, 1).select(["table", "b0", "b1"]).to_pylist()[0]
             side = t.column("block").to_numpy() if first["b0"] != first["b1"] else None
-            i, j = linked_pairs(unit, _matrix(t.column("codes")), first["table"], side, threshold)
-            if not len(i):
+            meet = linked(unit, _matrix(t.column("codes")), first["table"], side, threshold)
+            at = np.flatnonzero(meet.any(axis=1))
+            if not len(at):
                 continue
             size = t.column("n").to_numpy()
-            links = np.zeros(t.num_rows, dtype=np.int64)
-            np.add.at(links, i, size[j])
-            np.add.at(links, j, size[i])
-            at = np.flatnonzero(links)
+            links = np.array([size[row].sum() for row in meet])
+            i, j = np.nonzero(np.triu(meet))
             node = t.column("node").to_numpy()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(node[at]), pa.array(links[at]), pa.array(node[spanning(t.num_rows, i, j)[at]])],
