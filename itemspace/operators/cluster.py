@@ -2,24 +2,31 @@
 assignment, inertia, MLlib k-means with restarts, biggest-inertia bisecting.
 
 Only k x d centres ever reach the driver.  A Lloyd round is one pass over
-the (cached) vectors for *all* K of a sweep: each row is repeated once per K
-(a bounded factor, the length of the K list), joined by K to the row
-holding that K's centres, and reduced with per-dimension sums under
-partial aggregation.
+the (cached) vectors for *all* K of a sweep, which adds every task's rows up in
+NumPy (``lloyd.updated``).  The final assignment repeats each row once per K (a bounded
+factor, the length of the K list) and joins it by K to that K's centres.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itemspace.functions.hashing import det_uint32
 from itemspace.functions.vector import array_sqdist
+from itemspace.operators.eigen import Eigen, NotConverged, normalized_adjacency, top_eigenvectors
+from itemspace.operators.lloyd import lists, matrix, squared, updated
+from itemspace.operators.neighbours import approx_knn_graph
+from itemspace.operators.reduce import gram_stats, rbf_affinity
+from itemspace.operators.seeding import parallel_seeds
 from itemspace.operators.vectors import normalize_rows, vector_dims
-from itemspace.session import materialize, persist
+from itemspace.session import materialize, persist, ship_package
 
 
 def nearest(col: str = "v", centres: str = "centres"):
@@ -81,19 +88,6 @@ def initial_centres(vectors: DataFrame, ks: Sequence[int], key: str = "subject",
     return out
 
 
-def _update(assigned: DataFrame, centres: Centres, col: str, group: str | None) -> Centres:
-    """New centres from (group, config, cluster, position) sums: at most
-    groups x configs x K x d keys, partially aggregated in every task."""
-    g = F.col(group).cast("int") if group else F.lit(0)
-    stats = (assigned.select(g.alias("_g"), "k", "prediction", F.posexplode(col).alias("d", "x"))
-             .groupBy("_g", "k", "prediction", "d").agg(F.sum("x").alias("s"), F.count("x").alias("n"))
-             .collect())
-    new = {key: [list(c) for c in cs] for key, cs in _norm_keys(centres).items()}
-    for r in stats:
-        new[(r["_g"], r["k"])][r["prediction"]][r["d"]] = r["s"] / r["n"]
-    return new  # an empty cluster keeps its centre
-
-
 def _moved(before: list[list[float]], after: list[list[float]]) -> float:
     """The furthest that any centre of a configuration has moved."""
     return max(math.dist(a, b) for a, b in zip(before, after))
@@ -121,7 +115,7 @@ def lloyd_sweep(vectors: DataFrame, ks: Sequence[int], rounds: int = 5, key: str
     centres = _norm_keys(init) if init else initial_centres(base, ks, key, col, seed, group)
     moving = centres
     for _ in range(rounds):
-        now = _update(assign_clusters(base, moving, col, group), moving, col, group)
+        now = updated(base, moving, col, group)
         centres = {**centres, **now}
         # configurations at rest take no further part
         moving = {c: now[c] for c in now if tol is None or _moved(moving[c], now[c]) > tol}
@@ -140,10 +134,11 @@ def lloyd_sweep(vectors: DataFrame, ks: Sequence[int], rounds: int = 5, key: str
 def kmeans_multi_start(vectors: DataFrame, k: int, n_init: int = 10, rounds: int = 5, key: str = "subject",
                        col: str = "v", seed: int = 42, dims: int | None = None,
                        checkpoint: bool = True, tol: float | None = None) -> tuple[DataFrame, list[list[float]], float]:
-    """Best of ``n_init`` deterministic starts (seeds seed..seed+n_init-1),
-    all run in the same Lloyd passes; keeps the lowest inertia (first start
+    """Best of ``n_init`` deterministic starts (k-means|| seeds of seed..seed+n_init-1),
+    all drawn and run in the same passes; keeps the lowest inertia (first start
     on ties).  Returns (assignments(key, k, prediction, sqdist), centres, inertia)."""
-    init = {(0, i): initial_centres(vectors, [k], key, col, seed + i)[(0, k)] for i in range(n_init)}
+    seeds = parallel_seeds(vectors, [k], n_init, key=key, col=col, seed=seed)
+    init = {(0, i): seeds[(i, k)] for i in range(n_init)}
     a, centres = lloyd_sweep(vectors, [k], rounds, key, col, seed, init=init, dims=dims, checkpoint=checkpoint,
                              tol=tol)
     costs = {r["k"]: r["c"] for r in a.groupBy("k").agg(F.sum("sqdist").alias("c")).collect()}
@@ -154,11 +149,11 @@ def kmeans_multi_start(vectors: DataFrame, k: int, n_init: int = 10, rounds: int
 
 def kmeans_best(vectors: DataFrame, ks: Sequence[int], n_init: int = 10, rounds: int = 300, key: str = "subject",
                 col: str = "v", seed: int = 42, tol: float = 1e-3) -> DataFrame:
-    """(key, k, prediction, sqdist): for every K the best of ``n_init`` starts, each
-    until its centres rest.  All K and starts share the same Lloyd passes."""
+    """(key, k, prediction, sqdist): for every K the best of ``n_init`` k-means|| starts,
+    each until its centres rest.  All K and starts share the same passes."""
     wide = max(ks) + 1
-    init = {(0, i * wide + k): c for i in range(n_init)
-            for (_, k), c in initial_centres(vectors, ks, key, col, seed + i).items()}
+    seeds = parallel_seeds(vectors, ks, n_init, key=key, col=col, seed=seed)
+    init = {(0, i * wide + k): c for (i, k), c in seeds.items()}
     a, _ = lloyd_sweep(vectors, ks, rounds, key, col, seed, init=init, tol=tol)
     costs = {r["k"]: r["c"] for r in a.groupBy("k").agg(F.sum("sqdist").alias("c")).collect()}
     best = [min((c for c in costs if c % wide == k), key=lambda c: (costs[c], c)) for k in ks]
@@ -202,10 +197,11 @@ def kmeans_restarts(vectors: DataFrame, k: int, n_init: int = 10, seed: int = 42
 
 
 def bisecting_kmeans(vectors: DataFrame, k: int, n_init: int = 10, seed: int = 42, col: str = "v",
-                     key: str = "subject", rounds: int = 20) -> tuple[DataFrame, float]:
+                     key: str = "subject", rounds: int = 300, tol: float = 1e-4) -> tuple[DataFrame, float]:
     """Divisive clustering that always splits the leaf with the largest SSE
     (MLlib's BisectingKMeans splits by size instead).  Each split runs the
-    ``n_init`` seeded 2-means starts together on the leaf's rows; the table
+    ``n_init`` seeded 2-means starts together on the leaf's rows until their
+    centres move no further than ``tol`` (``rounds`` is only a guard); the table
     of leaf ids is checkpointed after every split, so lineage stays short.
     Only leaf statistics reach the driver."""
     dims = vector_dims(vectors, col)
@@ -217,7 +213,7 @@ def bisecting_kmeans(vectors: DataFrame, k: int, n_init: int = 10, seed: int = 4
         part = data.where(F.col("leaf") == target).select(key, col)
         if part.count() < 2:
             break
-        _a, c, _cost = kmeans_multi_start(part, 2, n_init, rounds, key, col, seed, dims)
+        _a, c, _cost = kmeans_multi_start(part, 2, n_init, rounds, key, col, seed, dims, tol=tol)
         cf = _centres_frame(data.sparkSession, {2: c}).drop("_g")
         split = (data.withColumn("k", F.lit(2)).join(cf, "k")
                  .withColumn("_id", nearest(col, "centres")["id"])
@@ -242,52 +238,101 @@ def _sse(df: DataFrame, col: str, dims: int) -> float:
     return float(r["q"] - sum(x * x for x in r["s"]) / r["n"])
 
 
-# ------------------------------------------------------------ spectral (Nystrom)
-def spectral_clustering(vectors: DataFrame, ks: Sequence[int], gamma: float = 1.0, landmarks: int = 200,
-                        key: str = "subject", col: str = "v", n_init: int = 10, rounds: int = 10,
-                        seed: int = 42, affinity: str = "rbf") -> DataFrame:
-    """Spectral clustering (RBF, or ``affinity='cosine'``: cosines, negative ones
-    as 0) with a Nystrom approximation: m md5-ranked landmarks (m x d), row-parallel affinities to them
-    (n x m, never n x n), degree-normalised rows F = C / sqrt(deg), top
-    eigenvectors of the m x m Gram F^T F (aggregated per task in NumPy,
-    eigen-decomposed on the driver), row-normalised spectral coordinates,
-    then k-means with ``n_init`` starts per K.  Returns (key, k, prediction)."""
-    import numpy as np
-    from itemspace.operators.reduce import gram_stats
-    kmax = max(ks)
-    first = (vectors.withColumn("_h", det_uint32(seed, key)).orderBy("_h", key).limit(landmarks)
-             .select(col).collect())
-    L = np.array([list(r[0]) for r in first])
-    lm = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in L])
-    if affinity == "cosine":
-        unit = normalize_rows(vectors.select(key, col), 2, col)
-        lm = F.array(*[F.array(*[F.lit(float(x / max(np.linalg.norm(row), 1e-300))) for x in row]) for row in L])
-        aff = F.transform(lm, lambda l: F.greatest(F.lit(0.0), 1 - array_sqdist(col, l) / 2))
-        vectors = unit
-    elif affinity == "rbf":
-        aff = F.transform(lm, lambda l: F.exp(-gamma * array_sqdist(col, l)))
+# ------------------------------------------------------------------- spectral
+def spectral_basis(vectors: DataFrame, k: int, gamma: float = 1.0, neighbours: int = 15, key: str = "subject",
+                   col: str = "v", affinity: str = "rbf", seed: int = 42, tol: float = 1e-6,
+                   rounds: int = 500) -> tuple[DataFrame, Eigen]:
+    """(key, v): k spectral coordinates of every row, and the eigenvectors they come
+    from.  The affinity (exp(-gamma d^2), or the cosine with negative ones as 0) is kept on
+    the edges of the nearest-neighbour graph of all rows, symmetrised by the maximum;
+    coordinates are D^-1/2 times the leading eigenvectors of D^-1/2 W D^-1/2.  One
+    basis serves every K up to k."""
+    if affinity == "rbf":
+        edges = rbf_affinity(approx_knn_graph(vectors, neighbours, key, col, "euclidean", seed=seed), gamma)
+    elif affinity == "cosine":
+        near = approx_knn_graph(vectors, neighbours, key, col, "cosine", seed=seed)
+        e = near.select("src", "dst", F.greatest(F.lit(0.0), 1 - F.col("dist")).alias("w"))
+        both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+        edges = both.groupBy("src", "dst").agg(F.max("w").alias("w"))
     else:
         raise ValueError(f"unknown affinity {affinity!r}")
-    feats = vectors.select(key, aff.alias("_c")).withColumn(
-        "_deg", F.aggregate("_c", F.lit(0.0), lambda a, x: a + x)).select(
-        key, F.transform("_c", lambda x: x / F.sqrt(F.greatest(F.col("_deg"), F.lit(1e-300)))).alias("f"))
-    feats = persist(feats)
-    m = L.shape[0]
-    G = np.zeros((m, m))
-    for r in gram_stats(feats, "f", m).collect():
-        G[r["i"], r["j"]] = G[r["j"], r["i"]] = r["g"]
-    w, U = np.linalg.eigh(G)
-    top = U[:, np.argsort(w)[::-1][:kmax]]
-    basis = F.array(*[F.array(*[F.lit(float(x)) for x in top[:, c]]) for c in range(top.shape[1])])
-    emb = feats.select(key, F.transform(basis, lambda b: F.aggregate(
-        F.zip_with("f", b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)).alias("_e"))
+    matrix, deg = normalized_adjacency(materialize(edges))
+    found = top_eigenvectors(matrix, k, tol, rounds, seed=seed)
+    if not found.converged:
+        warnings.warn(f"spectral basis: residual {found.residuals.max():.1e} above {tol:.1e} after {found.rounds} rounds",
+                      NotConverged, stacklevel=2)
+    scale = F.when(F.col("deg") > 0, 1 / F.sqrt("deg")).otherwise(0.0)
+    rows = (found.vectors.join(deg, "node").withColumn("_s", scale)
+            .select(F.col("node").cast(vectors.schema[key].dataType).alias(key),
+                    F.transform("u", lambda x: x * F.col("_s")).alias(col)))
+    return materialize(rows), found
+
+
+def spectral_clustering(vectors: DataFrame, ks: Sequence[int], gamma: float = 1.0, landmarks: int | None = None,
+                        key: str = "subject", col: str = "v", n_init: int = 10, rounds: int = 300,
+                        seed: int = 42, affinity: str = "rbf", neighbours: int = 15, tol: float = 1e-4) -> DataFrame:
+    """Spectral clustering (RBF, or ``affinity='cosine'``: cosines, negative ones
+    as 0): (key, k, prediction).  By default the basis is that of ``spectral_basis``,
+    from all rows; with ``landmarks`` a Nystrom approximation on so many rows.
+    Then k-means with ``n_init`` starts per K, each until its centres move no further
+    than ``tol`` of the coordinates' size."""
+    if landmarks is None:
+        basis, _ = spectral_basis(vectors, max(ks), gamma, neighbours, key, col, affinity, seed)
+    else:
+        basis = _landmark_basis(vectors, max(ks), gamma, landmarks, key, col, seed, affinity)
     out = None
     for k in ks:
-        ek = emb.select(key, F.slice("_e", 1, k).alias("_s"))
-        nrm = F.sqrt(F.aggregate("_s", F.lit(0.0), lambda a, x: a + x * x))
-        ek = ek.select(key, F.when(nrm > 0, F.transform("_s", lambda x: x / nrm)).otherwise(F.col("_s")).alias(col))
-        a, _c, _cost = kmeans_multi_start(ek, k, n_init, rounds, key, col, seed, dims=k)
+        ek = basis.select(key, F.slice(col, 1, k).alias(col))
+        if landmarks is not None:
+            ek = normalize_rows(ek, 2, col)
+        size = ek.agg(F.sqrt(F.avg(F.aggregate(col, F.lit(0.0), lambda a, x: a + x * x)))).first()[0] or 0.0
+        a, _c, _cost = kmeans_multi_start(ek, k, n_init, rounds, key, col, seed, dims=k, tol=tol * size)
         part = a.select(key, F.lit(k).alias("k"), "prediction")
         out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _landmark_basis(vectors: DataFrame, k: int, gamma: float, landmarks: int, key: str, col: str, seed: int,
+                    affinity: str) -> DataFrame:
+    """Nystrom: m md5-ranked landmarks (m x d), affinities to them row by row
+    (n x m, never n x n), degree-normalised rows F = C / sqrt(deg), and the top eigenvectors of
+    the m x m Gram F^T F (summed per task, eigen-decomposed on the driver)."""
+    ship_package(vectors.sparkSession)
+    first = (vectors.withColumn("_h", det_uint32(seed, key)).orderBy("_h", key).limit(landmarks)
+             .select(col).collect())
+    at = np.array([list(r[0]) for r in first])
+    if affinity not in ("rbf", "cosine"):
+        raise ValueError(f"unknown affinity {affinity!r}")
+    cosine = affinity == "cosine"
+    if cosine:
+        at = at / np.maximum(np.linalg.norm(at, axis=1, keepdims=True), 1e-300)
+
+    def features(batches):
+        for b in batches:
+            if b.num_rows:
+                x = matrix(b.column("v")).astype(np.float64)
+                if cosine:
+                    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+                    c = np.maximum(x @ at.T, 0.0)
+                else:
+                    c = np.exp(-gamma * squared(x, at))
+                f = c / np.sqrt(np.maximum(c.sum(axis=1, keepdims=True), 1e-300))
+                yield pa.RecordBatch.from_arrays([b.column("key"), lists(f)], names=["key", "f"])
+
+    kind = vectors.schema[key].dataType.simpleString()
+    feats = persist(vectors.select(F.col(key).alias("key"), F.col(col).alias("v"))
+                    .mapInArrow(features, f"key {kind}, f array<double>"))
+    m = len(at)
+    g = np.zeros((m, m))
+    for r in gram_stats(feats, "f", m).collect():
+        g[r["i"], r["j"]] = g[r["j"], r["i"]] = r["g"]
+    w, u = np.linalg.eigh(g)
+    top = u[:, np.argsort(w)[::-1][:k]]
+
+    def project(batches):
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column("key"), lists(matrix(b.column("f")) @ top)], names=["key", "v"])
+    out = materialize(feats.mapInArrow(project, f"key {kind}, v array<double>").withColumnsRenamed({"key": key, "v": col}))
     feats.unpersist()
     return out

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from itemspace.operators import cluster as K
+from itemspace.operators import lloyd as L
 from itemspace.operators import metrics as M
+from itemspace.operators import seeding as S
+from itemspace.operators import vectors as V
 from itemspace.plans.catalog import query
 from itemspace.plans.sqlgen import kmeans_ctes, long_vectors, metric_ctes
 from itemspace.session import materialize
@@ -35,6 +38,44 @@ def q_kmeans_fixed(spark, sf):
     return a.select(F.col("k").cast("int").alias("k"), "subject", F.col("prediction").cast("int").alias("prediction"))
 
 
+@query("kmeans_bounded", f"with {KM} select cast(k as integer) as k, subject, cast(prediction as integer) as prediction, "
+                         f"round(dist, 5) as sqdist from {PRED}")
+def q_kmeans_bounded(spark, sf):
+    """The rounds of kmeans_fixed with distance bounds carried between them."""
+    vec = _vec(spark, sf).select("subject", "v")
+    init = {k: c for (_, k), c in K.initial_centres(vec, KS).items()}
+    a, _, _ = L.bounded_lloyd(vec, init, ROUNDS)
+    return a.select("k", "subject", "prediction", F.round("sqdist", 5).alias("sqdist"))
+
+
+DRAW_STARTS, DRAW_K = 3, 4
+
+
+def _draws_sql() -> str:
+    def unit(*key: str) -> str:
+        return ("cast('0x' || substr(md5(concat_ws(':', cast(42 + s as varchar), "
+                + ", ".join(f"cast({k} as varchar)" for k in key) + ")), 1, 8) as bigint)")
+    ctes = [f"""v as ({VS}), st as (select unnest(range({DRAW_STARTS})) as s),
+p0 as (select s, subject, v from st, v qualify row_number() over (partition by s order by {unit("subject")}, subject) = 1),
+n0 as (select st.s, v.subject, v.v, list_distance(v.v, p0.v) ** 2 as d2 from st join p0 using (s) cross join v)"""]
+    for r in (1, 2):
+        ctes.append(f"""
+p{r} as (select s, subject, v from n{r - 1} join (select s, sum(d2) as phi from n{r - 1} group by s) using (s)
+       where {unit(str(r), "subject")} / 4294967296 * phi < {2 * DRAW_K} * d2),
+n{r} as (select n.s, n.subject, n.v, least(any_value(n.d2), min(list_distance(n.v, p.v) ** 2)) as d2
+       from n{r - 1} n left join p{r} p on p.s = n.s group by n.s, n.subject, n.v)""")
+    return "with " + ",".join(ctes) + "\n" + " union all ".join(
+        f"select cast(s as integer) as start, {r} as round, subject from p{r}" for r in range(3))
+
+
+@query("kmeans_parallel_draws", _draws_sql())
+def q_kmeans_parallel_draws(spark, sf):
+    """The candidates that k-means|| draws for three starts in two rounds."""
+    found = S.draws(_vec(spark, sf), DRAW_K, DRAW_STARTS, rounds=2)
+    rows = [(s, r, int(key)) for s, f in enumerate(found) for r, key, _ in f]
+    return spark.createDataFrame(rows, "start int, round int, subject long")
+
+
 @query("kmeans_inertia", f"with {KM} select cast(k as integer) as k, round(sum(dist), 4) as inertia "
                          f"from {PRED} group by k")
 def q_kmeans_inertia(spark, sf):
@@ -204,6 +245,15 @@ def q_kmeans_restarts(spark, sf):
     return pred
 
 
+@query("spectral_basis")
+def q_spectral_basis(spark, sf):
+    """Spectral coordinates of every row for K up to 3, with the residual of the
+    eigenvectors that they come from."""
+    basis, found = K.spectral_basis(_vec(spark, sf).select("subject", "v"), 3)
+    return (V.to_long(basis).withColumn("rounds", F.lit(found.rounds))
+            .withColumn("within_tolerance", F.lit(found.converged)))
+
+
 @query("spectral_clustering")
 def q_spectral_clustering(spark, sf):
     return K.spectral_clustering(_vec(spark, sf).select("subject", "v"), [2, 3], gamma=1.0)

@@ -56,9 +56,9 @@ def cluster_vectors(vec: DataFrame, method: str, ks: Sequence[int], key: str, n_
     if method == "kmeans":
         parts = [K.kmeans_best(vec, ks, n_init, rounds, key)]
     elif method == "bisectingkmeans":
-        parts = [K.bisecting_kmeans(vec, k, n_init, key=key)[0] for k in ks]
+        parts = [K.bisecting_kmeans(vec, k, n_init, key=key, rounds=rounds)[0] for k in ks]
     elif method in ("spectral", "spectralcosine"):
-        parts = [K.spectral_clustering(vec, ks, key=key, n_init=n_init,
+        parts = [K.spectral_clustering(vec, ks, key=key, n_init=n_init, rounds=rounds,
                                        affinity="cosine" if method.endswith("cosine") else "rbf")]
     else:
         raise ValueError(f"no cluster method is called {method!r}")
