@@ -18,8 +18,13 @@ from pyspark.sql import functions as F
 
 from itemspace.llm.runtime import narrow
 
-# White space, symbols and frequent function words (en, fr, de, es).
+# White space, symbols, letters and marks at a word's edges, list marks
+# and ellipses at a line's, and frequent function words (en, fr, de, es).
 WHITE = " \t\n\x0b\x0c\r"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+EDGES = ".,;:!?\"()[]"
+BULLETS = "\u2022-*"
+ELLIPSES = ("...", "\u2026")
 SYMBOLS = "#*$%&|<>"
 STOP_WORDS = (
     "the of and to in is that for with on as by be this it are was at from or an "
@@ -48,6 +53,8 @@ RULES = (
     Rule("symbols", "n_symbols", "n_words", None, 100),
     Rule("stop_words", "n_stop", "n_words", 40, None, 40),
     Rule("duplicate_lines", "n_dup_lines", "n_lines", None, 300),
+    Rule("bullet_lines", "n_bullet_lines", "n_lines", None, 900),
+    Rule("ellipsis_lines", "n_ellipsis_lines", "n_lines", None, 300),
     Rule("repeated_words", "n_repeat_words", "n_words", None, 200),
 )
 
@@ -77,27 +84,29 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     hashed = base.select(
         "doc_id", "word_chars", "n_symbols",
         n.cast("long").alias("n_words"),
-        F.size(F.filter(w, lambda x: x.isin(STOP_WORDS))).cast("long").alias("n_stop"),
+        F.size(F.filter(w, lambda x: F.btrim(F.translate(x, UPPER, LOWER), F.lit(EDGES)).isin(STOP_WORDS)))
+        .cast("long").alias("n_stop"),
         F.size("lines").cast("long").alias("n_lines"),
+        F.size(F.filter("lines", lambda x: F.substring(F.btrim(x, F.lit(WHITE)), 1, 1).isin(*BULLETS)))
+        .cast("long").alias("n_bullet_lines"),
+        F.size(F.filter("lines", lambda x: F.btrim(x, F.lit(WHITE)).endswith(ELLIPSES[0])
+                        | F.btrim(x, F.lit(WHITE)).endswith(ELLIPSES[1]))).cast("long").alias("n_ellipsis_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.length(F.bin(n.cast("long"))).alias("b"),
         F.when(n >= WINDOW, F.transform(
             F.sequence(F.lit(0), n - WINDOW),
             lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)])))
         .otherwise(F.array().cast("array<bigint>")).alias("h"))
-    # Only texts with a repeated window go on: hash and position in one number,
-    # sorted, so that equal windows are neighbours.
-    keep = ["doc_id", "word_chars", "n_symbols", "n_words", "n_stop", "n_lines", "n_dup_lines"]
-    packed = hashed.select(*keep, "b", F.when(
+    # Only texts with a repeated window go on: (hash, position) sorted, so that
+    # equal windows are neighbours.
+    keep = ["doc_id", "word_chars", "n_symbols", "n_words", "n_stop", "n_lines", "n_dup_lines", "n_bullet_lines",
+            "n_ellipsis_lines"]
+    packed = hashed.select(*keep, F.when(
         F.size(F.array_distinct("h")) < F.size("h"),
-        F.sort_array(F.transform("h", lambda x, i: F.call_function("shiftleft", x, F.col("b"))
-                                 .bitwiseOR(i.cast("long"))))).alias("s"))
-    s, b = F.col("s"), F.col("b")
-    group = lambda x: F.call_function("shiftright", x, b)
+        F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.cast("long").alias("i"))))).alias("s"))
+    s = F.col("s")
     found = packed.select(*keep, F.sort_array(F.transform(
-        F.filter(s, lambda x, j: group(x).eqNullSafe(group(F.get(s, j - 1)))
-                 | group(x).eqNullSafe(group(F.get(s, j + 1)))),
-        lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), b) - 1))).alias("at"))
+        F.filter(s, lambda x, j: x["h"].eqNullSafe(F.get(s, j - 1)["h"]) | x["h"].eqNullSafe(F.get(s, j + 1)["h"])),
+        lambda x: x["i"])).alias("at"))
     at = F.col("at")
     return found.select(*keep, F.coalesce(F.aggregate(
         F.transform(at, lambda p, j: F.least(F.lit(WINDOW).cast("long"),
@@ -112,4 +121,4 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     bad = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
     return (measures(docs, id_col, text_col)
             .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                    "n_stop", "n_lines", bad.alias("base_failed"), (~bad & verdict(rules)).alias("kept")))
+                    "n_stop", "n_lines", "n_bullet_lines", "n_ellipsis_lines", bad.alias("base_failed"), (~bad & verdict(rules)).alias("kept")))

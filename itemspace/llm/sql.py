@@ -47,10 +47,13 @@ m as (select d.r, doc_id, len(w) as n_words,
     (length(text) - length(translate(text, '{qr.SYMBOLS}', '')))::bigint as n_symbols,
     (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, len(lines) as n_lines,
     coalesce(n_repeat_words, 0) as n_repeat_words,
-    len(list_filter(w, lambda x: x in ({", ".join(f"'{x}'" for x in dict.fromkeys(qr.STOP_WORDS))}))) as n_stop
+    len(list_filter(w, lambda x: trim(translate(x, '{qr.UPPER}', '{qr.LOWER}'), '{qr.EDGES}')
+        in ({", ".join(f"'{x}'" for x in dict.fromkeys(qr.STOP_WORDS))}))) as n_stop,
+    len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[{qr.BULLETS[0]}*-]'))) as n_bullet_lines,
+    len(list_filter(lines, lambda x: regexp_matches(x, '([.][.][.]|{qr.ELLIPSES[1]})[\x20\x09-\x0D]*$'))) as n_ellipsis_lines
   from d join w using (r) join l using (r) left join rep using (r)),
 b as (select *, n_words < 10 or n_repeat_words * 100 > n_words * 20 as base_failed from m)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_stop, n_lines, base_failed,
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_stop, n_lines, n_bullet_lines, n_ellipsis_lines, base_failed,
   not base_failed and {_rules_sql()} as kept
 from b"""
 

@@ -123,3 +123,17 @@ def test_chat_ties_and_empty(spark):
     r = chat.format_chats(log).select(chat.read_back(F.col("formatted")).alias("t")).first()
     assert [t.text for t in r.t] == ["a", "a", "b"]
     assert chat.digest(chat.format_chats(log.limit(0))).count() == 0
+
+
+def test_repeats_of_very_long_texts(spark):
+    """One window twice among 200,000 others, and capitals and marks at stop words."""
+    from itemspace.llm import quality_rules
+    words = [f"w{k}" for k in range(200_000)]
+    long_text = " ".join(words + words[:5])
+    prose = " ".join(["The", "dog", "and,", "cat", '"Of"', "house", "(to)", "tree."] * 6)
+    marked = "\n".join(["- one of the first points here", " • another of the points", "and so on...", "and more…  ", "plain"])
+    docs = spark.createDataFrame([(1, long_text), (2, prose), (3, marked)], "doc_id long, text string")
+    got = {r.doc_id: r for r in quality_rules.apply_rules(docs).collect()}
+    assert got[1].n_repeat_words == 10 and got[1].n_words == 200_005
+    assert got[2].n_stop == 24
+    assert (got[3].n_bullet_lines, got[3].n_ellipsis_lines) == (2, 2)
