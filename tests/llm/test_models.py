@@ -178,25 +178,67 @@ def test_lines_recur_across_documents(spark):
     assert got[4][1] == [] and got[5] == ("", [0])                     # one segment differs
 
 
-def test_templates_against_python(texts):
-    """The exact template: masked tokens in order and their number."""
+def dropped_by_tree(texts):
+    """Brute force over all lines: {id: numbers of the lines that go}."""
     import re
-    column = pa.array(list(texts.values()), type=pa.string())
-    row, line, key = line_dedup.templates(column)
-    want, first = {}, {}
-    for k, text in enumerate(texts.values()):
-        for n, part in enumerate(text.split("\n")):
-            tokens = ["<*>" if re.search("[0-9]", t) else t for t in split_words(part)]
-            if len(tokens) >= line_dedup.MIN_TOKENS:
-                want[k, n] = tuple(tokens)
-    for r, n, h in zip(row, line, key):
-        first.setdefault((r, n), set()).add(h)
-    assert set(first) == set(want)
-    groups = defaultdict(set)
-    for at, tokens in want.items():
-        groups[tokens].add(at)
-    for members in groups.values():                  # equal templates share all their keys
-        assert len({frozenset(first[m]) for m in members}) == 1
+    lines, held = [], defaultdict(lambda: defaultdict(set))
+    for d, text in texts.items():
+        for k, part in enumerate((text or "").split("\n")):
+            t = split_words(part)
+            n = len(t)
+            if not n:
+                continue
+            if n < 5:
+                keys = [("short", n, tuple(t))]
+            else:
+                plain = [x for x in t if not re.search("[0-9]", x)]
+                if len(plain) >= 3 and 2 * len(plain) >= n:
+                    t = ["<*>" if re.search("[0-9]", x) else x for x in t]
+                keys = [("long", n, tuple(t))]
+                for s in range(4) if n >= 8 else ():
+                    rest = tuple(None if p * 4 // n == s else x for p, x in enumerate(t))
+                    constant = sum(x not in (None, "<*>") for x in rest)
+                    if constant >= 3 and 2 * constant >= n:
+                        keys.append(("part", n, s, rest))
+            for key in keys:
+                held[key[:2] if key[0] == "short" else "long"][key].add(d)
+                lines.append((d, k, key))
+    total = {c: sum(map(len, g.values())) for c, g in held.items()}
+
+    def recurs(key):
+        c = key[:2] if key[0] == "short" else "long"
+        n = len(held[c][key])
+        others = (total[c] - n) / max(len(held[c]) - 1, 1)
+        return n >= 2 and (key[0] != "short" or n >= 3 and n >= 10 * others)
+    out = defaultdict(set)
+    for d, k, key in lines:
+        c = key[:2] if key[0] == "short" else "long"
+        if recurs(key) and d != min(held[c][key]):
+            out[d].add(k)
+    return out
+
+
+def test_dropped_lines_against_brute_force(spark, texts):
+    """The query over its whole table."""
+    want = dropped_by_tree(texts)
+    got = queries.QUERIES["op2_line_dedup"](spark, SF).collect()
+    assert {r.doc_id: set(r.dropped_lines) for r in got if r.n_dropped} == want
+    for r in got:
+        left = [x for k, x in enumerate(texts[r.doc_id].split("\n")) if k not in want.get(r.doc_id, ())]
+        assert r.text == "\n".join(left)
+
+
+def test_numbers_fields_and_short_lines(spark):
+    log = "User {} logged in from the host berlin after three failed attempts"
+    rows = [(1, "3 17 42 8 99"), (2, "5 60 1 7 2"), (3, "3 17 42 8 99"), (4, log.format("alice")), (5, log.format("bob"))]
+    rows += [(10 + k, f"All rights reserved.\nOnce {k}") for k in range(40)]
+    docs = spark.createDataFrame([(i, t, "kept", [7], 5) for i, t in rows],
+                                 "doc_id long, text string, _h string, _dropped array<int>, row int")
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert got[2].text == "5 60 1 7 2" and got[3].text == ""          # numbers recur only exactly
+    assert got[4].text == log.format("alice") and got[5].text == ""   # a leading field
+    assert got[10]._dropped == [] and all(got[10 + k].text == f"Once {k}" for k in range(1, 40))
+    assert all(r._h == "kept" and r.row == 5 for r in got.values())
 
 
 def test_line_cases(spark, odd_docs, no_docs):
