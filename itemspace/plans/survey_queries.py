@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from itemspace.operators import clean as C
 from itemspace.operators import scoring as S
+from itemspace.operators import spec as SP
 from itemspace.operators import vectors as V
 from itemspace.plans import flagship
 from itemspace.plans.catalog import query
@@ -171,6 +172,43 @@ def q_filter_funnel(spark, sf):
     return out.select(F.col("step").cast("int").alias("step"), "rule", F.col("rows").cast("long").alias("rows"))
 
 
+# The funnel's rules and the survey's scores as a specification.
+F1_SURVEY = SP.Survey("F1", SP.Cols("q[1-7]"), (
+    SP.Rule("complete", "complete", SP.Cols("q[1-7]")), SP.Rule("age_18_80", "between", SP.Cols("age"), 18, 80),
+    SP.Rule("items_1_5", "between", SP.Cols("q[1-7]"), 1, 5),
+    SP.Rule("total_time", "total", SP.Cols("t[1-7]"), 1_000_000, 3_000_000),
+    SP.Rule("rowsum_outliers", "outlier", SP.Cols("q[1-7]"), 0.5, 2)),
+    (SP.Score("odd", SP.Cols("q[1357]")), SP.Score("even", SP.Cols("q[246]"), "mean"), SP.Score("both", SP.Cols("odd|even"))))
+
+_SPEC_SQL = f"""
+with w as ({W}),
+f as (select *, ({" and ".join(f"{q} is not null" for q in QC)}) as r1, coalesce(age between 18 and 80, false) as r2,
+             coalesce({" and ".join(f"{q} between 1 and 5" for q in QC)}, false) as r3,
+             coalesce(({" + ".join(TC)}) between 1000000 and 3000000, false) as r4, ({" + ".join(QC)}) as total from w),
+st as (select avg(total) as mu, stddev_samp(total) as sd from f where r1 and r2 and r3 and r4),
+g as (select f.*, coalesce(total >= mu - sd / 2 and total <= mu + 2 * sd, false) as r5 from f, st)"""
+
+
+@query("survey_spec_report", _SPEC_SQL + """
+select * from (values (0, 'input', (select count(*) from g), 0::bigint),
+  (1, 'complete', (select count(*) from g where r1), (select count(*) from g where not r1)),
+  (2, 'age_18_80', (select count(*) from g where r1 and r2), (select count(*) from g where not r2)),
+  (3, 'items_1_5', (select count(*) from g where r1 and r2 and r3), (select count(*) from g where not r3)),
+  (4, 'total_time', (select count(*) from g where r1 and r2 and r3 and r4), (select count(*) from g where not r4)),
+  (5, 'rowsum_outliers', (select count(*) from g where r1 and r2 and r3 and r4 and r5), (select count(*) from g where not r5))
+) t(step, rule, rows, rejected)""")
+def q_survey_spec_report(spark, sf):
+    return SP.compile_survey(fx.survey_wide(spark, sf), F1_SURVEY).report()
+
+
+@query("survey_spec_rows", _SPEC_SQL + f"""
+select subject, {", ".join(QC)}, cast(q1 + q3 + q5 + q7 as double) as odd, (q2 + q4 + q6) / 3.0 as even,
+       q1 + q3 + q5 + q7 + (q2 + q4 + q6) / 3.0 as both
+from g where r1 and r2 and r3 and r4 and r5""")
+def q_survey_spec_rows(spark, sf):
+    return SP.compile_survey(fx.survey_wide(spark, sf), F1_SURVEY).rows()
+
+
 @query("filter_equals", f"select subject, segment from ({W}) where segment = 'BUILDING'")
 def q_filter_equals(spark, sf):
     return C.filter_equals(fx.survey_wide(spark, sf), "segment", "BUILDING").select("subject", "segment")

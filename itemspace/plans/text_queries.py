@@ -207,13 +207,13 @@ def q_encode_sentences(spark, sf):
 
 @query("codebook_table", """
 with r as (select item_id, 0 as row_no, 'Q' || item_id as code, text from benchmark)
-select item_id, 1 as row_no, code, """ + clean_sql("split_part(text, chr(10), 1)") + """ as sentence from r
+select item_id, 1 as row_no, code, """ + clean_sql("replace(text, chr(10), ' ')") + """ as sentence from r
 union all select item_id, 2, code || 'b', null from r
 union all select item_id, 3, code || 'c', null from r""")
 def q_codebook_table(spark, sf):
-    """Table codebooks made of the items: a heading, a row with a quoted sentence,
-    a row without quotes and a short row."""
-    line = F.substring_index("text", "\n", 1)
+    """Table codebooks made of the items: a heading, a row with the item's whole text
+    quoted, a row without quotes and a short row."""
+    line = F.replace("text", F.lit("\n"), F.lit(" "))
     html = F.concat(
         F.lit("<table><tr><th>id</th></tr><tr><td>Q"), F.col("item_id"), F.lit('</td><td>x</td><td>say "'), line,
         F.lit('" please</td></tr><tr><td>Q'), F.col("item_id"), F.lit("b</td><td>x</td><td>unquoted</td></tr><tr><td>Q"),
@@ -222,14 +222,14 @@ def q_codebook_table(spark, sf):
 
 
 @query("parse_pipe_table", """
-select item_id, 1 as rec, 'Q' || item_id as code, """ + clean_sql("split_part(text, chr(10), 1) || ' more'") + """ as sentence,
+select item_id, 1 as rec, 'Q' || item_id as code, """ + clean_sql("replace(text, chr(10), ' ') || ' more'") + """ as sentence,
        'yesno' as values
 from benchmark
 union all select item_id, 2, 'R' || item_id, 'only a question', '' from benchmark""")
 def q_parse_pipe_table(spark, sf):
-    """Grid tables made of the items: a record over two lines, a record with a
-    missing cell, and an open tail that is dropped."""
-    line = F.substring_index("text", "\n", 1)
+    """Grid tables made of the items: a record over two lines that holds the item's
+    whole text, a record with a missing cell, and an open tail that is dropped."""
+    line = F.replace("text", F.lit("\n"), F.lit(" "))
     text = F.concat(F.lit("-----\n|Q"), F.col("item_id"), F.lit("|"), line, F.lit(" |yes|\n| |more|no|\n-----\n|R"),
                     F.col("item_id"), F.lit("|only a question|\n-----\n|tail|open|x|"))
     return RD.parse_pipe_table(fx.table(spark, sf, "benchmark").select("item_id", text.alias("text")), "item_id", "text")
