@@ -23,6 +23,7 @@ from itemspace.session import checkpoint_dir
 from itemspace.sources import fixtures as fx
 from itemspace.sources import readers as RD
 from itemspace.sources import sinks as SK
+from itemspace.streaming.keyed_scoring import start_keyed_scoring
 from itemspace.streaming.score_stream import score_batch, start_scoring
 
 
@@ -175,6 +176,21 @@ def q_score_stream(spark, sf):
     return spark.read.parquet(sink).select("subject", "k", "prediction")
 
 
+@query("score_stream_keyed", _embed_sql("max") + ",\n" + _STREAM_KM +
+       f"\nselect subject, cast(k as integer) as k, cast(prediction as integer) as prediction from {_STREAM_PRED}")
+def q_score_stream_keyed(spark, sf):
+    """The scorer with keyed state, fed with the F1 answers in files that split every
+    subject's answers."""
+    emb_raw = V.embed_subjects(fx.responses(spark, sf), fx.item_vectors(spark, sf), n_items=fx.N_ITEMS_F1)
+    shift = abs(emb_raw.agg(F.min(F.array_min("v"))).first()[0])
+    _a, centres = K.lloyd_sweep(flagship.subject_embeddings(spark, sf), [3], 5, dims=64)
+    src, sink, ck = _scratch(spark, "keyed-src"), _scratch(spark, "keyed-out"), _scratch(spark, "keyed-ck")
+    fx.responses(spark, sf).repartition(3, "item_id").write.parquet(src)
+    q = start_keyed_scoring(spark, src, sink, ck, fx.item_vectors(spark, sf), fx.N_ITEMS_F1, shift, centres[3])
+    q.awaitTermination()
+    return spark.read.parquet(f"{sink}/scores").select("subject", "k", "prediction")
+
+
 def score_static(spark, sf, centres, shift):
     """The same transform on the static table (used by tests)."""
     return score_batch(fx.responses(spark, sf), fx.item_vectors(spark, sf), fx.N_ITEMS_F1, shift, centres)
