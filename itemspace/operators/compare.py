@@ -36,12 +36,13 @@ def enumerate_pairs(runs: DataFrame, key: str = "run_id") -> DataFrame:
     return a.join(b, F.col("run_a") < F.col("run_b"))
 
 
-def random_run(predictions: DataFrame, seed: int = 42) -> DataFrame:
+def random_run(predictions: DataFrame, seed: int = 42, per_k: bool = False) -> DataFrame:
     """Random labels on each run's (subject, K) grid, uniform over the run's
-    global label range across all K (as the reference's random run)."""
-    rng = predictions.groupBy("run_id").agg(F.min("prediction").alias("_lo"), F.max("prediction").alias("_hi"))
+    global label range across all K, or with ``per_k`` over its range at that K."""
+    by = ["run_id", "k"] if per_k else ["run_id"]
+    rng = predictions.groupBy(*by).agg(F.min("prediction").alias("_lo"), F.max("prediction").alias("_hi"))
     h = det_uint32(seed, F.lit(RANDOM_RUN), "run_id", "k", "subject")
-    return (predictions.join(rng, "run_id")
+    return (predictions.join(rng, by)
             .select(F.col("run_id").alias("run_a"), "k", "subject", F.col("prediction").alias("la"),
                     (F.col("_lo") + F.pmod(h, F.col("_hi") - F.col("_lo") + 1)).cast("int").alias("lb")))
 

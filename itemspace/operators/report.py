@@ -28,6 +28,61 @@ def run_label(runs: DataFrame) -> DataFrame:
     return runs.select("run_id", F.trim(label).alias("label"))
 
 
+# Display names.  Of a parameter's pairs the first whose key the value
+# holds counts; models by their whole mode.
+NORM_NAMES = (("l1", "L1"), ("l2", "L2"))
+METHOD_NAMES = (("bisectingkmeans", "BisKMeans"), ("kmeans", "KMeans"), ("spectralcosine", "SpectralCosine"))
+REDUCER_NAMES = (("pca", "PCA"), ("umap", "UMAP"), ("nmf", "NMF"), ("dictionnarylearning", "DicLear"), ("vae", "VAE"))
+SOURCE_NAMES = {
+    "feat_raw": " FeaturesRaw", "feat_agg": " FeaturesAgglo", "feat_raw_no_norm": " FeaturesRawNoNorm",
+    "feat_agg_no_norm": " FeaturesAggloNoNorm", "llm_openai": "OpenAI", "llm_all-mpnet-base-v2": "AllMpnetBaseV2",
+    "llm_all-distilroberta-v1": "AllDistilRobertaV1",
+    "llm_distiluse-base-multilingual-cased-v2": "DistiluseBaseMultilCasedV2",
+    "llm_multi-qa-distilbert-cos-v1": "MultiQADistilbertCosV1",
+    "llm_paraphrase-multilingual-mpnet-base-v2": "ParaphMultilMpnetBaseV2",
+    "llm_msmarco-distilbert-cos-v5": "MSMarcoDistilbertCosV5", "llm_clip-vit-l-14": "ClipViTL14",
+    "llm_clip-vit-b-32-multilingual-v1": "ClipViTB32MultiV1",
+    "llm_average_word_embeddings_glove.6b.300d": "Glove6B300d",
+    "llm_facebook-dpr-ctx_encoder-multiset-base": "DPRCtxMultiBase",
+    "llm_facebook-dpr-question_encoder-multiset-base": "DPRQuestMultiBase", "llm_jina-embeddings-v2-base-en": "JinaV2BaseEn",
+}
+
+
+def _named(col: str, names: Sequence[tuple[str, str]], unknown: str) -> Column:
+    out = F.lit(unknown)
+    for key, name in reversed(names):
+        out = F.when(F.lower(col).contains(key), F.lit(name)).otherwise(out)
+    return out
+
+
+def display_name(runs: DataFrame) -> DataFrame:
+    """(run_id, label) by the name tables: source, method, norm, reducer and D with
+    the number of dimensions; what no table names ends in '?'.  A mode that is neither a
+    source nor of a model has no label."""
+    mode = F.lower("mode")
+    known = F.create_map(*[F.lit(x) for kv in SOURCE_NAMES.items() for x in kv])
+    source = F.coalesce(F.try_element_at(known, mode), F.when(mode.startswith("llm_random"), F.concat(
+        F.lit(" RandomVec"), F.replace(mode, F.lit("llm_random_"), F.lit("")), F.lit("D"))),
+        F.when(mode.startswith("llm_"), F.lit("sbert?")))
+    d = F.concat(F.lit("D"), F.coalesce(F.col("n_components").cast("string"), F.lit("OrigD")))
+    name = F.concat(source, F.lit(" "), _named("cluster_method", METHOD_NAMES, "meth?"), F.lit(" "),
+                    _named("norm", NORM_NAMES, "norm?"), F.lit(" "), _named("dimred_method", REDUCER_NAMES, "dimred?"), F.lit(" "), d)
+    return runs.select("run_id", F.when(F.col("run_id") == RANDOM_RUN, F.lit("  RandomGuess")).otherwise(name).alias("label"))
+
+
+PARAMS = ("mode", "norm", "cluster_method", "dimred_method", "n_components")
+
+
+def attach_run_params(pairs: DataFrame, runs: DataFrame, params: Sequence[str] = PARAMS) -> DataFrame:
+    """``pairs`` with every run parameter of both sides (<param>A, <param>B; null where the
+    run has none, as the random run)."""
+    out = pairs
+    for side in "AB":
+        key = f"run_{side.lower()}"
+        out = out.join(runs.select(F.col("run_id").alias(key), *[F.col(p).alias(f"{p}{side}") for p in params]), key, "left")
+    return out
+
+
 def exclude_runs(pairs: DataFrame, tokens: Sequence[str], a: str = "run_a", b: str = "run_b") -> DataFrame:
     """Drop pairs whose run name contains any token (case-insensitive)."""
     cond = F.lit(False)
@@ -36,13 +91,21 @@ def exclude_runs(pairs: DataFrame, tokens: Sequence[str], a: str = "run_a", b: s
     return pairs.where(~cond)
 
 
-def check_unique_runs(pairs: DataFrame, a: str = "run_a", b: str = "run_b") -> DataFrame:
-    """Pairs occurring more than once, or a run paired with itself."""
+def check_unique_runs(pairs: DataFrame, a: str = "run_a", b: str = "run_b", labels: DataFrame | None = None) -> DataFrame:
+    """Pairs occurring more than once, or a run paired with itself; with ``labels`` (run_id,
+    label) also pairs of different runs that are shown under one name."""
     dup = pairs.groupBy(a, b).agg(F.count("*").alias("n")).where("n > 1") \
         .select(F.lit("duplicate_pair").alias("rule"), a, b, "n")
     same = pairs.where(F.col(a) == F.col(b)).groupBy(a, b).agg(F.count("*").alias("n")) \
         .select(F.lit("self_pair").alias("rule"), a, b, "n")
-    return dup.unionByName(same)
+    found = dup.unionByName(same)
+    if labels is None:
+        return found
+    named = pairs.where(F.col(a) != F.col(b))
+    for c in (a, b):
+        named = named.join(labels.select(F.col("run_id").alias(c), F.col("label").alias(f"_{c}")), c)
+    alike = named.where(F.col(f"_{a}") == F.col(f"_{b}")).groupBy(a, b).agg(F.count("*").alias("n"))
+    return found.unionByName(alike.select(F.lit("same_name").alias("rule"), a, b, "n"))
 
 
 def _both_ways(df: DataFrame, val_ab: Column, val_ba: Column, metric: Column) -> DataFrame:
@@ -70,10 +133,13 @@ def random_threshold(scores: DataFrame, k: int) -> DataFrame:
     return out.select(nudge("f1"), nudge("randindex"))
 
 
-def metric_maxima(run_metrics: DataFrame, k: int, metrics: Sequence[str] = INTRINSIC) -> DataFrame:
+def metric_maxima(run_metrics: DataFrame, k: int, metrics: Sequence[str] = INTRINSIC,
+                  pairs: DataFrame | None = None) -> DataFrame:
     """Best value per intrinsic metric at K (floor 0); silhouette mapped to
-    (best + 1) / 2."""
+    (best + 1) / 2.  With ``pairs`` only over the runs that stand on a pair's first side."""
     rm = run_metrics.where(F.col("k") == k)
+    if pairs is not None:
+        rm = rm.join(pairs.select(F.col("run_a").alias("run_id")).distinct(), "run_id", "left_semi")
     aggs = []
     for m in metrics:
         best = F.greatest(F.max(m), F.lit(0.0))
@@ -168,3 +234,10 @@ def similarity_nodes(edges: DataFrame, feature_tokens: Sequence[str] = ("feat_ra
     names = edges.select(F.col("src").alias("name")).unionByName(edges.select(F.col("dst").alias("name"))).distinct()
     is_feat = reduce(lambda x, y: x | y, [F.col("name").contains(t) for t in feature_tokens])
     return names.select("name", F.when(is_feat, F.lit("feature")).otherwise(F.lit("model")).alias("kind"))
+
+
+def labelled_edges(edges: DataFrame, feature_tokens: Sequence[str] = ("feat_raw", "feat_agg")) -> DataFrame:
+    """``edges`` with show_label: an edge's weight is written where either end is a feature node."""
+    def feature(c: str) -> Column:
+        return reduce(lambda x, y: x | y, [F.col(c).contains(t) for t in feature_tokens])
+    return edges.withColumn("show_label", feature("src") | feature("dst"))

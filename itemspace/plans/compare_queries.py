@@ -117,6 +117,16 @@ def q_random_run(spark, sf):
     return CP.random_run(grid_predictions(spark, sf))
 
 
+@query("random_run_per_k", "with " + GRID + f""",
+rng as (select run_id, k, min(prediction) as lo, max(prediction) as hi from pred group by run_id, k)
+select p.run_id as run_a, p.k, p.subject, p.prediction as la,
+       cast(lo + cast('0x' || substr(md5(concat_ws(':', '42', 'randomGuess', cast(p.run_id as varchar),
+            cast(p.k as varchar), cast(p.subject as varchar))), 1, 8) as bigint) % (hi - lo + 1) as integer) as lb
+from pred p join rng using (run_id, k)""")
+def q_random_run_per_k(spark, sf):
+    return CP.random_run(grid_predictions(spark, sf), per_k=True)
+
+
 @query("enumerate_pairs", "with " + GRID + """
 select a.run_id as run_a, b.run_id as run_b from (select distinct run_id from pred) a
 join (select distinct run_id from pred) b on a.run_id < b.run_id""")

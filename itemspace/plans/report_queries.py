@@ -11,6 +11,7 @@ from itemspace.plans.compare_queries import (
     CMP, GRID, METRIC_NAMES, RUNS, grid_predictions, grid_run_metrics, grid_runs,
 )
 from itemspace.plans.sqlgen import metric_ctes
+from itemspace.sources import fixtures as fx
 
 K_REPORT = 3
 
@@ -255,3 +256,80 @@ def q_attach_run_params(spark, sf):
     return (m.join(a, "run_a").join(b, "run_b", "left")
             .select("run_a", "run_b", "normA", "normB", "cluster_methodA",
                     F.round("perf_f1_mean", 6).alias("perf_f1_mean")))
+
+
+@query("metric_maxima_first_side", RM_SQL + f"\nselect round(davies_bouldin_score, 5) as davies_bouldin_score, "
+       f"round(calinski_harabasz_score, 4) as calinski_harabasz_score, round(silhouette_score, 5) as silhouette_score "
+       f"from ({_BEST} and run_id <> '{max(r for r, _ in RUNS)}')")
+def q_metric_maxima_first_side(spark, sf):
+    """The last run by name stands only on second sides."""
+    pairs = CP.enumerate_pairs(grid_runs(spark, sf))
+    m = RP.metric_maxima(grid_run_metrics(spark, sf), K_REPORT, pairs=pairs)
+    return m.select(*[F.round(c, d).alias(c) for c, d in _R.items()])
+
+
+_PARAM_ROWS = " union all ".join(
+    f"select '{r}' as run_id, 'embedding' as mode, '{'none' if p is None else f'l{p}'}' as norm, 'kmeans' as cluster_method, "
+    "'none' as dimred_method, null::integer as n_components" for r, p in RUNS)
+
+
+@query("pair_run_params", CMP + f""",
+summ as (select run_a, run_b, avg(perf_f1_raw) as pf from cmp_scores group by run_a, run_b), rp as ({_PARAM_ROWS})
+select s.run_a, s.run_b, """ + ", ".join(f"{x}.{p} as {p}{x.upper()}" for x in "ab" for p in RP.PARAMS) + """,
+  round(s.pf, 6) as perf_f1_mean
+from summ s left join rp a on a.run_id = s.run_a left join rp b on b.run_id = s.run_b""")
+def q_pair_run_params(spark, sf):
+    """All five parameters of both sides."""
+    m = CP.score_margin(CP.pairwise_scores(grid_predictions(spark, sf)))
+    return (RP.attach_run_params(m.select("run_a", "run_b", "perf_f1_mean"), grid_runs(spark, sf))
+            .withColumn("perf_f1_mean", F.round("perf_f1_mean", 6)))
+
+
+@query("labelled_edges", CMP + ",\n" + _EDGES + """
+select src, dst, round(weight, 6) as weight, contains(src, 'l1') or contains(dst, 'l1') as show_label from ed""")
+def q_labelled_edges(spark, sf):
+    scores = CP.pairwise_scores(grid_predictions(spark, sf))
+    e = RP.similarity_edges(CP.score_margin(scores), scores, K_REPORT)
+    return RP.labelled_edges(e, ("l1",)).select("src", "dst", F.round("weight", 6).alias("weight"), "show_label")
+
+
+# Parameter tables made of the events: every kind of event as a model, and the sources.
+_NAMED = """(select distinct event_type || '|' || m as run_id, case m when 'llm' then 'llm_' || event_type
+    when 'random' then 'llm_random_' || length(event_type) else m end as mode,
+  case when length(event_type) % 2 = 0 then 'l1' else 'none' end as norm,
+  case when length(event_type) % 3 = 0 then 'BisectingKMeans' when length(event_type) % 3 = 1 then 'kmeans' else event_type end
+    as cluster_method,
+  case when length(event_type) % 2 = 0 then 'pca' else event_type end as dimred_method,
+  case when length(event_type) % 2 = 0 then length(event_type) end as n_components
+from events, (values ('llm'), ('random'), ('feat_raw'), ('feat_agg_no_norm')) t(m))"""
+
+
+@query("display_name", f"""
+select run_id, case when mode = 'feat_raw' then ' FeaturesRaw' when mode = 'feat_agg_no_norm' then ' FeaturesAggloNoNorm'
+    when starts_with(mode, 'llm_random') then ' RandomVec' || replace(mode, 'llm_random_', '') || 'D' else 'sbert?' end
+  || ' ' || case when cluster_method = 'BisectingKMeans' then 'BisKMeans' when cluster_method = 'kmeans' then 'KMeans' else 'meth?' end
+  || ' ' || case norm when 'l1' then 'L1' else 'norm?' end || ' ' || case dimred_method when 'pca' then 'PCA' else 'dimred?' end
+  || ' D' || coalesce(cast(n_components as varchar), 'OrigD') as label
+from {_NAMED}""")
+def q_display_name(spark, sf):
+    kind, m = F.col("event_type"), F.col("m")
+    n = F.length(kind)
+    runs = (fx.table(spark, sf, "events").select("event_type").distinct()
+            .withColumn("m", F.explode(F.array(*[F.lit(x) for x in ("llm", "random", "feat_raw", "feat_agg_no_norm")])))
+            .select(F.concat_ws("|", kind, m).alias("run_id"),
+                    F.when(m == "llm", F.concat(F.lit("llm_"), kind)).when(m == "random", F.concat(F.lit("llm_random_"), n.cast("string")))
+                    .otherwise(m).alias("mode"),
+                    F.when(n % 2 == 0, F.lit("l1")).otherwise(F.lit("none")).alias("norm"),
+                    F.when(n % 3 == 0, F.lit("BisectingKMeans")).when(n % 3 == 1, F.lit("kmeans")).otherwise(kind).alias("cluster_method"),
+                    F.when(n % 2 == 0, F.lit("pca")).otherwise(kind).alias("dimred_method"),
+                    F.when(n % 2 == 0, n).alias("n_components")))
+    return RP.display_name(runs)
+
+
+@query("same_name_runs", CMP + """
+select 'same_name' as rule, run_a, run_b, count(*) as n from cmp_scores where run_b <> 'randomGuess' group by run_a, run_b""")
+def q_same_name_runs(spark, sf):
+    """Runs whose names leave out what tells them apart: every pair is found."""
+    pairs = CP.pairwise_scores(grid_predictions(spark, sf)).select("run_a", "run_b")
+    labels = RP.display_name(grid_runs(spark, sf).withColumn("norm", F.lit("l2")).withColumn("mode", F.lit("feat_raw")))
+    return RP.check_unique_runs(pairs, labels=labels).where("rule = 'same_name'")
