@@ -296,9 +296,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_
                   item_id: str = "item_id", item_text: str = "text", remove: bool = False,
                   block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with _words (their number), _spans (merged, word numbers) and
-    _items (ids of the items that occur).  With ``remove`` the spans are cut
-    out of the text too, until no test phrase is left."""
+    _items (ids of the items that occur); columns of these names are replaced.  With
+    ``remove`` the spans are cut out of the text too, until no test phrase is left."""
     spark = docs.sparkSession
+    docs = docs.drop(*[n for n, _ in ADDED])
     prepare(spark)
     queue = blocks(items, item_id, item_text, window, block_bytes)
     now, following = next(queue), next(queue, None)

@@ -162,9 +162,15 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", folds:
              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted for every document, learnt from the
     labelled documents outside the held-out fold (crc32 of the id)."""
+    return scored(docs, labels, label, folds, held, id_col, text_col).drop("text_hash")
+
+
+def scored(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 3, held: int = 1,
+           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``classify`` with text_hash, the hash of the text (null: empty) that the score is of."""
     spark = docs.sparkSession
     prepare(spark)
-    source = narrow(docs, id_col, text_col)
+    source = narrow(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def features(batches):
@@ -172,10 +178,10 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", folds:
             x = statistics(batch.column("text"))
             bounds = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds), pa.array(x.ravel()))],
-                names=["doc_id", "x"])
+                [batch.column("doc_id"), batch.column("text_hash"),
+                 pa.ListArray.from_arrays(pa.array(bounds), pa.array(x.ravel()))], names=["doc_id", "text_hash", "x"])
 
-    featured = stored(source.mapInArrow(features, f"doc_id {kind}, x array<double>"), "quality")
+    featured = stored(source.mapInArrow(features, f"doc_id {kind}, text_hash long, x array<double>"), "quality")
     known = single_labels(labels.withColumn("_y", F.col(label)), "_y").where(id_bucket(F.col("doc_id"), folds) != held)
     p = len(NAMES)
     flat = np.zeros((2, 1 + p + p * p))
@@ -187,8 +193,9 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", folds:
     def scores(batches):
         for batch in batches:
             s = model.value.score(np.array(batch.column("x").flatten()).reshape(-1, p))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s)], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(s)],
+                                             names=["doc_id", "text_hash", "score"])
 
-    return featured.mapInArrow(scores, f"doc_id {kind}, score double").select(
-        "doc_id", F.coalesce(id_bucket(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "score",
+    return featured.mapInArrow(scores, f"doc_id {kind}, text_hash long, score double").select(
+        "doc_id", "text_hash", F.coalesce(id_bucket(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
