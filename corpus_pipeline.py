@@ -5,6 +5,11 @@ decontamination, packing.
 works on all documents that its predecessor kept and returns a DataFrame, which
 is written as Parquet and read as the next stage's docs.  All but the last
 return the columns of documents.
+
+Cases, in every stage: a null text counts as empty; documents without words or lines are
+left alone by line dedup and decontamination; rows that share an id are judged each by
+its own text; rows with a null id take part; further columns, whatever their names,
+pass through; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,11 +23,16 @@ from itemspace.sources.fixtures import table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts to be of label 1 stay.  Rows are
-    matched by id; those without an id cannot be told apart and stay."""
-    scored = quality_classifier.classify(docs, table(spark, sf_dir, "labels"))
-    rejected = scored.where("predicted = 0").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that the classifier predicts to be of label 1 stay.  The verdict is
+    one on a text, so a row is matched by its id (null too) and its text's hash."""
+    scored = quality_classifier.scored(docs, table(spark, sf_dir, "labels"))
+    rejected = (scored.where("predicted = 0").select(F.col("doc_id").alias("rejected_id"), F.col("text_hash").alias("rejected_hash"))
+                .distinct())
+    # the row travels as one column, so that its names clash with nothing
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"),
+                       F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
+    kept = rows.join(rejected, F.col("id").eqNullSafe(F.col("rejected_id")) & (F.col("hash") == F.col("rejected_hash")), "left_anti")
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
