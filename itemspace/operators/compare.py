@@ -18,6 +18,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -314,22 +315,45 @@ def subject_diff(a: DataFrame, b: DataFrame, key: str = "subject") -> DataFrame:
     return agg.withColumn("diff_pct", F.col("n_diff") / F.floor((F.col("n_a") + F.col("n_b")) / 2) * 100)
 
 
+def common_counts(predictions: DataFrame, key: str = "subject") -> DataFrame:
+    """(run_a, run_b, common) for run_a < run_b: subjects that both runs hold.  A subject is one
+    row with the set of its runs; every task adds its sets up as a runs x runs matrix, so
+    there is no row per subject and pair.  Only the run names reach the driver."""
+    ship_package(predictions.sparkSession)
+    names = sorted(r[0] for r in predictions.select("run_id").distinct().collect())
+    if not names:
+        return predictions.sparkSession.createDataFrame([], "run_a string, run_b string, common long")
+    held = F.array(*[F.lit(n) for n in names])
+    sets = predictions.groupBy(key).agg(F.collect_set((F.array_position(held, F.col("run_id")) - 1).cast("int")).alias("r"))
+
+    def fn(batches):
+        total = np.zeros((len(names), len(names)))
+        for b in batches:
+            r = b.column("r")
+            x = np.zeros((b.num_rows, len(names)))
+            x[np.repeat(np.arange(b.num_rows), np.diff(r.offsets.to_numpy())), r.flatten().to_numpy()] = 1
+            total += x.T @ x
+        i, j = np.nonzero(np.triu(total, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)),
+                                          pa.array(total[i, j].astype(np.int64))], names=["i", "j", "n"])
+    counts = sets.select("r").mapInArrow(fn, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("common"))
+    return counts.select(F.element_at(held, F.col("i") + 1).alias("run_a"), F.element_at(held, F.col("j") + 1).alias("run_b"), "common")
+
+
 def check_comparable(predictions: DataFrame) -> DataFrame:
     """For every pair of runs (run_a < run_b): same_k (both hold the same K), same_n
     (equally many subjects), identical (every label equal) and n_diff, the subjects
     that only one of them has, with diff_pct, their share of the mean size.
 
     Each run is summed up in one row (K list, counts, an order-free digest), and
-    common subjects are counted by a join on the subject."""
+    common subjects are counted by ``common_counts``."""
     runs = predictions.groupBy("run_id").agg(
         F.sort_array(F.collect_set("k")).alias("ks"), F.count_distinct("subject").alias("n"),
         F.count(F.lit(1)).alias("rows"),
         F.sum(F.xxhash64("subject", "k", "prediction").cast("decimal(38,0)")).alias("digest"))
     a = runs.select(*[F.col(c).alias(f"{c}_a") for c in runs.columns]).withColumnRenamed("run_id_a", "run_a")
     b = runs.select(*[F.col(c).alias(f"{c}_b") for c in runs.columns]).withColumnRenamed("run_id_b", "run_b")
-    who = predictions.select("run_id", "subject").distinct()
-    common = (who.withColumnRenamed("run_id", "run_a").join(who.withColumnRenamed("run_id", "run_b"), "subject")
-              .where("run_a < run_b").groupBy("run_a", "run_b").agg(F.count(F.lit(1)).alias("common")))
+    common = common_counts(predictions)
     n_diff = F.col("n_a") + F.col("n_b") - 2 * F.coalesce("common", F.lit(0))
     return (a.join(b, F.col("run_a") < F.col("run_b")).join(common, ["run_a", "run_b"], "left")
             .select("run_a", "run_b", (F.col("ks_a") == F.col("ks_b")).alias("same_k"),

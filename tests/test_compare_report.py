@@ -116,3 +116,12 @@ def test_relative_metric_share_and_edges(spark):
     mi, mea = 0.1, 0.2  # per-K averages at K=3: 0.3 and 0.1
     w = (0.3 + 0.1) / 2
     assert abs(e[("a", "b")][0] - ((w - mi + 0.1) / (mea - mi + 0.1) + 2) ** 2) < 1e-12
+
+
+def test_common_counts_of_ragged_runs(spark):
+    rows = [(r, k, s, 0) for r, n in (("a", 10), ("b", 7), ("c", 3)) for s in range(n) for k in (2, 3)]
+    rows += [("d", 2, s, 0) for s in range(100, 105)]
+    p = spark.createDataFrame(rows, "run_id string, k int, subject long, prediction int").repartition(3)
+    got = {(r.run_a, r.run_b): r.common for r in CP.common_counts(p).collect()}
+    assert got == {("a", "b"): 7, ("a", "c"): 3, ("b", "c"): 3}
+    assert CP.common_counts(p.limit(0)).collect() == []
