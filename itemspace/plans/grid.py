@@ -2,8 +2,8 @@
 the dimension rule skips, run each remaining cell as Spark jobs on shared
 cached inputs, and collect predictions, run metrics and a failure table.
 
-The loop over cells runs on the driver (each cell submits its own jobs);
-inputs shared by several cells (vectors of one (mode, norm)) are built once
+The loop over cells runs on the driver (each cell submits its own jobs; the durable form
+several cells at a time, and a restarted driver goes on where it was); inputs shared by several cells (vectors of one (mode, norm)) are built once
 and persisted for the whole grid.
 """
 
@@ -11,9 +11,13 @@ from __future__ import annotations
 
 import functools
 import itertools
+import threading
 import time
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,48 +69,122 @@ def cluster_vectors(vec: DataFrame, method: str, ks: Sequence[int], key: str, n_
     return functools.reduce(DataFrame.unionByName, [p.select(key, "k", "prediction") for p in parts])
 
 
+class _Inputs:
+    """Vectors of every (dataset, mode, norm), built once and persisted for the whole grid."""
+
+    def __init__(self, build_vectors: Callable[[dict], DataFrame]):
+        self.build, self.held, self.lock = build_vectors, {}, threading.Lock()
+
+    def of(self, cell: dict) -> DataFrame:
+        key = (cell.get("dataset"), cell["mode"], cell["norm"])
+        with self.lock:
+            if key not in self.held:
+                self.held[key] = persist(self.build(cell))
+            return self.held[key]
+
+    def close(self) -> None:
+        for v in self.held.values():
+            v.unpersist()
+
+
+def run_cell(cell: dict, inputs: _Inputs, ks: Sequence[int], rounds: int, key: str,
+             n_init: int) -> tuple[DataFrame | None, DataFrame | None, tuple]:
+    """(predictions, metrics, status row) of one cell.  A cell whose reducer target is not below
+    the input dimension is 'skipped'; an exception marks it 'failed' with its reason."""
+    t0 = time.time()
+    try:
+        vec = inputs.of(cell)
+        dims = vector_dims(vec)
+        nc = cell.get("n_components")
+        method = cell.get("dimred_method") or "pca"
+        rule = RDX.dimred_rule(nc, dims, method)
+        if rule == "skipped":
+            return None, None, (cell["run_id"], "skipped",
+                                f"{method} to {nc} of {dims} dimensions would repeat the unreduced cell", 0.0, None)
+        if rule == "reduce":
+            vec, dims = materialize(reduce_vectors(vec, method, nc, key, dims)), nc
+        a = materialize(cluster_vectors(vec, cell.get("cluster_method") or "kmeans", ks, key, n_init, rounds))
+        st = M.cluster_stats(a.join(vec, key), ["k"], dims=dims)
+        # spectral clusters have no inertia of their own
+        cost = F.lit(None).cast("double") if "spectral" in (cell.get("cluster_method") or "") else F.sum("sse")
+        m = (M.davies_bouldin(st, ["k"]).join(M.calinski_harabasz(st, ["k"]), "k")
+             .join(M.silhouette(vec, a), "k").join(st.groupBy("k").agg(cost.alias("inertia")), "k"))
+        return (a.select(F.lit(cell["run_id"]).alias("run_id"), "k", key, "prediction"),
+                m.withColumn("run_id", F.lit(cell["run_id"])).withColumn("df_shape_ndim", F.lit(dims)),
+                (cell["run_id"], "ok", None, time.time() - t0, dims))
+    except Exception as e:  # noqa: BLE001 - the grid records the failure and goes on
+        return None, None, (cell["run_id"], "failed", f"{type(e).__name__}: {e}", time.time() - t0, None)
+
+
+STATUS = "run_id string, status string, reason string, seconds double, n_dims int"
+
+
 def run_grid(spark: SparkSession, grid: DataFrame, build_vectors: Callable[[dict], DataFrame],
              ks: Sequence[int], rounds: int = 300, key: str = "subject",
              n_init: int = 10) -> tuple[DataFrame, DataFrame | None, DataFrame]:
-    """Run every cell; returns (predictions, run_metrics, status).  A cell
-    whose reducer target is not below the input dimension is 'skipped'; an
-    exception marks the cell 'failed' with its reason and the grid goes on.
+    """Run every cell; returns (predictions, run_metrics, status).
     k-means takes the best of ``n_init`` starts, each until its centres rest or
     ``rounds`` are over."""
     cells = [r.asDict() for r in grid.orderBy("run_id").collect()]  # the parameter table, not data
-    cache: dict[tuple, DataFrame] = {}
+    inputs = _Inputs(build_vectors)
     preds, mets, status = [], [], []
     for cell in cells:
-        t0 = time.time()
-        try:
-            ck = (cell.get("dataset"), cell["mode"], cell["norm"])
-            if ck not in cache:
-                cache[ck] = persist(build_vectors(cell))
-            vec = cache[ck]
-            dims = vector_dims(vec)
-            nc = cell.get("n_components")
-            method = cell.get("dimred_method") or "pca"
-            rule = RDX.dimred_rule(nc, dims, method)
-            if rule == "skipped":
-                status.append((cell["run_id"], "skipped",
-                               f"{method} to {nc} of {dims} dimensions would repeat the unreduced cell", 0.0, None))
-                continue
-            if rule == "reduce":
-                vec, dims = materialize(reduce_vectors(vec, method, nc, key, dims)), nc
-            a = materialize(cluster_vectors(vec, cell.get("cluster_method") or "kmeans", ks, key, n_init, rounds))
-            st = M.cluster_stats(a.join(vec, key), ["k"], dims=dims)
-            # spectral clusters have no inertia of their own
-            cost = F.lit(None).cast("double") if "spectral" in (cell.get("cluster_method") or "") else F.sum("sse")
-            m = (M.davies_bouldin(st, ["k"]).join(M.calinski_harabasz(st, ["k"]), "k")
-                 .join(M.silhouette(vec, a), "k").join(st.groupBy("k").agg(cost.alias("inertia")), "k"))
-            preds.append(a.select(F.lit(cell["run_id"]).alias("run_id"), "k", key, "prediction"))
-            mets.append(m.withColumn("run_id", F.lit(cell["run_id"])).withColumn("df_shape_ndim", F.lit(dims)))
-            status.append((cell["run_id"], "ok", None, time.time() - t0, dims))
-        except Exception as e:  # noqa: BLE001 - the grid records the failure and goes on
-            status.append((cell["run_id"], "failed", f"{type(e).__name__}: {e}", time.time() - t0, None))
-    for v in cache.values():
-        v.unpersist()
-    st_df = spark.createDataFrame(status, "run_id string, status string, reason string, seconds double, n_dims int")
+        pred, met, row = run_cell(cell, inputs, ks, rounds, key, n_init)
+        status.append(row)
+        if pred is not None:
+            preds.append(pred)
+            mets.append(met)
+    inputs.close()
     empty_p = spark.createDataFrame([], f"run_id string, k int, {key} long, prediction int")
     pred = functools.reduce(DataFrame.unionByName, preds) if preds else empty_p
-    return pred, functools.reduce(DataFrame.unionByName, mets) if mets else None, st_df
+    return (pred, functools.reduce(DataFrame.unionByName, mets) if mets else None,
+            spark.createDataFrame(status, STATUS))
+
+
+METRICS = ("k int, davies_bouldin_score double, calinski_harabasz_score double, silhouette_score double, "
+           "inertia double, df_shape_ndim int, run_id string")
+
+
+def _status(spark: SparkSession, folder: str) -> DataFrame:
+    try:
+        return spark.read.schema(STATUS).parquet(f"{folder}/status")
+    except AnalysisException:                         # no cell has finished yet
+        return spark.createDataFrame([], STATUS)
+
+
+def run_grid_durable(spark: SparkSession, grid: DataFrame, build_vectors: Callable[[dict], DataFrame], ks: Sequence[int],
+                     folder: str, rounds: int = 300, key: str = "subject", n_init: int = 10,
+                     workers: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``run_grid`` that a restarted driver takes up where it was: ``folder`` (shared) gets each
+    cell's predictions and metrics and then its status row, a partition per run, overwritten
+    if written twice.  Cells whose status is 'ok' or 'skipped' are not run again; failed ones
+    are.  ``workers`` cells run at a time, each in its own scheduler pool.  Returns (predictions,
+    run_metrics, status) of the grid's cells as read back."""
+    names = grid.select("run_id")
+    over = _status(spark, folder).where(F.col("status").isin("ok", "skipped")).select("run_id")
+    cells = [r.asDict() for r in grid.join(over, "run_id", "left_anti").orderBy("run_id").collect()]
+    inputs = _Inputs(build_vectors)
+
+    def work(cell: dict) -> None:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", cell["run_id"])
+        pred, met, row = run_cell(cell, inputs, ks, rounds, key, n_init)
+        at = f"run_id={cell['run_id']}"
+        if pred is not None:
+            pred.drop("run_id").write.mode("overwrite").parquet(f"{folder}/predictions/{at}")
+            met.drop("run_id").write.mode("overwrite").parquet(f"{folder}/metrics/{at}")
+        spark.createDataFrame([row], STATUS).drop("run_id").coalesce(1).write.mode("overwrite").parquet(f"{folder}/status/{at}")
+
+    try:
+        with ThreadPoolExecutor(max_workers=workers) as pool:
+            for job in [pool.submit(inheritable_thread_target(spark)(work), c) for c in cells]:
+                job.result()
+    finally:
+        inputs.close()
+
+    def back(what: str, schema: str) -> DataFrame:
+        try:
+            return spark.read.schema(schema).parquet(f"{folder}/{what}").join(names, "run_id", "left_semi")
+        except AnalysisException:                     # every cell was skipped or failed
+            return spark.createDataFrame([], schema)
+    return (back("predictions", f"k int, {key} long, prediction int, run_id string"), back("metrics", METRICS),
+            _status(spark, folder).join(names, "run_id", "left_semi"))

@@ -16,7 +16,7 @@ from itemspace.operators import vectors as V
 from itemspace.plans import flagship
 from itemspace.plans.catalog import query
 from itemspace.plans.compare_queries import GRID, grid_predictions
-from itemspace.plans.grid import param_grid, run_grid
+from itemspace.plans.grid import param_grid, run_grid, run_grid_durable
 from itemspace.plans.sqlgen import kmeans_ctes
 from itemspace.plans.survey_queries import _embed_sql
 from itemspace.session import checkpoint_dir
@@ -101,6 +101,32 @@ def q_run_grid(spark, sf):
             .select("mode", "norm", "dimred_method", "n_components", "status", "n_dims", "n_subjects"))
 
 
+_DURABLE_CELLS = (("pca", None), ("pca", 3), ("nmf", None))
+
+
+@query("run_grid_durable", f"""
+with c as (select * from (values {", ".join(f"('{d}', {'null' if n is None else n})" for d, n in _DURABLE_CELLS)})
+           t(dimred_method, n_components)),
+ns as (select count(*) as n from (select subject from ({fx.RESPONSES_SQL}) group by subject
+                                  having count(answer) = {fx.N_ITEMS_F1}))
+select c.dimred_method, c.n_components, case dimred_method when 'nmf' then 'skipped' else 'ok' end as status,
+       case dimred_method when 'nmf' then null else (select n from ns) end as n_subjects,
+       case dimred_method when 'nmf' then null else 2 end as n_labels
+from c""")
+def q_run_grid_durable(spark, sf):
+    """A grid whose first cell is run alone, and that is then taken up as a whole."""
+    opts = {"dataset": ["F1"], "norm": ["l2"], "cluster_method": ["kmeans"], "mode": ["feat_raw"]}
+    grid = functools.reduce(lambda a, b: a.unionByName(b), [
+        param_grid(spark, {**opts, "dimred_method": [d], "n_components": [n]}) for d, n in _DURABLE_CELLS])
+    folder, build = _scratch(spark, "grid"), _build_vectors(spark, sf)
+    run_grid_durable(spark, grid.where("dimred_method = 'pca' and n_components is null"), build, [2], folder, n_init=3)
+    pred, _met, status = run_grid_durable(spark, grid, build, [2], folder, n_init=3)
+    n = pred.groupBy("run_id").agg(F.count_distinct("subject").alias("n_subjects"),
+                                   F.count_distinct("prediction").cast("int").alias("n_labels"))
+    return (grid.join(status, "run_id").join(n, "run_id", "left")
+            .select("dimred_method", "n_components", "status", "n_subjects", "n_labels"))
+
+
 _METHODS = (("kmeans", "feat_agg", "ok"), ("bisectingkmeans", "feat_agg_no_norm", "ok"),
             ("spectral", "feat_raw", "ok"), ("spectralcosine", "llm_random_16", "ok"),
             ("no such method", "feat_raw", "failed"), ("kmeans", "llm_random_x", "failed"))
