@@ -11,6 +11,7 @@ from itemspace.operators import vectors as V
 from itemspace.plans.catalog import query
 from itemspace.plans.sqlgen import md5_u32
 from itemspace.sources import fixtures as fx
+from itemspace.sources import line_tables as LT
 from itemspace.sources import readers as RD
 
 HASH_DIMS = 64
@@ -141,7 +142,7 @@ def q_codebook_html(spark, sf):
     return r.select("page_id", "row_no", F.col("cells")[0].alias("link_text"), F.col("hrefs")[0].alias("href"))
 
 
-@query("stitch_numbered_lines", f"""
+_STITCH_SQL = f"""
 with l as (select doc_id, pos, line from (
              select doc_id, unnest(list_filter(string_split(text, chr(10)), lambda x: x <> '')) as line,
                     generate_subscripts(list_filter(string_split(text, chr(10)), lambda x: x <> ''), 1) as pos
@@ -152,12 +153,22 @@ g as (select doc_id, pos, line,
 r as (select doc_id, rec, string_agg(line, '' order by pos) as rec_text from g group by doc_id, rec)
 select doc_id, cast(rec as integer) as rec_no,
        md5({clean_sql("regexp_replace(rec_text, '^([0-9.]\\s*)*', '')")}) as md5
-from r""")
+from r"""
+
+
+@query("stitch_numbered_lines", _STITCH_SQL)
 def q_stitch_numbered_lines(spark, sf):
     s = RD.stitch_numbered_lines(_docs(spark, sf))
     return s.select("doc_id", "rec_no", F.md5("sentence").alias("md5"))
 
 
+@query("stitch_line_table", _STITCH_SQL)
+def q_stitch_line_table(spark, sf):
+    """The same from a table of lines, whatever the partitions that hold a document."""
+    s = LT.stitch_line_table(LT.line_table(_docs(spark, sf)))
+    return s.select("doc_id", "rec_no", F.md5("sentence").alias("md5"))
+
+
 @query("maxpool_windows", f"""
 with w as (select doc_id, string_split(text, ' ') as words from documents),
 m as (select doc_id, words, len(words) as n,
@@ -221,18 +232,31 @@ def q_codebook_table(spark, sf):
     return RD.codebook_html(fx.table(spark, sf, "benchmark").select("item_id", html.alias("html")), "item_id", "html")
 
 
-@query("parse_pipe_table", """
-select item_id, 1 as rec, 'Q' || item_id as code, """ + clean_sql("replace(text, chr(10), ' ') || ' more'") + """ as sentence,
-       'yesno' as values
-from benchmark
-union all select item_id, 2, 'R' || item_id, 'only a question', '' from benchmark""")
-def q_parse_pipe_table(spark, sf):
+def _pipe_docs(spark, sf):
     """Grid tables made of the items: a record over two lines that holds the item's
     whole text, a record with a missing cell, and an open tail that is dropped."""
     line = F.replace("text", F.lit("\n"), F.lit(" "))
     text = F.concat(F.lit("-----\n|Q"), F.col("item_id"), F.lit("|"), line, F.lit(" |yes|\n| |more|no|\n-----\n|R"),
                     F.col("item_id"), F.lit("|only a question|\n-----\n|tail|open|x|"))
-    return RD.parse_pipe_table(fx.table(spark, sf, "benchmark").select("item_id", text.alias("text")), "item_id", "text")
+    return fx.table(spark, sf, "benchmark").select("item_id", text.alias("text"))
+
+
+_PIPE_SQL = """
+select item_id, 1 as rec, 'Q' || item_id as code, """ + clean_sql("replace(text, chr(10), ' ') || ' more'") + """ as sentence,
+       'yesno' as values
+from benchmark
+union all select item_id, 2, 'R' || item_id, 'only a question', '' from benchmark"""
+
+
+@query("parse_pipe_table", _PIPE_SQL)
+def q_parse_pipe_table(spark, sf):
+    return RD.parse_pipe_table(_pipe_docs(spark, sf), "item_id", "text")
+
+
+@query("parse_pipe_line_table", _PIPE_SQL)
+def q_parse_pipe_line_table(spark, sf):
+    """The same from a table of lines."""
+    return LT.parse_pipe_line_table(LT.line_table(_pipe_docs(spark, sf), "item_id", "text"), "item_id")
 
 
 @query("split_numbered_blocks", """
