@@ -120,7 +120,7 @@ def copies():
     rows = []
 
     def add(v, label):
-        rows.append((len(rows) * 3 + 1, v if v is None else [float(x) for x in v], label))
+        rows.append((len(rows) * 3 + 1, v if v is None else [x if x is None else float(x) for x in v], label))
     for k in range(150):
         add(base[k % 30] + rng.standard_normal(24) * rng.choice([0.02, 0.1, 0.2]), k % 3)
     for _ in range(120):
