@@ -12,9 +12,11 @@ from __future__ import annotations
 import math
 import warnings
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -171,6 +173,9 @@ def check_label_count(predictions: DataFrame, group: Sequence[str] = ("k",)) ->
 
 
 # ------------------------------------------------------- MLlib-backed variants
+STARTS_AT_ONCE = 4
+
+
 def _to_ml(vectors: DataFrame, col: str):
     from pyspark.ml.functions import array_to_vector
     return vectors.withColumn("features", array_to_vector(col))
@@ -183,14 +188,19 @@ def kmeans_restarts(vectors: DataFrame, k: int, n_init: int = 10, seed: int = 42
     inertia)."""
     from pyspark.ml.clustering import KMeans
     data = persist(_to_ml(vectors.select(key, col), col))
-    best = None
-    for i in range(n_init):
+    data.count()                                      # held before several starts read it
+    features = data.select("features")                # not itself held: a fit then holds its vectors decoded, with norms
+
+    def start(i: int):
         model = KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=tol, featuresCol="features",
-                       predictionCol="prediction").fit(data)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[1]:
-            best = (model, cost)
-    model, cost = best
+                       predictionCol="prediction").fit(features)
+        return model, model.summary.trainingCost
+
+    # starts know nothing of each other: a round of one fills the cores that another leaves
+    with ThreadPoolExecutor(max_workers=min(STARTS_AT_ONCE, n_init)) as pool:
+        run = inheritable_thread_target(vectors.sparkSession)
+        fits = [job.result() for job in [pool.submit(run(start), i) for i in range(n_init)]]
+    model, cost = min(fits, key=lambda f: f[1])       # the first start on ties
     pred = materialize(model.transform(data).select(key, F.lit(k).alias("k"), F.col("prediction").cast("int")))
     data.unpersist()
     return pred, float(cost)

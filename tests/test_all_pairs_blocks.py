@@ -1,9 +1,12 @@
-"""All pairs by blocks: rows are not shuffled once for every pair of blocks."""
+"""All pairs by blocks: rows are not shuffled once for every pair of blocks.  Restarts of
+k-means run several at a time."""
+
+import time
 
 import numpy as np
 import pytest
 
-from itemspace.operators import lloyd, metrics, reduce
+from itemspace.operators import cluster, metrics, reduce
 
 
 def _rows(spark, n=300, d=6, offset=0.0):
@@ -49,8 +52,25 @@ def test_silhouette_of_groups_and_spans(spark, monkeypatch):
     assert abs(out.first().silhouette_score - want) < 1e-9
 
 
-def test_nearest_of_agrees_with_differences_also_on_ties():
-    x = np.random.default_rng(2).integers(0, 3, (500, 4)).astype(float)
-    sets = [x[:2].copy(), np.vstack([x[5], x[5], x[9]]), x[10:15].copy()]
-    for got, c in zip(lloyd.nearest_of(x, sets), sets):
-        assert (got == lloyd.squared(x, c).argmin(axis=1)).all()
+
+def test_restarts_run_together_and_hold_their_own_vectors(spark, monkeypatch):
+    from pyspark.ml.clustering import KMeans
+    _, df = _rows(spark, 60)
+    at_work, most, held = [], [], []
+    real = KMeans.fit
+
+    def fit(self, data):
+        at_work.append(1)
+        most.append(len(at_work))
+        held.append(data.storageLevel.useMemory)
+        time.sleep(0.3)
+        try:
+            return real(self, data)
+        finally:
+            at_work.pop()
+    monkeypatch.setattr(KMeans, "fit", fit)
+    pred, cost = cluster.kmeans_restarts(df, 3, n_init=4)
+    assert max(most) > 1 and len(most) == 4 and not any(held)
+    monkeypatch.undo()
+    alone = [cluster.kmeans_restarts(df, 3, n_init=1, seed=42 + i)[1] for i in range(4)]
+    assert abs(cost - min(alone)) < 1e-9 and pred.count() == 60
