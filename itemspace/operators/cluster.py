@@ -45,13 +45,13 @@ def _norm_keys(centres: Centres) -> dict[tuple[int, int], list[list[float]]]:
 
 
 def _centres_frame(spark: SparkSession, centres: Centres) -> DataFrame:
-    """One row per (group, configuration); built through Arrow (no Python
-    worker).  Size is bounded by groups x configurations."""
-    import pandas as pd
+    """One row per (group, configuration), as a local relation of known size whatever the
+    session's Arrow setting, so that Spark broadcasts it and the rows are not shuffled.
+    Size is bounded by groups x configurations."""
     c = _norm_keys(centres)
-    pdf = pd.DataFrame({"_g": [int(g) for g, _ in c], "k": [int(k) for _, k in c],
-                        "centres": [[[float(x) for x in row] for row in cs] for cs in c.values()]})
-    return spark.createDataFrame(pdf, "_g int, k int, centres array<array<double>>")
+    return spark.createDataFrame(pa.table({
+        "_g": pa.array([int(g) for g, _ in c], pa.int32()), "k": pa.array([int(k) for _, k in c], pa.int32()),
+        "centres": pa.array([[[float(x) for x in row] for row in cs] for cs in c.values()], pa.list_(pa.list_(pa.float64())))}))
 
 
 def assign_clusters(vectors: DataFrame, centres: Centres, col: str = "v", group: str | None = None) -> DataFrame:

@@ -8,17 +8,19 @@ emits a row per (row, label, K) and span of blocks, never one per pair of rows.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from itemspace.functions.vector import array_sqdist
-from itemspace.operators.blocks import block_pairs, met, same_key
+from itemspace.operators.blocks import block_count, block_pairs, met, packed_blocks, same_key, unpacked
 from itemspace.operators.vectors import vector_dims
-from itemspace.session import materialize, ship_package
+from itemspace.session import materialize
 
 
 def cluster_stats(df: DataFrame, group: Sequence[str] = (), label: str = "prediction",
@@ -119,23 +121,29 @@ def _block_sums(names: Sequence[Sequence[int]], grp: int):
     return fn
 
 
-def silhouette(vectors: DataFrame, labels: DataFrame, key: str = "subject", col: str = "v",
-               k_col: str = "k", label: str = "prediction", block_rows: int = 2048,
-               group: str | None = None) -> DataFrame:
-    """Exact mean silhouette (Euclidean) for every K at once:
-    ([group,] k, silhouette_score).
+class LabelledBlocks(NamedTuple):
+    """Vectors with their label of each K, in blocks by group: ``parts`` holds (group, rows, labels
+    of each K, blocks)."""
+    ks: list
+    parts: list[tuple[int | None, int, list[list[int]], DataFrame]]
+    block_rows: int
+    group: str | None
 
-    Every block of rows meets every other (``blocks.block_pairs``): NumPy computes the
-    distances of a pair of blocks and adds them up per (row, cluster) of every K over a span
-    of blocks.  The cost is the unavoidable n^2 d of the exact metric, spread over
-    tasks; rows are shuffled once, and a row per (row, span, label, K).  For large n
-    ``silhouette_sq`` is linear.
-    ``group`` (an integer column of both inputs, e.g. the run) keeps
-    independent vector sets apart.  0 for clusters of one row.  A row without a
-    label for every K is an error.
-    """
-    spark = vectors.sparkSession
-    ship_package(spark)
+    def rows(self, col: str = "v", k_col: str = "k", label: str = "prediction") -> DataFrame | None:
+        """([group,] k, label, vector) for every K, read from the blocks without a join."""
+        kmap = F.array(*[F.lit(k) for k in self.ks])
+        out = [unpacked(blocks).select(*([F.lit(g).alias(self.group)] if self.group else []), F.col("v").alias(col),
+                                       F.posexplode("labels").alias("_ki", label))
+               .withColumn(k_col, F.element_at(kmap, F.col("_ki") + 1)).drop("_ki") for g, _, _, blocks in self.parts]
+        return functools.reduce(DataFrame.unionByName, out) if out else None
+
+
+def labelled_blocks(vectors: DataFrame, labels: DataFrame, key: str = "subject", col: str = "v",
+                    k_col: str = "k", label: str = "prediction", block_rows: int = 2048,
+                    group: str | None = None) -> LabelledBlocks:
+    """Vectors joined with their labels.  Both are dealt by key into as many partitions as
+    blocks: the vectors are shuffled once, and what the join leaves in a partition is a block.
+    A row without a label for every K is an error."""
     gk = [group] if group else []
     ks = sorted(r[0] for r in labels.select(k_col).distinct().collect())
     nk = len(ks)
@@ -145,37 +153,77 @@ def silhouette(vectors: DataFrame, labels: DataFrame, key: str = "subject", col:
            .select(key, *gk, F.transform("_l", lambda s: s[label]).alias("labels")))
     if not lab.where(F.size("labels") != nk).isEmpty():
         raise ValueError(f"some rows do not have one label for each of the {nk} K")
-    data = vectors.select(key, *gk, col).join(lab, [key, *gk])
     grp = F.col(group).cast("int") if group else F.lit(0)
-    base = data.select(grp.alias("grp"), F.col(key).cast("long").alias("key"), F.col(col).alias("v"), "labels")
     # groups x K x labels rows: a null label counts as label 0
     used = {}
-    for r in labels.select((F.col(group).cast("int") if group else F.lit(0)).alias("g"), kidx.alias("i"),
+    for r in labels.select(grp.alias("g"), kidx.alias("i"),
                            F.coalesce(F.col(label).cast("int"), F.lit(0)).alias("l")).distinct().collect():
         used.setdefault(r["g"], [set() for _ in ks])[r["i"]].add(r["l"])
-    sums = None
-    for r in base.groupBy("grp").count().orderBy("grp").collect():
-        names = [sorted(of) for of in used[r["grp"]]]
-        part = block_pairs(base.where(F.col("grp").eqNullSafe(F.lit(r["grp"]))), r["count"], block_rows).mapInArrow(
-            _block_sums(names, r["grp"]), "grp int, key long, kidx int, label int, dsum double, cnt long")
-        sums = part if sums is None else sums.unionByName(part)
-    if sums is None:
-        sums = spark.createDataFrame([], "grp int, key long, kidx int, label int, dsum double, cnt long")
-    per = sums.groupBy("grp", "key", "kidx", "label").agg(F.sum("dsum").alias("dsum"), F.sum("cnt").alias("cnt"))
-    own = base.select("grp", "key", F.posexplode("labels").alias("kidx", "own"))
-    j = per.join(own, ["grp", "key", "kidx"])
-    w = j.groupBy("grp", "key", "kidx").agg(
+    parts = []
+    for r in vectors.groupBy(grp.alias("g")).count().orderBy("g").collect():
+        g, n = r["g"], r["count"]
+        if g not in used or (group and g is None):
+            continue
+        many = block_count(n, block_rows)
+
+        def dealt(df: DataFrame) -> DataFrame:
+            return df.where(grp == F.lit(g)).repartition(many, key, *gk)
+        both = dealt(vectors.select(key, *gk, col)).join(dealt(lab), [key, *gk])
+        blocks = packed_blocks(both.select(F.col(key).cast("long").alias("key"), F.col(col).alias("v"), "labels"), block_rows)
+        parts.append((g, n, [sorted(of) for of in used[g]], blocks))
+    return LabelledBlocks(ks, parts, block_rows, group)
+
+
+_SUMS = "grp int, key long, kidx int, label int, dsum double, cnt long"
+
+
+def silhouette(vectors: DataFrame, labels: DataFrame, key: str = "subject", col: str = "v",
+               k_col: str = "k", label: str = "prediction", block_rows: int = 2048,
+               group: str | None = None) -> DataFrame:
+    """Exact mean silhouette (Euclidean) for every K at once:
+    ([group,] k, silhouette_score).
+
+    Every block of rows meets every other (``blocks.block_pairs``): NumPy computes the
+    distances of a pair of blocks and adds them up per (row, cluster) of every K over a span
+    of blocks.  The cost is the unavoidable n^2 d of the exact metric, spread over
+    tasks; rows are shuffled once, and a row per (row, span, label, K).  For large n
+    ``silhouette_sq`` is linear.
+    ``group`` (an integer column of both inputs, e.g. the run) keeps
+    independent vector sets apart.  0 for clusters of one row.  A row without a
+    label for every K is an error.
+    """
+    return silhouette_of(vectors.sparkSession,
+                         labelled_blocks(vectors, labels, key, col, k_col, label, block_rows, group), k_col)
+
+
+def silhouette_of(spark: SparkSession, data: LabelledBlocks, k_col: str = "k") -> DataFrame:
+    """``silhouette`` of vectors already in blocks."""
+    sums, own = spark.createDataFrame([], _SUMS), spark.createDataFrame([], "grp int, key long, kidx int, own int")
+    for g, n, names, blocks in data.parts:
+        sums = sums.unionByName(block_pairs(blocks, n, data.block_rows).mapInArrow(_block_sums(names, g), _SUMS))
+        own = own.unionByName(_own_labels(blocks, len(data.ks)).select(F.lit(g).alias("grp"), "key", "kidx", "own"))
+    # dealt once by what the sums, the join and the per-row measures share
+    at = ["grp", "key", "kidx"]
+    per = sums.repartition(*at).groupBy(*at, "label").agg(F.sum("dsum").alias("dsum"), F.sum("cnt").alias("cnt"))
+    j = per.join(own, at)
+    w = j.groupBy(*at).agg(
         F.max(F.when(F.col("label") == F.col("own"), F.try_divide("dsum", F.col("cnt") - 1))).alias("a"),
         F.max(F.when(F.col("label") == F.col("own"), F.col("cnt"))).alias("own_n"),
         F.min(F.when(F.col("label") != F.col("own"), F.col("dsum") / F.col("cnt"))).alias("b"))
     s = F.when((F.col("own_n") <= 1) | (F.greatest("a", "b") == 0) | F.col("b").isNull(), F.lit(0.0)) \
         .otherwise(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")))
     out = w.groupBy("grp", "kidx").agg(F.avg(s).alias("silhouette_score"))
-    kmap = F.array(*[F.lit(k) for k in ks])
-    sel = [F.col("grp").alias(group)] if group else []
+    kmap = F.array(*[F.lit(k) for k in data.ks])
+    sel = [F.col("grp").alias(data.group)] if data.group else []
     return out.select(*sel, F.element_at(kmap, F.col("kidx") + 1).alias(k_col), "silhouette_score")
 
 
+def _own_labels(blocks: DataFrame, nk: int) -> DataFrame:
+    """(key, kidx, own) of every row of the blocks, whose vectors are not read."""
+    return (blocks.select(F.posexplode("key").alias("_at", "key"), "labels")
+            .select("key", F.posexplode(F.slice("labels", F.col("_at") * nk + 1, nk)).alias("kidx", "own")))
+
+
 def silhouette_sq(df: DataFrame, group: Sequence[str] = (), label: str = "prediction",
                   col: str = "v", dims: int | None = None) -> DataFrame:
     """Linear-time silhouette on *squared* Euclidean distances (the

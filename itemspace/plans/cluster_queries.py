@@ -94,11 +94,11 @@ def q_check_label_count(spark, sf):
 
 def _sweep_metrics(spark, sf):
     vec, a = _sweep(spark, sf)
-    df = a.join(vec, "subject")
-    st = M.cluster_stats(df, ["k"], dims=64)
+    data = M.labelled_blocks(vec, a.select("subject", "k", "prediction"))
+    st = M.cluster_stats(data.rows(), ["k"], dims=64)
     db = M.davies_bouldin(st, ["k"])
     ch = M.calinski_harabasz(st, ["k"])
-    sil = M.silhouette(vec, a.select("subject", "k", "prediction"))
+    sil = M.silhouette_of(spark, data)
     # K rows, read several times by the correlation and curve tables
     return materialize(db.join(ch, "k").join(sil, "k").join(K.inertia(a), "k")
                        .join(K.check_label_count(a).select("k", "n_labels"), "k"))

@@ -65,11 +65,12 @@ def grid_run_metrics(spark, sf) -> DataFrame:
     every run and K scored in the same jobs (grouped by run, k)."""
     from itemspace.operators import metrics as M
     stacked, a = grid_sweep(spark, sf)
-    df = a.join(stacked, ["subject", "run"])
-    st = M.cluster_stats(df, ["run", "k"], dims=64)
+    # vectors meet their labels once, for the cluster statistics and the silhouette
+    data = M.labelled_blocks(stacked, a.select("subject", "run", "k", "prediction"), group="run")
+    st = M.cluster_stats(data.rows(), ["run", "k"], dims=64)
     g = ["run", "k"]
     m = (M.davies_bouldin(st, g).join(M.calinski_harabasz(st, g), g)
-         .join(M.silhouette(stacked, a.select("subject", "run", "k", "prediction"), group="run"), g)
+         .join(M.silhouette_of(spark, data), g)
          .join(a.groupBy(*g).agg(F.sum("sqdist").alias("inertia"),
                                  F.count_distinct("prediction").alias("n_labels")), g))
     m = materialize(m)  # runs x K rows, read by every report table

@@ -104,11 +104,12 @@ def run_cell(cell: dict, inputs: _Inputs, ks: Sequence[int], rounds: int, key: s
         if rule == "reduce":
             vec, dims = materialize(reduce_vectors(vec, method, nc, key, dims)), nc
         a = materialize(cluster_vectors(vec, cell.get("cluster_method") or "kmeans", ks, key, n_init, rounds))
-        st = M.cluster_stats(a.join(vec, key), ["k"], dims=dims)
+        data = M.labelled_blocks(vec, a, key)
+        st = M.cluster_stats(data.rows(), ["k"], dims=dims)
         # spectral clusters have no inertia of their own
         cost = F.lit(None).cast("double") if "spectral" in (cell.get("cluster_method") or "") else F.sum("sse")
         m = (M.davies_bouldin(st, ["k"]).join(M.calinski_harabasz(st, ["k"]), "k")
-             .join(M.silhouette(vec, a), "k").join(st.groupBy("k").agg(cost.alias("inertia")), "k"))
+             .join(M.silhouette_of(vec.sparkSession, data), "k").join(st.groupBy("k").agg(cost.alias("inertia")), "k"))
         return (a.select(F.lit(cell["run_id"]).alias("run_id"), "k", key, "prediction"),
                 m.withColumn("run_id", F.lit(cell["run_id"])).withColumn("df_shape_ndim", F.lit(dims)),
                 (cell["run_id"], "ok", None, time.time() - t0, dims))

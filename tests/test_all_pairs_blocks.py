@@ -74,3 +74,36 @@ def test_restarts_run_together_and_hold_their_own_vectors(spark, monkeypatch):
     monkeypatch.undo()
     alone = [cluster.kmeans_restarts(df, 3, n_init=1, seed=42 + i)[1] for i in range(4)]
     assert abs(cost - min(alone)) < 1e-9 and pred.count() == 60
+
+
+def test_assignment_does_not_shuffle_rows_whatever_the_arrow_setting(spark):
+    from itemspace.operators import cluster
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, rng.random(4).tolist()) for i in range(40)], "subject long, v array<double>")
+    was = spark.conf.get("spark.sql.execution.arrow.pyspark.enabled")
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "false")
+    try:
+        out = cluster.assign_clusters(df, {2: [[0.0] * 4, [1.0] * 4], 3: [[0.0] * 4, [0.5] * 4, [1.0] * 4]})
+        assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+        assert out.count() == 80
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", was)
+
+
+def test_labelled_blocks_deal_vectors_once(spark):
+    rng = np.random.default_rng(6)
+    n = 90
+    df = spark.createDataFrame([(i, r, rng.random(3).tolist()) for r in (0, 1) for i in range(n)],
+                               "subject long, run int, v array<double>")
+    labels = spark.createDataFrame([(i, r, k, (i + r) % k) for r in (0, 1) for i in range(n) for k in (2, 3)],
+                                   "subject long, run int, k int, prediction int")
+    data = metrics.labelled_blocks(df, labels, block_rows=16, group="run")
+    assert [(g, rows) for g, rows, _, _ in data.parts] == [(0, n), (1, n)]
+    got = sorted((r.run, r.k, r.prediction, tuple(r.v)) for r in data.rows().collect())
+    want = sorted((r.run, r.k, r.prediction, tuple(r.v)) for r in labels.join(df, ["subject", "run"]).collect())
+    assert got == want
+    a = {(r.run, r.k): r.silhouette_score for r in metrics.silhouette_of(spark, data).collect()}
+    for run in (0, 1):
+        one = metrics.silhouette(df.where(f"run = {run}").select("subject", "v"), labels.where(f"run = {run}").drop("run"))
+        for r in one.collect():
+            assert abs(a[(run, r.k)] - r.silhouette_score) < 1e-12
