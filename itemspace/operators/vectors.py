@@ -7,14 +7,15 @@ group costs one partial row per task, never a collected list.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from itemspace.functions.vector import array_norm, elementwise_agg
-
-# A vector is pooled in blocks of so many positions, one aggregate each, so that
-# the generated class is of one size whatever the number of dimensions.
-BLOCK_DIMS = 64
+from itemspace.operators.pooling import Codebook, pooled
+from itemspace.session import ship_package
 
 _AGGS = {"max": F.max, "sum": F.sum, "mean": F.avg, "min": F.min}
 
@@ -29,22 +30,21 @@ def embed_subjects(responses: DataFrame, item_vectors: DataFrame, how: str = "ma
     """v[d] = AGG over a subject's items of answer * e[item][d].
 
     ``responses(subject, item_id, answer)`` holds one row per (subject, item);
-    ``item_vectors(item_id, e)`` is the codebook side.  Item vectors are cut into
-    blocks of BLOCK_DIMS positions, pooled per (subject, block) and put together.
+    ``item_vectors(item_id, e)`` is the codebook side: items x dims numbers, which are sent to
+    the tasks (as a broadcast join would).  Rows stay narrow until they are pooled: they are dealt and
+    sorted by subject, and a task pools one batch of them at a time, so that its memory
+    holds no vectors of other subjects.
     With ``n_items`` only subjects that answered every item are kept.
     """
-    e = F.col("e").cast("array<double>")
-    starts = F.sequence(F.lit(1), F.greatest(F.size("e"), F.lit(1)), F.lit(BLOCK_DIMS))
-    blocks = (item_vectors.select("item_id", e.alias("e"))
-              .select("item_id", F.posexplode(F.transform(starts, lambda s: F.slice("e", s, BLOCK_DIMS))).alias("b", "x")))
-    j = responses.join(blocks, "item_id").select(subject, F.col("answer").cast("double").alias("a"), "b", "x")
-    agg = _AGGS[how]
-    pooled = j.groupBy(subject, "b").agg(
-        F.count("a").alias("_n"), F.max(F.size("x")).alias("_d"),
-        F.array(*[agg(F.col("a") * F.get("x", F.lit(i))) for i in range(BLOCK_DIMS)]).alias("p"))
-    out = (pooled.groupBy(subject)
-           .agg(F.max("_n").alias("_n"), F.sort_array(F.collect_list(F.struct("b", "_d", "p"))).alias("_p"))
-           .select(subject, "_n", F.flatten(F.transform("_p", lambda s: F.slice(s["p"], 1, s["_d"]))).alias("v")))
+    spark = responses.sparkSession
+    ship_package(spark)
+    book = item_vectors.select("item_id", F.col("e").cast("array<double>").alias("e")).toArrow()
+    places = spark.createDataFrame(pa.table({"item_id": book.column("item_id"), "_at": pa.array(np.arange(len(book)), pa.int32())}))
+    j = responses.join(places, "item_id").select(subject, "_at", F.col("answer").cast("double").alias("_a"))
+    held = spark.sparkContext.broadcast(Codebook.of(book.column("e").combine_chunks()))
+    schema = StructType([j.schema[subject], StructField("_n", LongType()), StructField("v", ArrayType(DoubleType()))])
+    out = (j.repartition(F.col(subject)).sortWithinPartitions(subject, "_at")
+           .mapInArrow(pooled(held, how), schema))
     if n_items is not None:
         out = out.where(F.col("_n") == n_items)
     return out.drop("_n")
