@@ -71,6 +71,20 @@ def assign_clusters(vectors: DataFrame, centres: Centres, col: str = "v", group:
     return out
 
 
+def assign_all(vectors: DataFrame, centres: Centres, col: str = "v", group: str | None = None) -> DataFrame:
+    """Every row once, with ``near``: struct(dist, id) of its nearest centre for each configuration of
+    its group, in their order, as by ``assign_clusters``.  All groups have the same configurations."""
+    by = _norm_keys(centres)
+    ks = sorted({k for _, k in by})
+    cf = vectors.sparkSession.createDataFrame(pa.table({
+        "_g": pa.array(sorted({int(g) for g, _ in by}), pa.int32()),
+        "centres": pa.array([[[[float(x) for x in row] for row in by[(g, k)]] for k in ks] for g in sorted({g for g, _ in by})],
+                            pa.list_(pa.list_(pa.list_(pa.float64()))))}))
+    g = F.col(group).cast("int") if group else F.lit(0)
+    return (vectors.withColumn("_g", g).join(cf, "_g")
+            .withColumn("near", F.transform("centres", lambda of: nearest(col, of))).drop("centres", "_g"))
+
+
 def initial_centres(vectors: DataFrame, ks: Sequence[int], key: str = "subject", col: str = "v",
                     seed: int = 42, group: str | None = None) -> Centres:
     """Centres of K are the K first rows by md5 rank (a top-k of max(K) rows,
@@ -127,7 +141,7 @@ def _best_of(vectors: DataFrame, init: Centres, rounds: int, key: str, col: str,
 def lloyd_sweep(vectors: DataFrame, ks: Sequence[int], rounds: int = 5, key: str = "subject",
                 col: str = "v", seed: int = 42, init: Centres | None = None,
                 dims: int | None = None, checkpoint: bool = True,
-                group: str | None = None, tol: float | None = None) -> tuple[DataFrame, Centres]:
+                group: str | None = None, tol: float | None = None, wide: bool = False) -> tuple[DataFrame, Centres]:
     """Deterministic k-means for every K in ``ks``: md5-ranked initial
     centres, ``rounds`` Lloyd updates, then the final assignment.  With ``tol`` a
     configuration rests once none of its centres moves further than that.
@@ -138,12 +152,17 @@ def lloyd_sweep(vectors: DataFrame, ks: Sequence[int], rounds: int = 5, key: str
     ``k`` column then carries the config id.  Returns (assignments(key,
     [group,] k, prediction, sqdist), centres).  The input is persisted during
     the sweep, each round is one job, and the result is checkpointed to the
-    shared checkpoint folder.
+    shared checkpoint folder.  With ``wide`` the vectors stay beside what they were assigned
+    (``assign_all``: key, vector, [group,] near), computed when read: nothing is written.
     """
     cols = [key, col] + ([group] if group else [])
     base = persist(vectors.select(*cols))
     centres = _norm_keys(init) if init else initial_centres(base, ks, key, col, seed, group)
     centres = _rested(base, centres, rounds, col, group, tol)
+    if wide:
+        base.unpersist()
+        return (assign_all(vectors.select(*cols), centres, col, group),
+                centres if group else {k: v for (_, k), v in centres.items()})
     final = assign_clusters(base, centres, col, group).select(
         key, *([group] if group else []), "k", "prediction", "sqdist")
     if checkpoint:

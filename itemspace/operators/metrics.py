@@ -3,7 +3,7 @@
 ``group`` columns (e.g. run_id, k) let one job score every K of a sweep and
 every run of a grid.  Cluster statistics are K-sized and joined back; the exact
 silhouette is a blocked all-pairs computation that aggregates inside each task: it
-emits a row per (row, label, K) and span of blocks, never one per pair of rows.
+emits a matrix per block and span of blocks, never a row per pair of rows.
 """
 
 from __future__ import annotations
@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from itemspace.functions.vector import array_sqdist
-from itemspace.operators.blocks import block_count, block_pairs, met, packed_blocks, same_key, unpacked
+from itemspace.operators.blocks import Block, block_count, block_pairs, met, packed_blocks, same_key, unpacked
 from itemspace.operators.vectors import vector_dims
-from itemspace.session import materialize
+from itemspace.session import materialize, persist
 
 
 def cluster_stats(df: DataFrame, group: Sequence[str] = (), label: str = "prediction",
@@ -80,31 +80,38 @@ def calinski_harabasz(stats: DataFrame, group: Sequence[str] = (), label: str =
 
 
 # ------------------------------------------------------------ silhouette
+_PART = "grp int, at long, own binary, times binary, sums binary, counts binary"
+_SCORES = "grp int, kidx int, total double, n long"
+
+
 def _block_sums(names: Sequence[Sequence[int]], grp: int):
-    """Per left row, K and label: sum of the distances to the label's rows and their number.
-    ``names`` holds the labels of each K."""
+    """A left block's sums of the distances to the rows of every label of each K, over a span of blocks:
+    a row of binary matrices, known by its least key.  ``names`` holds the labels of each K.  Rows of the same key,
+    which lie in one block, are added up (``times``); ``own`` is a row's place among the labels, -1 if null."""
     def one_hot(labels: np.ndarray) -> np.ndarray:
         return np.hstack([labels[:, i:i + 1] == np.array(of)[None, :] for i, of in enumerate(names)]).astype(np.float64)
 
-    kidx = np.repeat(np.arange(len(names), dtype=np.int32), [len(of) for of in names])
-    label = np.array([x for of in names for x in of], dtype=np.int32)
+    starts = np.cumsum([0] + [len(of) for of in names])
 
-    def rows(key: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        n, m = sums.shape
+    def part(left: Block, sums: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        own = np.stack([np.searchsorted(of, left.labels[:, i]) + starts[i] for i, of in enumerate(names)], axis=1)
+        own[left.unlabelled] = -1
+        keys, first, of, times = np.unique(left.key, return_index=True, return_inverse=True, return_counts=True)
+        total = np.zeros((len(keys), sums.shape[1]))
+        np.add.at(total, of, sums)
+        held = [own[first].astype(np.int64), times.astype(np.float64), total, counts]
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n * m, grp, dtype=np.int32)), pa.array(np.repeat(key, m)), pa.array(np.tile(kidx, n)),
-             pa.array(np.tile(label, n)), pa.array(sums.ravel()), pa.array(np.tile(counts.astype(np.int64), n))],
-            names=["grp", "key", "kidx", "label", "dsum", "cnt"])
+            [pa.array([grp], pa.int32()), pa.array([keys[0]], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in held]],
+            names=["grp", "at", "own", "times", "sums", "counts"])
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = None
+        was = None
         for left, new, right in met(batches):
             if new:
-                if key is not None:
-                    yield rows(key, sums, counts)
-                key, sums, counts = left.key, np.zeros((len(left.key), len(label))), np.zeros(len(label))
-                ones = np.ones((len(key), 1))
-                a = np.hstack([-2.0 * left.x, (left.x * left.x).sum(1)[:, None], ones])
+                if was is not None:
+                    yield part(was, sums, counts)
+                was, sums, counts = left, np.zeros((len(left.key), starts[-1])), np.zeros(starts[-1])
+                a = np.hstack([-2.0 * left.x, (left.x * left.x).sum(1)[:, None], np.ones((len(left.key), 1))])
             # |x|^2 + |y|^2 - 2 x.y as one product
             b = np.hstack([right.x, np.ones((len(right.key), 1)), (right.x * right.x).sum(1)[:, None]])
             d = a @ b.T
@@ -116,8 +123,40 @@ def _block_sums(names: Sequence[Sequence[int]], grp: int):
             hot = one_hot(right.labels)
             sums += d @ hot
             counts += hot.sum(0)
-        if key is not None:
-            yield rows(key, sums, counts)
+        if was is not None:
+            yield part(was, sums, counts)
+    return fn
+
+
+def _block_scores(names: dict[int, Sequence[Sequence[int]]]):
+    """Per K the sum of the silhouettes of a block's keys and their number, from its sums over every span."""
+    def fn(parts: pa.Table) -> pa.Table:
+        grp = parts.column("grp")[0].as_py()
+        widths = [len(of) for of in names[grp]]
+        m, out = sum(widths), []
+
+        def matrices(name: str, wide: int, kind=np.float64) -> Iterator[np.ndarray]:
+            return (np.frombuffer(x.as_buffer(), dtype=kind).reshape(-1, wide) for x in parts.column(name))
+        sums, counts = sum(matrices("sums", m)), sum(matrices("counts", m))
+        own, times = next(matrices("own", len(widths), np.int64)), next(matrices("times", 1))
+        counts = times * counts
+        rows, at = np.arange(len(sums)), 0
+        for i, wide in enumerate(widths):
+            place = own[:, i]
+            other = counts[:, at:at + wide] > 0
+            known = np.flatnonzero(place >= 0)
+            other[known, place[known] - at] = False
+            with np.errstate(divide="ignore", invalid="ignore"):
+                near = np.where(other, sums[:, at:at + wide] / counts[:, at:at + wide], np.inf).min(axis=1)
+                own_n = counts[rows, place]
+                inner = sums[rows, place] / (own_n - 1)
+                most = np.maximum(inner, near)
+                s = (near - inner) / most
+            s[(place < 0) | (own_n <= 1) | ~other.any(axis=1) | (most == 0)] = 0.0
+            out.append((grp, i, s.sum(), len(s)))
+            at += wide
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.float64(), pa.int64()))],
+                        names=["grp", "kidx", "total", "n"])
     return fn
 
 
@@ -137,6 +176,10 @@ class LabelledBlocks(NamedTuple):
                .withColumn(k_col, F.element_at(kmap, F.col("_ki") + 1)).drop("_ki") for g, _, _, blocks in self.parts]
         return functools.reduce(DataFrame.unionByName, out) if out else None
 
+    def release(self) -> None:
+        for _, _, _, blocks in self.parts:
+            blocks.unpersist()
+
 
 def labelled_blocks(vectors: DataFrame, labels: DataFrame, key: str = "subject", col: str = "v",
                     k_col: str = "k", label: str = "prediction", block_rows: int = 2048,
@@ -169,13 +212,33 @@ def labelled_blocks(vectors: DataFrame, labels: DataFrame, key: str = "subject",
         def dealt(df: DataFrame) -> DataFrame:
             return df.where(grp == F.lit(g)).repartition(many, key, *gk)
         both = dealt(vectors.select(key, *gk, col)).join(dealt(lab), [key, *gk])
-        blocks = packed_blocks(both.select(F.col(key).cast("long").alias("key"), F.col(col).alias("v"), "labels"), block_rows)
+        rows = both.select(F.col(key).cast("long").alias("key"), F.col(col).alias("v"), "labels")
+        blocks = packed_blocks(rows.sortWithinPartitions("key"), block_rows)
         parts.append((g, n, [sorted(of) for of in used[g]], blocks))
     return LabelledBlocks(ks, parts, block_rows, group)
 
 
-SUM_ROWS = 65_536                                     # (row, K) whose sums a task adds up
-_SUMS = "grp int, key long, kidx int, label int, dsum double, cnt long"
+def labelled_in_place(rows: DataFrame, ks: Sequence[int], key: str = "subject", col: str = "v", labels: str = "labels",
+                      block_rows: int = 2048, group: str | None = None) -> LabelledBlocks:
+    """``labelled_blocks`` of vectors that carry their label of each K (an array, in the order of ``ks``): packed where
+    they lie and persisted until ``release``, so nothing is shuffled or written but the keys.  A key
+    that repeats within a group is an error; a null key takes no part."""
+    grp = F.col(group).cast("int") if group else F.lit(0)
+    of = rows.select(F.col(key).cast("long").alias("key"), F.col(col).alias("v"), F.col(labels).alias("labels"), grp.alias("_grp"))
+    if not of.groupBy("_grp", "key").count().where("count > 1").isEmpty():
+        raise ValueError(f"some rows do not have one label for each of the {len(ks)} K")
+    parts = []
+    for g in sorted(r[0] for r in of.select("_grp").distinct().collect() if r[0] is not None):
+        part = of.where((F.col("_grp") == g) & F.col("key").isNotNull()).sortWithinPartitions("key")
+        blocks = packed_blocks(part, block_rows, persist)
+        names = [set() for _ in ks]
+        for r in (blocks.select(F.posexplode("labels").alias("at", "l"))
+                  .select((F.col("at") % len(ks)).alias("i"), F.coalesce("l", F.lit(0)).alias("l")).distinct().collect()):
+            names[r["i"]].add(r["l"])
+        n = blocks.agg(F.sum(F.size("key"))).first()[0]
+        if n:
+            parts.append((g, n, [sorted(x) for x in names], blocks))
+    return LabelledBlocks(list(ks), parts, block_rows, group)
 
 
 def silhouette(vectors: DataFrame, labels: DataFrame, key: str = "subject", col: str = "v",
@@ -187,7 +250,7 @@ def silhouette(vectors: DataFrame, labels: DataFrame, key: str = "subject", col:
     Every block of rows meets every other (``blocks.block_pairs``): NumPy computes the
     distances of a pair of blocks and adds them up per (row, cluster) of every K over a span
     of blocks.  The cost is the unavoidable n^2 d of the exact metric, spread over
-    tasks; rows are shuffled once, and a row per (row, span, label, K).  For large n
+    tasks; rows are shuffled once, and a matrix of a number per (row, label, K) for every span.  For large n
     ``silhouette_sq`` is linear.
     ``group`` (an integer column of both inputs, e.g. the run) keeps
     independent vector sets apart.  0 for clusters of one row.  A row without a
@@ -199,33 +262,17 @@ def silhouette(vectors: DataFrame, labels: DataFrame, key: str = "subject", col:
 
 def silhouette_of(spark: SparkSession, data: LabelledBlocks, k_col: str = "k") -> DataFrame:
     """``silhouette`` of vectors already in blocks."""
-    sums, own = spark.createDataFrame([], _SUMS), spark.createDataFrame([], "grp int, key long, kidx int, own int")
+    parts = spark.createDataFrame([], _PART)
     for g, n, names, blocks in data.parts:
-        sums = sums.unionByName(block_pairs(blocks, n, data.block_rows).mapInArrow(_block_sums(names, g), _SUMS))
-        own = own.unionByName(_own_labels(blocks, len(data.ks)).select(F.lit(g).alias("grp"), "key", "kidx", "own"))
-    # dealt once by what the sums, the join and the per-row measures share, so many rows a task
-    at = ["grp", "key", "kidx"]
-    many = block_count(sum(n for _, n, _, _ in data.parts) * len(data.ks), SUM_ROWS)
-    per = sums.repartition(many, *at).groupBy(*at, "label").agg(F.sum("dsum").alias("dsum"), F.sum("cnt").alias("cnt"))
-    j = per.join(own.repartition(many, *at), at)
-    w = j.groupBy(*at).agg(
-        F.max(F.when(F.col("label") == F.col("own"), F.try_divide("dsum", F.col("cnt") - 1))).alias("a"),
-        F.max(F.when(F.col("label") == F.col("own"), F.col("cnt"))).alias("own_n"),
-        F.min(F.when(F.col("label") != F.col("own"), F.col("dsum") / F.col("cnt"))).alias("b"))
-    s = F.when((F.col("own_n") <= 1) | (F.greatest("a", "b") == 0) | F.col("b").isNull(), F.lit(0.0)) \
-        .otherwise(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")))
-    out = w.groupBy("grp", "kidx").agg(F.avg(s).alias("silhouette_score"))
+        parts = parts.unionByName(block_pairs(blocks, n, data.block_rows).mapInArrow(_block_sums(names, g), _PART))
+    scores = _block_scores({g: names for g, _, names, _ in data.parts})
+    out = (parts.groupBy("grp", "at").applyInArrow(scores, _SCORES)
+           .groupBy("grp", "kidx").agg((F.sum("total") / F.sum("n")).alias("silhouette_score")))
     kmap = F.array(*[F.lit(k) for k in data.ks])
     sel = [F.col("grp").alias(data.group)] if data.group else []
     return out.select(*sel, F.element_at(kmap, F.col("kidx") + 1).alias(k_col), "silhouette_score")
 
 
-def _own_labels(blocks: DataFrame, nk: int) -> DataFrame:
-    """(key, kidx, own) of every row of the blocks, whose vectors are not read."""
-    return (blocks.select(F.posexplode("key").alias("_at", "key"), "labels")
-            .select("key", F.posexplode(F.slice("labels", F.col("_at") * nk + 1, nk)).alias("kidx", "own")))
-
-
 def silhouette_sq(df: DataFrame, group: Sequence[str] = (), label: str = "prediction",
                   col: str = "v", dims: int | None = None) -> DataFrame:
     """Linear-time silhouette on *squared* Euclidean distances (the
