@@ -74,7 +74,8 @@ def grid_run_metrics(spark, sf) -> DataFrame:
     data = M.labelled_in_place(rows.withColumn("labels", F.transform("near", lambda s: s["id"])), KS, group="run")
     st = M.cluster_stats(data.rows(), ["run", "k"], dims=64)
     g = ["run", "k"]
-    a = (rows.select("run", F.posexplode("near").alias("_ki", "_near"))
+    # the outer form: a filter on near's size would assign every row again
+    a = (rows.select("run", F.posexplode_outer("near").alias("_ki", "_near")).where(F.col("_ki").isNotNull())
          .select("run", F.element_at(F.array(*[F.lit(k) for k in KS]), F.col("_ki") + 1).alias("k"),
                  F.col("_near.id").alias("prediction"), F.col("_near.dist").alias("sqdist")))
     m = (M.davies_bouldin(st, g).join(M.calinski_harabasz(st, g), g)
